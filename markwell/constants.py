@@ -16,9 +16,7 @@ SPACE_CHARS = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "    　"
 )
-SPACE_CLASS = (
-    r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+SPACE_CLASS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 WORD_CLASS = r"\p{L}\p{N}_"
 
 # Stop words (Russian, English).

@@ -14,6 +14,11 @@ def as_col(value: Col) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``; branches would otherwise evaluate it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Col) -> Column:
     """Remove Unicode white space at both ends (``trim`` alone removes blanks only)."""
     return F.btrim(as_col(text), F.lit(K.SPACE_CHARS))
@@ -32,8 +37,9 @@ def normalize_ws_lower(text: Col) -> Column:
 
 
 def normalize_strip_punct(text: Col) -> Column:
+    """Lower case with every run of non-word characters turned into one blank."""
     lowered = F.lower(F.coalesce(as_col(text), F.lit("")))
-    return F.trim(squeeze_ws(F.regexp_replace(lowered, f"[^{K.WORD_CLASS}{K.SPACE_CLASS}]", " ")))
+    return F.trim(F.regexp_replace(lowered, f"[^{K.WORD_CLASS}]+", " "))
 
 
 def word_count(text: Col) -> Column:

@@ -6,6 +6,8 @@ import importlib
 
 MODULES = (
     "text_queries",
+    "style_queries",
+    "scoring_queries",
 )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markwell.plans.fixtures import catalogue_values
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -165,4 +167,94 @@ SELECT doc_id, concat(
   CASE WHEN doc_id % 6 = 4 THEN '  double  spaced,bad — dash 😀 in accordance with' ELSE '' END,
   CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), 'A second paragraph with enough length. lower start.') ELSE '' END
 ) AS content FROM documents""",
+    # Style metrics of every styled text.
+    "v_metrics": """
+SELECT doc_id, content,
+  CASE WHEN length(trim(content, <CHARS>)) < 10 THEN 0.0 ELSE 206.835 - 1.015 * (nw / CAST(ns AS DOUBLE)) - 84.6 * (ny / CAST(nw AS DOUBLE)) END AS readability,
+  total_words, has_emoji, has_long_dash, odd > 0 AS has_special_unicode, odd AS special_chars_count,
+  tight, dbl, caps, tight + dbl + caps AS total_errors,
+  CASE WHEN trim(content, <CHARS>) = '' THEN 0.0 ELSE least(1.0, CASE WHEN length(trim(content, <CHARS>)) >= 100 AND (contains(content, '. ') OR contains(content, chr(10)))
+       THEN greatest(score, CAST(0.05 AS DOUBLE)) ELSE score END) END AS llm_likelihood
+FROM (
+ SELECT *,
+   (CASE WHEN num >= 4 THEN 0.2 WHEN num = 3 THEN 0.15 WHEN num = 2 THEN 0.1 WHEN num = 1 THEN 0.05 ELSE 0 END)::DOUBLE
+   + (CASE WHEN bul >= 5 THEN 0.2 WHEN bul >= 2 THEN 0.05 + (bul - 2) * 0.05 WHEN bul = 1 THEN 0.05 ELSE 0 END)::DOUBLE
+   + (CASE WHEN phr >= 3 THEN 0.3 WHEN phr = 2 THEN 0.2 WHEN phr = 1 THEN 0.1 ELSE 0 END)::DOUBLE
+   + (CASE WHEN hdr >= 4 THEN 0.2 WHEN hdr >= 2 THEN 0.05 + (hdr - 2) * 0.05 WHEN hdr = 1 THEN 0.05 ELSE 0 END)::DOUBLE
+   + (CASE WHEN pat >= 2 THEN 0.1 WHEN pat = 1 THEN 0.05 ELSE 0 END)::DOUBLE AS score
+ FROM (
+  SELECT doc_id, content,
+   greatest(1, len(regexp_extract_all(content, '[<WD>]+'))) AS nw, greatest(1, len(regexp_extract_all(content, '[.!?]+'))) AS ns,
+   len(regexp_extract_all(lower(content), '[aeiouyàâäáéèêëíîïóôöúùûüœæ\\x{0430}\\x{0435}\\x{0451}\\x{0438}\\x{043E}\\x{0443}\\x{044B}\\x{044D}\\x{044E}\\x{044F}]+')) AS ny,
+   len(regexp_extract_all(content, '[^<SP>]+')) AS total_words,
+   regexp_matches(content, '[<EMOJI>]') AS has_emoji, contains(content, '—') OR contains(content, '–') AS has_long_dash,
+   len(regexp_extract_all(content, '[^<WD><SP>.,;:!?\\-()\\[\\]{}\\x22\\x27]')) AS odd,
+   len(regexp_extract_all(content, '[.,;:!?][А-Яа-яA-Za-z]')) AS tight, len(regexp_extract_all(content, '  +')) AS dbl,
+   len(list_filter(string_split_regex(content, '[.!?][<SP>]+')[2:], lambda s: s <> '' AND NOT regexp_matches(s, '^\\p{Lu}'))) AS caps,
+   len(regexp_extract_all(content, '\\d+[.)][<SP>]+[А-Яа-яA-Z]')) AS num,
+   least(10, len(regexp_extract_all(content, '[•*]')) + len(regexp_extract_all(content, '(?m)^[<SP>]*[-–][<SP>]+'))) AS bul,
+   len(list_filter(<PHRASES>, lambda p: contains(lower(content), p))) AS phr,
+   len(regexp_extract_all(content, '(?m)^[А-Яа-яA-Z][^.!?]{0,50}:')) AS hdr,
+   len(list_filter(['в[<SP>]+связи[<SP>]+с[<SP>]+тем', 'в[<SP>]+соответствии[<SP>]+с', 'с[<SP>]+учетом[<SP>]+того', 'во-первых', 'во-вторых',
+                    'in accordance with', 'with regard to'], lambda p: regexp_matches(content, concat('(?i)', p)))) AS pat
+  FROM v_styled))""",
+    "v_catalogue": catalogue_values(),
+    "v_criteria": """
+SELECT doc_id, task_number, criterion_no, name, inverted,
+       coalesce(string_agg(keyword, ', ' ORDER BY keyword_no) FILTER (hit), '') AS matched_keywords,
+       bool_or(hit) AS matched, bool_or(hit) <> inverted AS passed
+FROM (
+  SELECT a.doc_id, a.task_number, c.*, CASE WHEN regexp_matches(c.keyword, '[^a-zа-я0-9_]') THEN contains(norm, c.keyword)
+      ELSE regexp_matches(norm, concat('(^|[^<WD>])', c.keyword, '($|[^<WD>])')) END AS hit
+  FROM (SELECT doc_id, task_number, trim(regexp_replace(lower(content), '[<SP>]+', ' ', 'g')) AS norm FROM v_answers) a
+  JOIN v_catalogue c ON c.question = a.task_number)
+GROUP BY doc_id, task_number, criterion_no, name, inverted""",
+    "v_hashed": """
+SELECT doc_id, task_number, content,
+  list_transform(range(64), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS DOUBLE)) AS vec
+FROM (SELECT doc_id, task_number, content,
+        list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
+                       lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_answers)""",
+    "v_hashed_keys": """
+SELECT kind, task_number, content,
+  list_transform(range(64), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS DOUBLE)) AS vec
+FROM (SELECT kind, task_number, content,
+        list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
+                       lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_keys)""",
+    # The evaluation of every (document, question).
+    "v_eval": """
+SELECT *, CASE WHEN chosen IS NULL THEN NULL ELSE round(greatest(1.0, least(10.0, blend + length_delta
+            - CASE WHEN nlen > 0 THEN 1.0 ELSE 0.0 END)), 1) END AS final_score
+FROM (
+ SELECT *, round(blend, 2) AS blended_score, round(ratio, 3) AS length_ratio,
+   CASE WHEN ratio IS NULL THEN 0.0 WHEN ratio < 1 THEN round(-1.5 * (1.0 - ratio), 2)
+        ELSE round(CAST(0.5 AS DOUBLE) * greatest(0.0, least(1.0, (ratio - 1.0) / CAST(0.8 AS DOUBLE))), 2) END AS length_delta
+ FROM (
+  SELECT *, greatest(1.0, least(10.0, coalesce(CAST(0.7 AS DOUBLE) * cosine_score + CAST(0.3 AS DOUBLE) * criteria_score, cosine_score))) AS blend,
+    CASE WHEN answer_len > 0 AND ai_key_len > 0 THEN (answer_len + 30) / CAST(ai_key_len + 30 AS DOUBLE) END AS ratio
+  FROM (
+   SELECT *, round(greatest(1.0, least(10.0, 10.0 * greatest(0.0, least(1.0, (chosen_sim - 0.45::DOUBLE) / (0.90::DOUBLE - 0.45::DOUBLE))))), 1) AS cosine_score,
+     length(trim(content, <CHARS>)) AS answer_len, CASE WHEN chosen IS NULL THEN 0 ELSE length(trim(ai_text, <CHARS>)) END AS ai_key_len,
+     length(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g'))) AS nlen
+   FROM (
+    SELECT *, CASE WHEN hr_sim IS NULL AND ai_sim IS NULL THEN NULL WHEN ai_sim IS NULL OR hr_sim >= ai_sim THEN 'hr' ELSE 'ai' END AS chosen,
+      CASE WHEN hr_sim IS NULL AND ai_sim IS NULL THEN NULL WHEN ai_sim IS NULL OR hr_sim >= ai_sim THEN hr_sim ELSE ai_sim END AS chosen_sim
+    FROM (
+     SELECT s.doc_id, s.task_number, coalesce(a.content, '') AS content, ai.content AS ai_text,
+       round(list_dot_product(a.vec, hr.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(hr.vec, hr.vec)), 4) AS hr_sim,
+       round(list_dot_product(a.vec, ai.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(ai.vec, ai.vec)), 4) AS ai_sim,
+       c.passed AS criteria_passed, c.total AS criteria_total, round(1.0 + 9.0 * c.passed / CAST(c.total AS DOUBLE), 2) AS criteria_score
+     FROM (SELECT d.doc_id, q.task_number FROM (SELECT DISTINCT doc_id FROM v_answers) d, (SELECT DISTINCT task_number FROM v_keys) q) s
+     LEFT JOIN v_hashed a ON a.doc_id = s.doc_id AND a.task_number = s.task_number
+     LEFT JOIN v_hashed_keys hr ON hr.kind = 'hr' AND hr.task_number = s.task_number
+     LEFT JOIN v_hashed_keys ai ON ai.kind = 'ai' AND ai.task_number = s.task_number
+     LEFT JOIN (
+       SELECT doc_id, task_number, count(*) FILTER (passed) AS passed, count(*) AS total FROM (
+         SELECT doc_id, task_number, passed FROM v_criteria
+         UNION ALL
+         SELECT m.doc_id, m.question, m.inverted FROM (
+           SELECT d.doc_id, c.question, c.criterion_no, c.inverted FROM (SELECT DISTINCT doc_id FROM v_answers) d,
+                  (SELECT DISTINCT question, criterion_no, inverted FROM v_catalogue) c) m
+         WHERE NOT EXISTS (SELECT 1 FROM v_answers a WHERE a.doc_id = m.doc_id AND a.task_number = m.question))
+       GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.task_number = s.task_number)))))""",
 }
