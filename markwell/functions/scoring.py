@@ -1,4 +1,4 @@
-"""Scoring arithmetic as Catalyst expressions. Rounding is half away from zero."""
+"""Scoring arithmetic as Catalyst expressions."""
 
 from __future__ import annotations
 
@@ -14,11 +14,18 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def round_half(value: Col, digits: int) -> Column:
+    """Round the binary value half away from zero (``round`` would round its shortest decimal form)."""
+    scale = F.lit(float(10**digits))
+    v = as_col(value)
+    return F.signum(v) * F.floor(F.abs(v) * scale + 0.5) / scale
+
+
 def cosine_to_score(similarity: Col, lo: float = K.COSINE_LO, hi: float = K.COSINE_HI) -> Column:
     if hi <= lo:
         lo, hi = min(lo, hi), max(lo, hi) + 1e-6
     share = clip((as_col(similarity) - F.lit(lo)) / F.lit(hi - lo), 0.0, 1.0)
-    return F.when(as_col(similarity).isNotNull(), F.round(clip(share * 10.0, 1.0, 10.0), 1))
+    return F.when(as_col(similarity).isNotNull(), round_half(clip(share * 10.0, 1.0, 10.0), 1))
 
 
 def criteria_ratio(passed: Col, total: Col) -> Column:
@@ -58,7 +65,7 @@ def length_delta(ratio: Col) -> Column:
     r = as_col(ratio)
     shorter = -K.LENGTH_MAX_PENALTY * (1.0 - r)
     longer = K.LENGTH_MAX_BONUS * clip((r - 1.0) / 0.8, 0.0, 1.0)
-    return F.when(r.isNull(), 0.0).otherwise(F.round(F.when(r < 1.0, shorter).otherwise(longer), 2))
+    return F.when(r.isNull(), 0.0).otherwise(round_half(F.when(r < 1.0, shorter).otherwise(longer), 2))
 
 
 def _portable(pattern: str) -> str:
@@ -88,7 +95,7 @@ def concreteness_coverage(normalized: Col, categories: dict = K.CONCRETENESS_PAT
 def quality_penalties(base: Col, hits_count: Col, coverage: Col, normalized_length: Col) -> Column:
     vague = F.when((as_col(coverage) == 0) & (as_col(normalized_length) > 0), 1.0).otherwise(0.0)
     score = as_col(base) - 0.7 * F.least(as_col(hits_count), F.lit(3)) - vague
-    return F.when(as_col(base).isNotNull(), F.round(clip(score, 1.0, 10.0), 1))
+    return F.when(as_col(base).isNotNull(), round_half(clip(score, 1.0, 10.0), 1))
 
 
 def grade_band(score: Col) -> Column:

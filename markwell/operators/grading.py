@@ -88,7 +88,7 @@ def evaluate_answers(
 
     def similarity(key: str) -> Column:
         present = F.col("_vec").isNotNull() & F.col(key).isNotNull()
-        return F.when(present, F.round(cosine("_vec", key), 4))
+        return F.when(present, S.round_half(cosine("_vec", key), 4))
 
     compared = vectors.withColumns({"hr_sim": similarity("hr_vec"), "ai_sim": similarity("ai_vec")}).withColumn(
         "chosen", choose_reference(F.col("hr_sim"), F.col("ai_sim"))
@@ -96,7 +96,7 @@ def evaluate_answers(
     scored = compared.withColumns(
         {
             "chosen_sim": F.when(F.col("chosen") == "hr", F.col("hr_sim")).when(F.col("chosen") == "ai", F.col("ai_sim")),
-            "criteria_score": F.round(S.criteria_to_score("criteria_passed", "criteria_total"), 2),
+            "criteria_score": S.round_half(S.criteria_to_score("criteria_passed", "criteria_total"), 2),
         }
     ).withColumns(
         {
@@ -113,8 +113,8 @@ def evaluate_answers(
         }
     ).withColumns(
         {
-            "blended_score": F.round("_blend", 2),
-            "length_ratio": F.round("_ratio", 3),
+            "blended_score": S.round_half("_blend", 2),
+            "length_ratio": S.round_half("_ratio", 3),
             "length_delta": S.length_delta("_ratio"),
         }
     )
@@ -142,7 +142,7 @@ def evaluate_answers(
 def average_score(scores: DataFrame, score: str = "final_score") -> DataFrame:
     """Mean of the non-null scores of tasks 1..3 per document, 2 decimals, NULL if there are none."""
     counted = F.when(F.col("task_number") <= 3, F.col(score))
-    return scores.groupBy("doc_id").agg(F.round(F.avg(counted), 2).alias("average_score_tasks_1_3"))
+    return scores.groupBy("doc_id").agg(S.round_half(F.avg(counted), 2).alias("average_score_tasks_1_3"))
 
 
 def validate_grades(edits: DataFrame) -> DataFrame:

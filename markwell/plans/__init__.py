@@ -8,6 +8,7 @@ MODULES = (
     "text_queries",
     "style_queries",
     "scoring_queries",
+    "lifecycle_queries",
 )
 
 

@@ -97,7 +97,7 @@ def length_adjustment(spark, sf):
         "doc_id", "task_number", S.stripped_length("content").alias("answer_len"), S.stripped_length("key").alias("key_len")
     )
     return joined.withColumn("r", S.length_ratio("answer_len", "key_len")).select(
-        "doc_id", "task_number", "answer_len", "key_len", F.round("r", 3).alias("ratio"), S.length_delta("r").alias("delta_score")
+        "doc_id", "task_number", "answer_len", "key_len", S.round_half("r", 3).alias("ratio"), S.length_delta("r").alias("delta_score")
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwell.plans.fixtures import catalogue_values
+from markwell import constants as K
+from markwell.plans.fixtures import catalogue_values, count_patterns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -224,20 +225,20 @@ FROM (SELECT kind, task_number, content,
     # The evaluation of every (document, question).
     "v_eval": """
 SELECT *, CASE WHEN chosen IS NULL THEN NULL ELSE round(greatest(1.0, least(10.0, blend + length_delta
-            - CASE WHEN nlen > 0 THEN 1.0 ELSE 0.0 END)), 1) END AS final_score
+            - CASE WHEN nlen > 0 AND coverage = 0 THEN 1.0 ELSE 0.0 END)), 1) END AS final_score
 FROM (
  SELECT *, round(blend, 2) AS blended_score, round(ratio, 3) AS length_ratio,
    CASE WHEN ratio IS NULL THEN 0.0 WHEN ratio < 1 THEN round(-1.5 * (1.0 - ratio), 2)
         ELSE round(CAST(0.5 AS DOUBLE) * greatest(0.0, least(1.0, (ratio - 1.0) / CAST(0.8 AS DOUBLE))), 2) END AS length_delta
  FROM (
-  SELECT *, greatest(1.0, least(10.0, coalesce(CAST(0.7 AS DOUBLE) * cosine_score + CAST(0.3 AS DOUBLE) * criteria_score, cosine_score))) AS blend,
+  SELECT *, CASE WHEN cosine_score IS NOT NULL THEN greatest(1.0, least(10.0, coalesce(CAST(0.7 AS DOUBLE) * cosine_score + CAST(0.3 AS DOUBLE) * criteria_score, cosine_score))) END AS blend,
     CASE WHEN answer_len > 0 AND ai_key_len > 0 THEN (answer_len + 30) / CAST(ai_key_len + 30 AS DOUBLE) END AS ratio
   FROM (
-   SELECT *, round(greatest(1.0, least(10.0, 10.0 * greatest(0.0, least(1.0, (chosen_sim - 0.45::DOUBLE) / (0.90::DOUBLE - 0.45::DOUBLE))))), 1) AS cosine_score,
+   SELECT *, CASE WHEN chosen_sim IS NOT NULL THEN round(greatest(1.0, least(10.0, 10.0 * greatest(0.0, least(1.0, (chosen_sim - 0.45::DOUBLE) / (0.90::DOUBLE - 0.45::DOUBLE))))), 1) END AS cosine_score,
      length(trim(content, <CHARS>)) AS answer_len, CASE WHEN chosen IS NULL THEN 0 ELSE length(trim(ai_text, <CHARS>)) END AS ai_key_len,
-     length(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g'))) AS nlen
+     length(norm) AS nlen, """ + count_patterns("norm", K.CONCRETENESS_PATTERNS.values()) + """ AS coverage
    FROM (
-    SELECT *, CASE WHEN hr_sim IS NULL AND ai_sim IS NULL THEN NULL WHEN ai_sim IS NULL OR hr_sim >= ai_sim THEN 'hr' ELSE 'ai' END AS chosen,
+    SELECT *, trim(regexp_replace(lower(content), '[^<WD>]+', ' ', 'g')) AS norm, CASE WHEN hr_sim IS NULL AND ai_sim IS NULL THEN NULL WHEN ai_sim IS NULL OR hr_sim >= ai_sim THEN 'hr' ELSE 'ai' END AS chosen,
       CASE WHEN hr_sim IS NULL AND ai_sim IS NULL THEN NULL WHEN ai_sim IS NULL OR hr_sim >= ai_sim THEN hr_sim ELSE ai_sim END AS chosen_sim
     FROM (
      SELECT s.doc_id, s.task_number, coalesce(a.content, '') AS content, ai.content AS ai_text,
