@@ -196,24 +196,31 @@ def roman_number(word: Col) -> Column:
     return out
 
 
-def match_starts(text: Col, pattern: str) -> Column:
-    """All matches of ``pattern`` as an array of (pos, hit), positions counted from 0.
+def sql_regex(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    if "'" in pattern:
+        raise ValueError("write quotes in patterns as \\x27")
+    return f"r'{pattern}'"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once and uses it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def match_starts(text: str, pattern: str) -> str:
+    """SQL text for all matches of ``pattern`` in ``text`` as an array of (pos, hit), counted from 0.
 
     ``split`` and ``regexp_extract_all`` walk the text the same way, so piece and match lengths
     give every offset without leaving the JVM.
     """
-    t = as_col(text)
-    hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(t, pattern), F.length)
-    empty = F.expr("CAST(array() AS array<struct<pos:int,hit:string>>)")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def step(acc, pair):
-        start = acc["at"] + pair["gap"]
-        found = F.concat(acc["found"], F.array(F.struct(start.alias("pos"), pair["hit"].alias("hit"))))
-        return F.struct((start + F.length(pair["hit"])).alias("at"), found.alias("found"))
-
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
+    regex = sql_regex(pattern)
+    empty = "CAST(array() AS array<struct<pos:int,hit:string>>)"
+    gaps = f"slice(transform(split({text}, {regex}), g -> length(g)), 1, size(hits))"
+    pairs = f"zip_with({gaps}, hits, (g, h) -> named_struct('gap', g, 'hit', h))"
+    step = (
+        "(acc, p) -> named_struct('at', acc.at + p.gap + length(p.hit), 'found',"
+        " concat(acc.found, array(named_struct('pos', acc.at + p.gap, 'hit', p.hit))))"
     )
-    return F.when(F.size(hits) == 0, empty).otherwise(F.aggregate(pairs, state, step, lambda acc: acc["found"]))
+    walk = f"aggregate({pairs}, named_struct('at', 0, 'found', {empty}), {step}, acc -> acc.found)"
+    return bind(f"regexp_extract_all({text}, {regex}, 0)", "hits", f"if(size(hits) = 0, {empty}, {walk})")

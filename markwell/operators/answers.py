@@ -24,7 +24,7 @@ def unpack(packed: DataFrame, prefix: str = "task_") -> DataFrame:
     slots = F.array(
         *[F.struct(F.lit(k).alias("task_number"), F.col(f"{prefix}{k}").alias("content")) for k in K.TASKS]
     )
-    return packed.select("doc_id", F.inline(slots))
+    return packed.select("doc_id", F.inline_outer(slots))
 
 
 def non_empty_count(columns: list[Column]) -> Column:

@@ -75,7 +75,7 @@ def detect_tails(answers: DataFrame, embed: Embed = hashed_words, threshold: flo
     )
     return (
         with_tails(pack(answers), embed, threshold)
-        .select("doc_id", F.inline(slots))
+        .select("doc_id", F.inline_outer(slots))
         .select("doc_id", "task_number", F.posexplode("tails").alias("tail_no", "t"))
         .select("doc_id", "task_number", "tail_no", "t.*")
     )
@@ -147,7 +147,7 @@ def tail_lists(cleaned: DataFrame) -> DataFrame:
             for k in K.TASKS
         ]
     )
-    return cleaned.select("doc_id", F.inline(slots))
+    return cleaned.select("doc_id", F.inline_outer(slots))
 
 
 __all__ = [

@@ -93,7 +93,7 @@ def with_criteria(answers: DataFrame, catalogue: Catalogue) -> DataFrame:
 def criteria_match(answers: DataFrame, catalogue: Catalogue) -> DataFrame:
     """One row per (answer, criterion)."""
     keys = [c for c in answers.columns if c != "content"]
-    return with_criteria(answers, catalogue).select(*keys, F.inline("criteria_details"))
+    return with_criteria(answers, catalogue).select(*keys, F.inline_outer("criteria_details")).filter("name IS NOT NULL")
 
 
 def apply_overrides(criteria: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def question_spine(answers: DataFrame, key_questions: list[int]) -> DataFrame:
         ]
     )
     extra = answers.filter(~known).select("doc_id", "task_number", "content", F.lit(True).alias("has_candidate"))
-    return packed.select("doc_id", F.inline(slots)).unionByName(extra)
+    return packed.select("doc_id", F.inline_outer(slots)).unionByName(extra)
 
 
 def key_table(keys: DataFrame, embed: Embed) -> DataFrame:

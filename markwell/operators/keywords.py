@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions import text as T
+from markwell.operators.generate import exploded, numbered, settled
 
 
 def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> DataFrame:
     lowered = F.regexp_extract_all(F.lower(text), F.lit(f"[{K.WORD_CLASS}]+"), F.lit(0))
     stop = [w for w in K.RUSSIAN_STOP_WORDS + K.ENGLISH_STOP_WORDS if len(w) > 2]
     cols = [*keys, *([order] if order else [])]
-    exploded = df.select(*cols, F.posexplode(lowered).alias("pos", "word"))
-    return exploded.filter((F.length("word") > 2) & ~F.col("word").isin(*stop))
+    return numbered(df, cols, lowered, "pos", "word").filter((F.length("word") > 2) & ~F.col("word").isin(*stop))
 
 
 def keyword_frequency(df: DataFrame, keys: list[str], text: str, n: int, order: str) -> DataFrame:
@@ -36,14 +36,14 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     L2-normalised count over the 2n most frequent features (ties alphabetical). Texts of fewer than three
     usable tokens fall back to plain word counts; texts under ten characters give nothing.
     """
-    clean = df.select(key, T.normalize_strip_punct(text).alias("_t")).filter(F.length("_t") >= 10)
-    tokens = clean.select(key, "_t", T.tokenize("_t").alias("_k"))
+    clean = settled(df.select(key, T.normalize_strip_punct(text).alias("_t"))).filter(F.length("_t") >= 10)
+    tokens = settled(clean.select(key, "_t", T.tokenize("_t").alias("_k")))
     pairs = F.zip_with(
         F.slice("_k", F.lit(1), F.greatest(F.size("_k") - 1, F.lit(0))),
         F.slice("_k", F.lit(2), F.greatest(F.size("_k") - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    grams = tokens.filter(F.size("_k") >= 3).select(key, F.explode(F.concat("_k", pairs)).alias("keyword"))
+    grams = exploded(tokens.filter(F.size("_k") >= 3), [key], F.concat("_k", pairs), "keyword")
     counted = grams.groupBy(key, "keyword").agg(F.count("*").alias("_n"))
     by_count = Window.partitionBy(key).orderBy(F.desc("_n"), F.asc("keyword"))
     features = counted.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= 2 * n)
@@ -70,7 +70,7 @@ def keywords_per_task(references: DataFrame, n: int = 15) -> DataFrame:
 
 def corpus_tfidf(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Classic tf-idf over the corpus: term count x ln(documents / documents with the term)."""
-    tokens = df.select(key, F.explode(T.tokenize(T.normalize_strip_punct(text))).alias("keyword"))
+    tokens = exploded(df, [key], T.tokenize(T.normalize_strip_punct(text)), "keyword")
     tf = tokens.groupBy(key, "keyword").agg(F.count("*").alias("_n"))
     spread = tf.groupBy("keyword").agg(F.count("*").alias("_df"))
     total = df.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions import text as T
+from markwell.operators.generate import numbered
 from markwell.operators.running import running_sums
 
 IMAGE_MARKER = r"\[Изображение[^\]]*\]"
@@ -34,12 +35,11 @@ def pipe_table_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     tables = F.filter(F.transform(runs, rows_of), lambda rows: F.size(rows) > 0)
     words = "|".join(K.TABLE_HEADER_WORDS)
-    exploded = df.select(id_col, F.posexplode(tables).alias("t", "rows")).select(
-        id_col, (F.col("t") + 1).cast("bigint").alias("table_no"), F.posexplode("rows").alias("r", "cells")
-    )
-    return exploded.select(
+    found = numbered(df, [id_col], tables, "t", "rows")
+    rows = numbered(found, [id_col, "t"], "rows", "r", "cells")
+    return rows.select(
         id_col,
-        "table_no",
+        (F.col("t") + 1).cast("bigint").alias("table_no"),
         (F.col("r") + 1).cast("bigint").alias("row_no"),
         ((F.col("r") == 0) & F.lower(F.array_join("cells", " ")).rlike(words)).alias("is_header"),
         "cells",
@@ -52,7 +52,7 @@ def interleave_images(texts: DataFrame, images: DataFrame) -> DataFrame:
     Text parts and images meet on (doc_id, slot), so nothing is collected per document. The
     ordinal of an image is a running count over buckets of positions.
     """
-    parts = texts.select("doc_id", F.posexplode(F.split("content", IMAGE_MARKER)).alias("slot", "content"))
+    parts = numbered(texts, ["doc_id"], F.split("content", IMAGE_MARKER), "slot", "content")
     has_marker = texts.select("doc_id", F.col("content").rlike(IMAGE_MARKER).alias("marked"))
     parts = parts.join(has_marker, "doc_id").select(
         "doc_id", "slot", F.lit(0).alias("rank"), F.lit("text").alias("kind"),
@@ -65,8 +65,8 @@ def interleave_images(texts: DataFrame, images: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("content"), "image_path",
     )
     merged = parts.unionByName(pictures).withColumn("order_key", F.col("slot").cast("bigint") * 2 + F.col("rank"))
-    numbered = running_sums(merged, ["doc_id"], "order_key", {"seq": F.lit(1)})
-    return numbered.select("doc_id", "seq", "kind", "content", "image_path")
+    placed = running_sums(merged, ["doc_id"], "order_key", {"seq": F.lit(1)})
+    return placed.select("doc_id", "seq", "kind", "content", "image_path")
 
 
 def list_numbering(paragraphs: DataFrame) -> DataFrame:
@@ -83,6 +83,6 @@ def list_numbering(paragraphs: DataFrame) -> DataFrame:
     seen = running_sums(items, ["doc_id", "list_id"], "pos", shallower)
     restart = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_s{k}")) for k in range(1, 9)], F.lit(0))
     grouped = seen.select(*items.columns, restart.alias("_restart"))
-    numbered = running_sums(grouped, ["doc_id", "list_id", "level", "_restart"], "pos", {"number": F.lit(1)})
+    counted = running_sums(grouped, ["doc_id", "list_id", "level", "_restart"], "pos", {"number": F.lit(1)})
     prefix = F.concat(F.repeat(F.lit("  "), F.col("level")), F.col("number"), F.lit(". "))
-    return numbered.select(*items.columns, "number", prefix.alias("prefix"))
+    return counted.select(*items.columns, "number", prefix.alias("prefix"))

@@ -33,7 +33,7 @@ def score_histogram(submissions: DataFrame) -> DataFrame:
     """Five bins, empty ones included: five counters in one pass, then unpivoted."""
     bins = submissions.agg(*[F.count_if(score_bin(F.col("average_score")) == b).alias(b) for b in SCORE_BINS])
     return bins.select(
-        F.inline(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"`{b}`").alias("n")) for b in SCORE_BINS]))
+        F.inline_outer(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"`{b}`").alias("n")) for b in SCORE_BINS]))
     )
 
 

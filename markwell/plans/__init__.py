@@ -9,6 +9,8 @@ MODULES = (
     "style_queries",
     "scoring_queries",
     "lifecycle_queries",
+    "segment_queries",
+    "vector_queries",
 )
 
 

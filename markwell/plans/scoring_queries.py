@@ -36,7 +36,7 @@ def criteria_match(spark, sf):
 SELECT doc_id, task_number, CAST(count(*) FILTER (passed) AS INT) AS passed_count, CAST(count(*) FILTER (NOT passed) AS INT) AS failed_count,
        round(1.0 + 9.0 * count(*) FILTER (passed) / CAST(count(*) AS DOUBLE), 4) AS criteria_score FROM v_criteria GROUP BY ALL""", CRITERIA)
 def criteria_score(spark, sf):
-    scored = C.with_criteria(v_answers(spark, sf), X.CATALOGUE).filter("criteria_total IS NOT NULL")
+    scored = C.with_criteria(v_answers(spark, sf), X.CATALOGUE).filter(F.col("task_number").isin(*X.CATALOGUE))
     return scored.select(
         "doc_id", "task_number", F.col("criteria_passed").alias("passed_count"),
         (F.col("criteria_total") - F.col("criteria_passed")).alias("failed_count"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from markwell.functions import text as T
 from markwell.operators import layout
+from markwell.operators.generate import numbered
 from markwell.plans.catalog import query
 from markwell.plans.views import table, v_answers, v_styled, v_submissions
 
@@ -53,7 +54,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
   FROM (SELECT doc_id, string_split_regex(content, '[.!?][<SP>]+') AS p FROM v_styled)) WHERE s <> ''""",
        ("v_styled",))
 def split_sentences(spark, sf):
-    return v_styled(spark, sf).select("doc_id", F.posexplode(T.split_sentences("content")).alias("pos", "sentence"))
+    return numbered(v_styled(spark, sf), ["doc_id"], T.split_sentences("content"), "pos", "sentence")
 
 
 @query("split_paragraphs", "N5", """
@@ -62,7 +63,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
   FROM (SELECT doc_id, string_split_regex(content, '\\n[<SP>]*\\n') AS p FROM v_styled)) WHERE length(s) >= 20""",
        ("v_styled",))
 def split_paragraphs(spark, sf):
-    return v_styled(spark, sf).select("doc_id", F.posexplode(T.split_paragraphs("content")).alias("pos", "paragraph"))
+    return numbered(v_styled(spark, sf), ["doc_id"], T.split_paragraphs("content"), "pos", "paragraph")
 
 
 @query("tokenize", "N6", """

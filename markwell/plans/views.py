@@ -258,4 +258,60 @@ FROM (
                   (SELECT DISTINCT question, criterion_no, inverted FROM v_catalogue) c) m
          WHERE NOT EXISTS (SELECT 1 FROM v_answers a WHERE a.doc_id = m.doc_id AND a.task_number = m.question))
        GROUP BY ALL) c ON c.doc_id = s.doc_id AND c.task_number = s.task_number)))))""",
+    "v_parts": """
+SELECT doc_id, task_number, content, CASE doc_id % 6 WHEN 0 THEN concat('Вопрос ', task_number, '. ') WHEN 1 THEN concat('Задание №', task_number, ' ')
+    WHEN 2 THEN ['Первое задание: ', 'Второе задание: ', 'Третье задание: ', 'Четвёртое задание: '][task_number] WHEN 3 THEN concat('Ответ на ', task_number, ' ')
+    WHEN 4 THEN ['I) ', 'II) ', 'III) ', 'IV) '][task_number] ELSE concat(task_number, '. ') END AS marker FROM v_answers""",
+    "v_positions": """
+SELECT *, CAST(coalesce(sum(length(marker) + length(content) + 1) OVER (PARTITION BY doc_id ORDER BY task_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos FROM v_parts""",
+    "v_fragments": """
+SELECT doc_id, task_number, unnest(f) AS text, generate_subscripts(f, 1) - 1 AS tail_no FROM (
+  SELECT doc_id, task_number, list_filter(CASE WHEN len(paras) >= 2 THEN paras ELSE sents END, lambda x: length(x) >= 20) AS f FROM (
+    SELECT doc_id, task_number, list_filter(list_transform(string_split_regex(content, '\\n[<SP>]*\\n'), lambda x: trim(x, <CHARS>)), lambda x: length(x) >= 20) AS paras,
+      list_filter(list_transform(string_split_regex(content, '[.!?][<SP>]+'), lambda x: trim(x, <CHARS>)), lambda x: x <> '') AS sents
+    FROM v_answers WHERE length(trim(content, <CHARS>)) >= 20))""",
+    "v_tails": """
+SELECT doc_id, task_number, row_number() OVER (PARTITION BY doc_id, task_number ORDER BY tail_no) - 1 AS tail_no, text, belongs_to_task, similarity FROM (
+  SELECT f.doc_id, f.task_number, f.tail_no, f.text, arg_max(o.task_number, sim * 1000 - o.task_number * 1e-9) AS belongs_to_task, max(sim) AS similarity
+  FROM (SELECT *, list_transform(range(64), lambda i: CAST(len(list_filter(list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '[^<WD>]+', ' ', 'g')), ' '), lambda t: t <> ''),
+            lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64), lambda b: b = i)) AS DOUBLE)) AS fv FROM v_fragments) f
+  JOIN v_hashed o ON o.doc_id = f.doc_id AND o.task_number <> f.task_number,
+  LATERAL (SELECT coalesce(list_dot_product(fv, o.vec) / nullif(sqrt(list_dot_product(fv, fv) * list_dot_product(o.vec, o.vec)), 0), 0) AS sim)
+  GROUP BY ALL) WHERE similarity > 0.75""",
+    "v_moved": """
+SELECT s.doc_id, s.n AS task_number, CASE WHEN t.texts IS NULL THEN coalesce(a.content, '') ELSE
+    list_reduce(list_concat([coalesce(a.content, '')], t.texts), lambda x, y: trim(replace(x, y, ''), <CHARS>)) END AS content,
+  coalesce(r.received, '') AS tails, coalesce(r.n_received, 0) AS n_received
+FROM (SELECT DISTINCT doc_id, n FROM v_answers, (VALUES (1), (2), (3), (4)) q(n)) s
+LEFT JOIN v_answers a ON a.doc_id = s.doc_id AND a.task_number = s.n
+LEFT JOIN (SELECT doc_id, task_number, list(text ORDER BY tail_no) AS texts FROM v_tails GROUP BY ALL) t ON t.doc_id = s.doc_id AND t.task_number = s.n
+LEFT JOIN (SELECT doc_id, belongs_to_task, string_agg(text, ' | ' ORDER BY task_number, tail_no) AS received, count(*) AS n_received FROM v_tails GROUP BY ALL) r ON r.doc_id = s.doc_id AND r.belongs_to_task = s.n""",
+    "v_pairs": """
+SELECT doc_id, other_id, greatest(0.0, (average_task_similarity + content_similarity) / 2) AS overall_similarity, average_task_similarity, content_similarity FROM (
+  SELECT a.doc_id, b.doc_id AS other_id, coalesce(avg(sim) FILTER (a.slot > 0), 0) AS average_task_similarity, coalesce(max(sim) FILTER (a.slot = 0), 0) AS content_similarity
+  FROM v_vectors a JOIN v_vectors b ON a.slot = b.slot AND a.doc_id <> b.doc_id,
+  LATERAL (SELECT list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) AS sim) GROUP BY ALL)""",
 }
+
+
+def v_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like v_marked, with six marker styles by doc_id."""
+    n, d = F.col("task_number"), F.col("doc_id") % 6
+
+    def listed(*names: str):
+        return F.element_at(F.array(*[F.lit(x) for x in names]), n)
+
+    marker = (
+        F.when(d == 0, F.concat(F.lit("Вопрос "), n, F.lit(". ")))
+        .when(d == 1, F.concat(F.lit("Задание №"), n, F.lit(" ")))
+        .when(d == 2, listed("Первое задание: ", "Второе задание: ", "Третье задание: ", "Четвёртое задание: "))
+        .when(d == 3, F.concat(F.lit("Ответ на "), n, F.lit(" ")))
+        .when(d == 4, listed("I) ", "II) ", "III) ", "IV) "))
+        .otherwise(F.concat(n, F.lit(". ")))
+    )
+    parts = F.array_sort(F.collect_list(F.struct("task_number", F.concat(marker, "content").alias("part"))))
+    return (
+        v_answers(spark, sf_dir)
+        .groupBy("doc_id")
+        .agg(F.array_join(F.transform(parts, lambda p: p.part), "\n").alias("content"))
+    )
