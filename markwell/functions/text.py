@@ -169,7 +169,7 @@ def extract_score(text: Col) -> Column:
 def extract_embedded_json(text: Col, schema: str) -> Column:
     """Parse the first ``{...}`` without an inner closing brace; NULL if absent or malformed."""
     block = F.regexp_extract(as_col(text), r"\{[^}]+\}", 0)
-    return F.from_json(F.when(F.length(block) > 0, block), schema)
+    return let(block, lambda b: F.when(F.try_parse_json(b).isNotNull(), F.from_json(b, schema)))
 
 
 def append_image_text(text: Col, ocr_texts: Col) -> Column:

@@ -11,6 +11,8 @@ MODULES = (
     "lifecycle_queries",
     "segment_queries",
     "vector_queries",
+    "report_queries",
+    "source_queries",
 )
 
 
