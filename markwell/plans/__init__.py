@@ -13,6 +13,8 @@ MODULES = (
     "vector_queries",
     "report_queries",
     "source_queries",
+    "streaming_queries",
+    "function_queries",
 )
 
 
