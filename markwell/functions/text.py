@@ -208,6 +208,25 @@ def bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def run_lengths(ordered: Column) -> Column:
+    """Sorted array to (value, n) runs in n log n overall, without comparing all pairs."""
+    def runs(s):
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        )
+        return let(
+            starts,
+            lambda p: F.transform(
+                p,
+                lambda at, j: F.struct(
+                    F.get(s, at).alias("value"), (F.coalesce(F.get(p, j + 1), F.size(s)) - at).alias("n")
+                ),
+            ),
+        )
+
+    return let(ordered, lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def match_starts(text: str, pattern: str) -> str:
     """SQL text for all matches of ``pattern`` in ``text`` as an array of (pos, hit), counted from 0.
 

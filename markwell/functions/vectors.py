@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from markwell.functions.text import Col, as_col, normalize_strip_punct
+from markwell.functions.text import Col, as_col, let, normalize_strip_punct, run_lengths
 
 DIMENSIONS = 64
 
@@ -16,20 +16,20 @@ def token_bucket(token: Col, dimensions: int = DIMENSIONS) -> Column:
 
 
 def _histogram(buckets: Column, dimensions: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
+    """Dense counts: run lengths of the sorted buckets, spread over the dimensions."""
+    counts = F.map_from_entries(F.coalesce(run_lengths(F.sort_array(buckets)), F.array().cast("array<struct<value:int,n:int>>")))
+    return let(
+        counts,
+        lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double")
+        ),
     )
 
 
 def hashed_words(text: Col, dimensions: int = DIMENSIONS) -> Column:
     """Bag of words hashed into ``dimensions`` counts; a blank text gives the zero vector."""
     tokens = F.filter(F.split(normalize_strip_punct(text), " "), lambda t: F.length(t) > 0)
-    return F.get(
-        F.transform(F.array(F.transform(tokens, lambda t: token_bucket(t, dimensions))),
-                    lambda b: _histogram(b, dimensions)),
-        F.lit(0),
-    )
+    return _histogram(F.transform(tokens, lambda t: token_bucket(t, dimensions)), dimensions)
 
 
 def hashed_bigrams(text: Col, dimensions: int = DIMENSIONS) -> Column:
@@ -44,8 +44,7 @@ def hashed_bigrams(text: Col, dimensions: int = DIMENSIONS) -> Column:
         )
         return F.transform(F.concat(words, pairs), lambda t: token_bucket(t, dimensions))
 
-    buckets = F.transform(F.array(tokens), grams)
-    return F.get(F.transform(buckets, lambda b: _histogram(b, dimensions)), F.lit(0))
+    return _histogram(let(tokens, grams), dimensions)
 
 
 def dot(a: Col, b: Col) -> Column:
@@ -64,7 +63,5 @@ def cosine(a: Col, b: Col) -> Column:
 
 def l2_normalize(a: Col) -> Column:
     v = as_col(a)
-    unit = F.get(
-        F.transform(F.array(F.sqrt(squared_norm(v))), lambda n: F.transform(v, lambda x: x / n)), F.lit(0)
-    )
+    unit = let(F.sqrt(squared_norm(v)), lambda n: F.transform(v, lambda x: x / n))
     return F.when(squared_norm(v) > 0, unit).otherwise(v)

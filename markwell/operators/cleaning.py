@@ -113,7 +113,7 @@ def redistribute_tails(answers: DataFrame, tails: DataFrame) -> DataFrame:
     lists = tails.groupBy("doc_id").agg(
         *[
             F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.when(F.col("task_number") == k, F.struct("tail_no", "text", "belongs_to_task", "similarity"))
                     )

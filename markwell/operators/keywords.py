@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions import text as T
+from markwell.functions.text import let
 from markwell.operators.generate import exploded, numbered, settled
 
 
@@ -43,24 +44,36 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
         F.slice("_k", F.lit(2), F.greatest(F.size("_k") - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    grams = exploded(tokens.filter(F.size("_k") >= 3), [key], F.concat("_k", pairs), "keyword")
-    counted = grams.groupBy(key, "keyword").agg(F.count("*").alias("_n"))
-    by_count = Window.partitionBy(key).orderBy(F.desc("_n"), F.asc("keyword"))
-    features = counted.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= 2 * n)
-    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(key)))
-    weighted = features.select(key, "place", "keyword", (F.col("_n") / norm).alias("weight"))
+    # counted inside the row: sort, run lengths, sort by (count desc, term), cut
+    runs = T.run_lengths(F.sort_array(F.concat("_k", pairs)))
+    ranked = F.sort_array(F.transform(runs, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("keyword"))))
+    features = F.when(F.size("_k") >= 3, F.slice(ranked, 1, 2 * n))
+
+    def weigh(fs):
+        norm = F.sqrt(F.aggregate(fs, F.lit(0.0), lambda s, f: s + f["neg"] * f["neg"]))
+        return let(
+            norm,
+            lambda z: F.transform(
+                F.slice(fs, 1, n),
+                lambda f, i: F.struct(
+                    (i + 1).alias("place"), f["keyword"].alias("keyword"), (-f["neg"] / z).alias("weight")
+                ),
+            ),
+        )
+
+    weighted = tokens.select(key, F.inline_outer(let(features, weigh))).filter("place IS NOT NULL")
     few = tokens.filter(F.size("_k") < 3).withColumn("_o", F.lit(0))
     simple = keyword_frequency(few, [key], "_t", n, "_o").select(
         key, "place", F.col("word").alias("keyword"), F.lit(None).cast("double").alias("weight")
     )
-    return weighted.filter(F.col("place") <= n).unionByName(simple)
+    return weighted.unionByName(simple)
 
 
 def keywords_per_task(references: DataFrame, n: int = 15) -> DataFrame:
     """(task_number, keywords) for tasks 1..4; a short or missing text gives an empty list."""
     found = tfidf_keywords(references, "task_number", "content", n)
     lists = found.groupBy("task_number").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda e: e["keyword"]).alias("keywords")
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "keyword"))), lambda e: e["keyword"]).alias("keywords")
     )
     spine = references.sparkSession.createDataFrame([(k,) for k in K.TASKS], "task_number int")
     return spine.join(lists, "task_number", "left").select(

@@ -9,6 +9,7 @@ from markwell import constants as K
 from markwell.functions import text as T
 from markwell.operators.generate import numbered
 from markwell.operators.running import running_sums
+from markwell.operators.skew import skew_join
 
 IMAGE_MARKER = r"\[Изображение[^\]]*\]"
 
@@ -60,7 +61,7 @@ def interleave_images(texts: DataFrame, images: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("image_path"),
     ).filter(~T.is_blank("content"))
     ordered = running_sums(images.filter("position IS NOT NULL"), ["doc_id"], "position", {"n": F.lit(1)})
-    pictures = ordered.join(texts.select("doc_id"), "doc_id", "left_semi").select(
+    pictures = skew_join(ordered, texts.select("doc_id"), "doc_id").select(
         "doc_id", (F.col("n") - 1).cast("int").alias("slot"), F.lit(1).alias("rank"), F.lit("image").alias("kind"),
         F.lit(None).cast("string").alias("content"), "image_path",
     )

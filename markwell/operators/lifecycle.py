@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions.text import is_blank
+from markwell.operators.skew import skew_join
 from markwell.session import broadcast_if_small
 
 BATCH_ACTIONS = {
@@ -41,7 +42,8 @@ def ingest_dedup(existing: DataFrame, batch: DataFrame) -> DataFrame:
     first = batch.groupBy("file_hash").agg(
         F.min("doc_id").alias("_first_id"), F.min_by("full_filename", "doc_id").alias("_first_name")
     )
-    judged = batch.join(first, "file_hash").join(stored, "file_hash", "left")
+    facts = first.join(stored, "file_hash", "left")
+    judged = skew_join(batch, facts, "file_hash")
     known = F.col("_stored_id").isNotNull()
     repeat = F.col("doc_id") != F.col("_first_id")
     return judged.select(

@@ -64,7 +64,7 @@ def _blocks(rows: DataFrame, block: Column, counted: Column) -> DataFrame:
     prepared = rows.select("doc_id", "task_number", "final_score", block.alias("block"), counted.alias("counted"),
                            F.size("passed_names").alias("np"), F.size("failed_names").alias("nf"))
     grouped = prepared.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("task_number", "block"))).alias("blocks"),
+        F.sort_array(F.collect_list(F.struct("task_number", "block"))).alias("blocks"),
         F.round(F.avg(F.when(F.col("counted"), F.col("final_score"))), 2).alias("overall"),
         F.sum(F.when(F.col("counted"), F.col("np")).otherwise(0)).alias("passed"),
         F.sum(F.when(F.col("counted"), F.col("np") + F.col("nf")).otherwise(0)).alias("total"),
@@ -171,7 +171,7 @@ def hr_report(documents: DataFrame, evaluation: DataFrame, report_time: Column)
     )
     bodies = _blocks(rows, block, counted)
     warnings = evaluation.filter("warning IS NOT NULL").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("task_number", "warning"))).alias("w")
+        F.sort_array(F.collect_list(F.struct("task_number", "warning"))).alias("w")
     ).select("doc_id", F.array_join(F.transform("w", lambda x: F.concat(F.lit("• "), x["warning"])), "\n").alias("warnings"))
     ready = documents.select("doc_id", "filename", "type").join(bodies, "doc_id", "left").join(warnings, "doc_id", "left")
     overall = F.coalesce(
@@ -277,7 +277,7 @@ def impression_prompts(answers: DataFrame, winners: Column, likelihood: Column)
     )
     line = F.concat(F.lit("- task_"), "task_number", F.lit(": "), percent(F.col("similarity")), F.lit("\n"))
     grouped = answers.select("doc_id", "task_number", block.alias("block"), line.alias("line")).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("task_number", "block", "line"))).alias("b")
+        F.sort_array(F.collect_list(F.struct("task_number", "block", "line"))).alias("b")
     )
     sims = F.array_join(F.transform("b", lambda x: F.coalesce(x["line"], F.lit(""))), "")
     text = F.concat(

@@ -15,6 +15,7 @@ from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import bind, let
 from markwell.operators.generate import settled
+from markwell.operators.skew import skew_join
 
 SP, WD = f"[{K.SPACE_CLASS}]", f"[{K.WORD_CLASS}]"
 MARKER = "struct<pos:int,rank:int,number:int>"
@@ -168,7 +169,7 @@ def _first_per_number(markers: Column) -> Column:
     """``markers`` sorted by position; keep the first of each number."""
     return let(
         markers,
-        lambda ms: F.array_sort(
+        lambda ms: F.sort_array(
             F.array_compact(F.array(*[F.get(F.filter(ms, _is_number(k)), F.lit(0)) for k in K.TASKS]))
         ),
     )
@@ -187,7 +188,7 @@ def _first_per_position(markers: Column) -> Column:
 
 def explicit_markers(text: str) -> Column:
     found = ", ".join(_found(text, m, r, EXPLICIT_FLAGS) for r, m in enumerate(EXPLICIT))
-    merged = F.expr(bind(f"lower({text})", "low", f"array_sort(concat({found}))"))
+    merged = F.expr(bind(f"lower({text})", "low", f"sort_array(concat({found}))"))
     return _first_per_number(_first_per_position(merged))
 
 
@@ -227,7 +228,7 @@ def merge_markers(explicit: Column, numeric: Column) -> Column:
     """Four explicit markers win; otherwise both kinds, explicit first at equal positions."""
     extra = F.filter(numeric, lambda n: ~F.exists(explicit, lambda e: e["pos"] == n["pos"]))
     return F.when(F.size(explicit) >= 4, F.slice(explicit, 1, 4)).otherwise(
-        _first_per_number(F.array_sort(F.concat(explicit, extra)))
+        _first_per_number(F.sort_array(F.concat(explicit, extra)))
     )
 
 
@@ -395,13 +396,13 @@ def assign_images(images: DataFrame, markers: DataFrame) -> DataFrame:
     wide = markers.groupBy("doc_id").agg(
         *[F.min(F.when(F.col("task_number") == k, F.col("start"))).alias(f"_m{k}") for k in K.TASKS]
     )
-    slots = F.array_sort(
+    slots = F.sort_array(
         F.filter(
             F.array(*[F.struct(F.col(f"_m{k}").alias("start"), F.lit(k).alias("task_number")) for k in K.TASKS]),
             lambda m: m["start"].isNotNull(),
         )
     )
-    joined = images.join(wide, "doc_id", "left").withColumn("_slots", slots)
+    joined = skew_join(images, wide, "doc_id", "left").withColumn("_slots", slots)
     before = F.filter("_slots", lambda m: m["start"] < F.col("position"))
     first = F.get("_slots", F.lit(0))
     owner = F.when(F.size(before) > 0, F.element_at(before, -1)["task_number"]).when(

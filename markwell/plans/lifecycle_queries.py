@@ -9,7 +9,7 @@ from markwell.operators import lifecycle as L
 from markwell.operators import ranking as R
 from markwell.operators import statistics as A
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_keys, v_submissions
+from markwell.plans.views import table, texts, v_answers, v_keys, v_submissions
 
 SUBS = ("v_submissions",)
 
@@ -231,7 +231,7 @@ c AS (SELECT lang, word, count(*) AS n, min(doc_id * 100000000 + pos) AS seen FR
 SELECT lang, place, word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, seen) AS place FROM c) WHERE place <= 15""")
 def keyword_frequency(spark, sf):
     """Top 15 words per language (a top-k report over all texts)."""
-    return W.keyword_frequency(table(spark, sf, "documents"), ["lang"], "text", 15, "doc_id")
+    return W.keyword_frequency(texts(spark, sf), ["lang"], "text", 15, "doc_id")
 
 
 TFIDF_SQL = """
@@ -250,7 +250,7 @@ UNION ALL
 SELECT k, row_number() OVER (PARTITION BY k ORDER BY n DESC, pos), word, NULL FROM (
   SELECT k, word, count(*) AS n, min(pos) AS pos FROM (SELECT k, unnest(tok) AS word, generate_subscripts(tok, 1) AS pos FROM t WHERE len(tok) BETWEEN 1 AND 2) GROUP BY ALL)""")
 def tfidf_keywords(spark, sf):
-    out = W.tfidf_keywords(table(spark, sf, "documents"), "doc_id", "text", 15)
+    out = W.tfidf_keywords(texts(spark, sf), "doc_id", "text", 15)
     return out.withColumn("weight", F.round("weight", 6))
 
 

@@ -13,7 +13,7 @@ from markwell.operators import grading as G
 from markwell.operators import ranking, similarity
 from markwell.plans import fixtures as X
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_keys, v_styled, v_submissions, v_vectors
+from markwell.plans.views import table, texts, v_answers, v_keys, v_styled, v_submissions, v_vectors
 from markwell.session import broadcast_if_small
 
 CRITERIA = ("v_answers", "v_catalogue", "v_criteria")
@@ -108,13 +108,13 @@ COVER = X.count_patterns("n", X.CONCRETENESS.values())
 
 @query("uncertainty_hits", "G7", f"SELECT doc_id, {HITS} AS hits FROM (SELECT doc_id, {NORM} AS n FROM documents)")
 def uncertainty_hits(spark, sf):
-    n = table(spark, sf, "documents").select("doc_id", T.normalize_strip_punct("text").alias("n"))
+    n = texts(spark, sf).select("doc_id", T.normalize_strip_punct("text").alias("n"))
     return n.select("doc_id", S.uncertainty_hits("n", X.UNCERTAINTY).alias("hits"))
 
 
 @query("concreteness_coverage", "G8", f"SELECT doc_id, {COVER} AS coverage FROM (SELECT doc_id, {NORM} AS n FROM documents)")
 def concreteness_coverage(spark, sf):
-    n = table(spark, sf, "documents").select("doc_id", T.normalize_strip_punct("text").alias("n"))
+    n = texts(spark, sf).select("doc_id", T.normalize_strip_punct("text").alias("n"))
     return n.select("doc_id", S.concreteness_coverage("n", X.CONCRETENESS).alias("coverage"))
 
 
@@ -123,7 +123,7 @@ SELECT doc_id, round(greatest(1.0, least(10.0, base - 0.7 * least(hits, 3) - CAS
 FROM (SELECT doc_id, n, (n_chars % 101) / 10.0::DOUBLE AS base, {HITS} AS hits, {COVER} AS coverage
       FROM (SELECT doc_id, n_chars, {NORM} AS n FROM documents))""")
 def quality_penalties(spark, sf):
-    n = table(spark, sf, "documents").select("doc_id", "n_chars", T.normalize_strip_punct("text").alias("n"))
+    n = texts(spark, sf).select("doc_id", "n_chars", T.normalize_strip_punct("text").alias("n"))
     base = (F.col("n_chars") % 101) / F.lit(10.0)
     return n.select(
         "doc_id",

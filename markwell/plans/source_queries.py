@@ -41,7 +41,7 @@ def read_reference_answers(spark, sf):
     """Each submission as a reference text; answer 1 is repeated at the end and the last one wins."""
     part = F.concat(F.lit("ОТВЕТ "), "task_number", F.lit(".\n"), "content")
     texts = v_answers(spark, sf).groupBy(F.col("doc_id").alias("source_id")).agg(
-        F.array_sort(F.collect_list(F.struct("task_number", part.alias("p")))).alias("ps")  # at most four parts
+        F.sort_array(F.collect_list(F.struct("task_number", part.alias("p")))).alias("ps")  # at most four parts
     )
     text = F.concat(F.lit("intro\n"), F.array_join(F.transform("ps", lambda p: p["p"]), "\n"), F.lit("\nответ 1. again"))
     return S.cut_reference_answers(texts.select("source_id", text.alias("content")))

@@ -8,7 +8,7 @@ from markwell.functions import style
 from markwell.functions.registry import likelihood_scorer
 from markwell.operators import integrity
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_keys, v_marked, v_styled
+from markwell.plans.views import texts, v_answers, v_keys, v_marked, v_styled
 
 STYLED = ("v_styled", "v_metrics")
 
@@ -85,4 +85,4 @@ FROM doc d LEFT JOIN pr ON pr.doc_id = d.doc_id GROUP BY d.doc_id""", ("v_keys",
 def reference_style_f1(spark, sf):
     lines = [r.content for r in v_keys(spark, sf).select("content").collect()]  # at most 8 configured lines
     score = likelihood_scorer("reference", lines=lines)
-    return table(spark, sf, "documents").select("doc_id", F.round(score(F.col("text")), 6).alias("style_f1"))
+    return texts(spark, sf).select("doc_id", F.round(score(F.col("text")), 6).alias("style_f1"))

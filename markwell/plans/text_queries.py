@@ -8,20 +8,20 @@ from markwell.functions import text as T
 from markwell.operators import layout
 from markwell.operators.generate import numbered
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_styled, v_submissions
+from markwell.plans.views import table, texts, v_answers, v_styled, v_submissions
 
 
 @query("normalize_ws_lower", "N1", """
 SELECT doc_id, trim(regexp_replace(lower(text), '[<SP>]+', ' ', 'g')) AS normalized FROM documents""")
 def normalize_ws_lower(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_ws_lower("text").alias("normalized"))
+    return texts(spark, sf).select("doc_id", T.normalize_ws_lower("text").alias("normalized"))
 
 
 @query("normalize_strip_punct", "N2", """
 SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')) AS normalized
 FROM documents""")
 def normalize_strip_punct(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_strip_punct("text").alias("normalized"))
+    return texts(spark, sf).select("doc_id", T.normalize_strip_punct("text").alias("normalized"))
 
 
 @query("strip_page_furniture", "N3", """
@@ -71,7 +71,7 @@ SELECT doc_id, CAST(len(k) AS INT) AS n_tokens, array_to_string(k, ' ') AS token
   SELECT doc_id, list_filter(string_split_regex(trim(lower(text), <CHARS>), '[<SP>]+'),
                              lambda w: length(w) > 2 AND NOT list_contains(<STOP>, w)) AS k FROM documents)""")
 def tokenize(spark, sf):
-    tokens = table(spark, sf, "documents").select("doc_id", T.tokenize(F.lower("text")).alias("k"))
+    tokens = texts(spark, sf).select("doc_id", T.tokenize(F.lower("text")).alias("k"))
     return tokens.select("doc_id", F.size("k").alias("n_tokens"), F.array_join("k", " ").alias("tokens"))
 
 
@@ -180,7 +180,7 @@ SELECT doc_id, table_no, row_no,
        row_no = 1 AND regexp_matches(lower(joined), 'название|тип|поле|текущий|рекомендуемый|обоснование|name|type|field|current|recommended|justification') AS is_header,
        replace(joined, chr(31), ' | ') AS cells FROM numbered""")
 def pipe_table_rows(spark, sf):
-    rows = layout.pipe_table_rows(table(spark, sf, "documents"), "doc_id", "text")
+    rows = layout.pipe_table_rows(texts(spark, sf), "doc_id", "text")
     return rows.withColumn("cells", F.array_join("cells", " | "))
 
 

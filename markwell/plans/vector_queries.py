@@ -149,7 +149,7 @@ def near_duplicates(spark, sf):
     embed = embedder("hashed_words")
     answers = v_answers(spark, sf).select("doc_id", F.col("task_number").alias("slot"), embed(F.col("content")).alias("vec"))
     whole = v_answers(spark, sf).groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_list("content")), "\n").alias("content")  # at most four answers
+        F.array_join(F.sort_array(F.collect_list("content")), "\n").alias("content")  # at most four answers
     ).select("doc_id", F.lit(0).alias("slot"), embed(F.col("content")).alias("vec"))
     pairs = S.pairwise_similarity(answers.unionByName(whole), 0.70)
     return rounded(pairs, "overall_similarity").select("doc_id", "other_id", "overall_similarity")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwell import constants as K
+from markwell.session import spread
 from markwell.plans.fixtures import catalogue_values, count_patterns
 
 
@@ -13,10 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with text, on all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
+
+
 def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "conversations")
-        .filter(F.col("turn") < 4)
+        spread(table(spark, sf_dir, "conversations").filter(F.col("turn") < 4))
         .select(
             F.col("conv_id").alias("doc_id"),
             (F.col("turn") + 1).cast("int").alias("task_number"),
@@ -99,7 +104,7 @@ def v_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text per document; a document has at most four answers, so the group is bounded."""
     part = F.concat(F.lit("Вопрос "), F.col("task_number"), F.lit(". "), F.col("content"))
-    parts = F.array_sort(F.collect_list(F.struct("task_number", part.alias("part"))))
+    parts = F.sort_array(F.collect_list(F.struct("task_number", part.alias("part"))))
     return (
         v_answers(spark, sf_dir)
         .groupBy("doc_id")
@@ -113,7 +118,7 @@ def v_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     def when(mod: int, rest: int, text: str):
         return F.when(d % mod == rest, lit(text)).otherwise(lit(""))
 
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         F.concat(
             when(3, 0, "1. First point\n2. Second point\n"),
@@ -309,7 +314,7 @@ def v_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d == 4, listed("I) ", "II) ", "III) ", "IV) "))
         .otherwise(F.concat(n, F.lit(". ")))
     )
-    parts = F.array_sort(F.collect_list(F.struct("task_number", F.concat(marker, "content").alias("part"))))
+    parts = F.sort_array(F.collect_list(F.struct("task_number", F.concat(marker, "content").alias("part"))))
     return (
         v_answers(spark, sf_dir)
         .groupBy("doc_id")

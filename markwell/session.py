@@ -39,6 +39,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for expensive row-local work on an input of very few splits.
+
+    A large input has far more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the cluster (a temporary one only in tests)."""
     context = df.sparkSession.sparkContext

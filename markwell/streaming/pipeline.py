@@ -91,7 +91,7 @@ class SimilarityTable:
     def vectors_before(self, batch_id: int) -> DataFrame | None:
         if batch_id == 0:
             return None
-        return self.spark.read.parquet(*[f"{self.path}/vectors/batch_id={i}" for i in range(batch_id)])
+        return self.spark.read.parquet(f"{self.path}/vectors").filter(F.col("batch_id") < batch_id).drop("batch_id")
 
     def top(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/top/version={version}")
