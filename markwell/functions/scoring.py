@@ -75,7 +75,7 @@ def _portable(pattern: str) -> str:
         body = f"(?:^|[^{K.WORD_CLASS}])" + body[2:]
     if body.endswith(r"\b"):
         body = body[:-2] + f"(?:$|[^{K.WORD_CLASS}])"
-    return "(?i)" + body.replace(r"\w", f"[{K.WORD_CLASS}]")
+    return "(?iu)" + body.replace(r"\w", f"[{K.WORD_CLASS}]")
 
 
 def uncertainty_hits(normalized: Col, patterns=K.UNCERTAINTY_PATTERNS) -> Column:

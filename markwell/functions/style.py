@@ -38,7 +38,7 @@ def special_characters(text: Col) -> Column:
     return F.struct(
         t.rlike(f"[{K.EMOJI_CLASS}]").alias("has_emoji"),
         (t.contains("—") | t.contains("–")).alias("has_long_dash"),
-        t.rlike(odd).alias("has_special_unicode"),
+        (hits(t, odd) > 0).alias("has_special_unicode"),
         hits(t, odd).alias("special_chars_count"),
     )
 

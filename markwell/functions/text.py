@@ -54,7 +54,7 @@ def strip_page_furniture(text: Col) -> Column:
     """Drop page captions, number-only lines, far-right page numbers and blank lines."""
     sp = f"[{K.SPACE_CLASS}]"
     lines = F.transform(
-        F.split(as_col(text), "\n"), lambda ln: F.regexp_replace(ln, r"(?i)(страница|page)\s+\d+", "")
+        F.split(as_col(text), "\n"), lambda ln: F.regexp_replace(ln, r"(?iu)(страница|page)\s+\d+", "")
     )
     lines = F.filter(lines, lambda ln: ~is_blank(ln) & ~ln.rlike(rf"^{sp}*\d+{sp}*$"))
     lines = F.transform(

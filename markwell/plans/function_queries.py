@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from markwell.functions.registry import EMBEDDERS
+from markwell.functions.registry import EMBEDDERS, likelihood_scorer
 from markwell.functions.sqlfuncs import register_functions
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_marked, v_styled
+from markwell.plans.views import table, v_answers, v_marked, v_styled, v_submissions
+from markwell.sources.files import decode_files
 
 
 @query("register_functions", "U1", """
@@ -46,3 +47,17 @@ def segment_udtf(spark, sf):
     register_functions(spark)
     v_marked(spark, sf).createOrReplaceTempView("markwell_marked")
     return spark.sql("SELECT m.doc_id, s.task_number, s.content FROM markwell_marked m, LATERAL segment_text(m.content) s")
+
+
+@query("decoder_registry", "U3", """
+SELECT doc_id, CASE WHEN type = 'xls' THEN NULL ELSE content END AS content, CASE WHEN type = 'xls' THEN 'Unsupported file type: xls' END AS error FROM v_submissions""", ("v_submissions",))
+def decoder_registry(spark, sf):
+    files = v_submissions(spark, sf).select("doc_id", "type", F.encode("content", "UTF-8").alias("content"))
+    return decode_files(files).select("doc_id", "content", "error")
+
+
+@query("likelihood_registry", "U5", """
+SELECT doc_id, round(llm_likelihood, 4) AS likelihood FROM v_metrics""", ("v_styled", "v_metrics"))
+def likelihood_registry(spark, sf):
+    score = likelihood_scorer(None)
+    return v_styled(spark, sf).select("doc_id", F.round(score(F.col("content")), 4).alias("likelihood"))

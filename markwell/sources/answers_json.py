@@ -9,7 +9,7 @@ from markwell.functions import text as T
 
 ITEMS = "array<struct<task_number:string,content:string>>"
 OBJECT = f"struct<filename:string,file_type:string,content:string,tasks:{ITEMS},parsed_at:string>"
-FLATTEN_DEPTH = 3
+FLATTEN_DEPTH = 4
 
 
 def task_number(raw: Column) -> Column:
