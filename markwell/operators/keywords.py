@@ -11,6 +11,9 @@ from markwell.functions.text import let
 from markwell.operators.generate import exploded, numbered, settled
 
 
+POSITION_BITS = 24  # an upload of at most 16 MB has fewer words than 2^24
+
+
 def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> DataFrame:
     lowered = F.regexp_extract_all(F.lower(text), F.lit(f"[{K.WORD_CLASS}]+"), F.lit(0))
     stop = [w for w in K.RUSSIAN_STOP_WORDS + K.ENGLISH_STOP_WORDS if len(w) > 2]
@@ -21,10 +24,12 @@ def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> Data
 def keyword_frequency(df: DataFrame, keys: list[str], text: str, n: int, order: str) -> DataFrame:
     """The ``n`` most frequent words per group, ties by first appearance (``order``, then position).
 
-    Counts combine map-side; the rank keeps at most n rows per task before its shuffle.
+    Counts combine map-side; the rank keeps at most n rows per task before its shuffle. ``order`` is an integer
+    below 2^39: it is packed with the word position into one bigint, which keeps the hash aggregation.
     """
+    seen = F.shiftleft(F.col(order).cast("bigint"), POSITION_BITS) + F.col("pos")
     counted = _words(df, keys, text, order).groupBy(*keys, "word").agg(
-        F.count("*").alias("n"), F.min(F.struct(order, "pos")).alias("first_seen")
+        F.count("*").alias("n"), F.min(seen).alias("first_seen")
     )
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("first_seen"))
     return counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).drop("first_seen")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markwell import constants as K
 from markwell.functions.text import is_blank
 from markwell.operators.skew import skew_join
-from markwell.session import broadcast_if_small
+from markwell.session import broadcast_if_small, cut_lineage
 
 BATCH_ACTIONS = {
     "approve": {"approved": 1},
@@ -36,6 +36,7 @@ def ingest_dedup(existing: DataFrame, batch: DataFrame) -> DataFrame:
     First rows per hash come from ``min_by`` aggregates (combined map-side), not from a window per hash,
     so a hash shared by a large part of the batch does not end in one task.
     """
+    batch = cut_lineage(batch.select("doc_id", "full_filename", "file_hash"))  # texts are hashed once
     stored = existing.groupBy("file_hash").agg(
         F.min("doc_id").alias("_stored_id"), F.min_by("full_filename", "doc_id").alias("_stored_name")
     )
