@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,19 +79,29 @@ def _portable(pattern: str) -> str:
         body = f"(?:^|[^{K.WORD_CLASS}])" + body[2:]
     if body.endswith(r"\b"):
         body = body[:-2] + f"(?:$|[^{K.WORD_CLASS}])"
-    return "(?iu)" + body.replace(r"\w", f"[{K.WORD_CLASS}]")
+    return body.replace(r"\w", f"[{K.WORD_CLASS}]")
+
+
+def _fixed_start(pattern: str) -> str:
+    """Literal text every match starts with."""
+    found = re.match(r"(?:\\b)?([\w ]*)(.?)", pattern)
+    return found.group(1)[:-1] if found.group(2) in ("?", "*") else found.group(1)
+
+
+def _occurs(normalized: Column, pattern: str) -> Column:
+    """A match of the pattern in lower-case text; a substring test rejects most texts before the regex runs."""
+    return normalized.contains(_fixed_start(pattern)) & normalized.rlike(_portable(pattern))
 
 
 def uncertainty_hits(normalized: Col, patterns=K.UNCERTAINTY_PATTERNS) -> Column:
     """Number of patterns that occur in a text already passed through ``normalize_strip_punct``."""
-    return sum((as_col(normalized).rlike(_portable(p)).cast("int") for p in patterns), F.lit(0))
+    return sum((_occurs(as_col(normalized), p).cast("int") for p in patterns), F.lit(0))
 
 
 def concreteness_coverage(normalized: Col, categories: dict = K.CONCRETENESS_PATTERNS) -> Column:
     """Number of categories with at least one pattern in the normalized text."""
     covered = [
-        as_col(normalized).rlike("|".join(_portable(p) for p in patterns)).cast("int")
-        for patterns in categories.values()
+        reduce(or_, (_occurs(as_col(normalized), p) for p in patterns)).cast("int") for patterns in categories.values()
     ]
     return sum(covered, F.lit(0))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions import text as T
+from markwell.functions.text import let
 from markwell.functions.vectors import cosine, hashed_words
 from markwell.operators.answers import cleaning_status, non_empty_count, pack, slot_names, unpack
 
@@ -31,41 +32,43 @@ def with_tails(
     require_better_than_own: bool = False,
 ) -> DataFrame:
     """Add tails_1..tails_4 to one-row-per-document answers; everything stays inside the row."""
-    texts = packed.select("*", *[embed(F.coalesce(F.col(f"task_{k}"), F.lit(""))).alias(f"_v{k}") for k in K.TASKS])
-    parts = texts.select(
-        "*",
-        *[
-            F.transform(fragments(F.col(f"task_{k}")), lambda p: F.struct(p.alias("text"), embed(p).alias("vec"))).alias(f"_f{k}")
-            for k in K.TASKS
-        ],
+    texts = packed.withColumn("_texts", F.array(*[F.coalesce(F.col(c), F.lit("")) for c in slot_names()]))
+    vectors = texts.withColumn("_vecs", F.transform("_texts", lambda t: embed(t)))
+    parts = vectors.withColumn(
+        "_parts",
+        F.transform(
+            "_texts", lambda t: F.transform(fragments(t), lambda p: F.struct(p.alias("text"), embed(p).alias("vec")))
+        ),
     )
 
-    def tails(k: int) -> Column:
-        def judge(part):
-            options = F.array(
-                *[
-                    F.struct(cosine(part["vec"], F.col(f"_v{o}")).alias("similarity"), F.lit(-o).alias("minus_task"))
-                    for o in K.TASKS
-                    if o != k
-                ]
-            )
-            own = cosine(part["vec"], F.col(f"_v{k}")) if require_better_than_own else F.lit(-1.0)
-            return F.transform(
-                F.array(F.array_max(options)),
-                lambda best: F.struct(
-                    part["text"].alias("text"), (-best["minus_task"]).alias("belongs_to_task"),
-                    best["similarity"].alias("similarity"), (best["similarity"] > own).alias("foreign"),
-                ),
-            )
-
-        judged = F.flatten(F.transform(F.col(f"_f{k}"), judge))
-        kept = F.filter(judged, lambda t: (t["similarity"] > threshold) & t["foreign"])
-        return F.transform(
-            kept, lambda t: F.struct(t["text"].alias("text"), t["belongs_to_task"].alias("belongs_to_task"),
-                                     t["similarity"].alias("similarity"))
+    def judge(part, i):
+        others = F.filter(F.sequence(F.lit(0), F.lit(len(K.TASKS) - 1)), lambda o: o != i)
+        options = F.transform(
+            others,
+            lambda o: F.struct(cosine(part["vec"], F.get("_vecs", o)).alias("similarity"), (-o - 1).alias("minus_task")),
+        )
+        own = cosine(part["vec"], F.get("_vecs", i)) if require_better_than_own else F.lit(-1.0)
+        return let(
+            F.array_max(options),
+            lambda best: F.struct(
+                part["text"].alias("text"), (-best["minus_task"]).alias("belongs_to_task"),
+                best["similarity"].alias("similarity"), (best["similarity"] > own).alias("foreign"),
+            ),
         )
 
-    return parts.select(*packed.columns, *[tails(k).alias(f"tails_{k}") for k in K.TASKS])
+    judged = parts.withColumn("_judged", F.transform("_parts", lambda ps, i: F.transform(ps, lambda p: judge(p, i))))
+    kept = judged.withColumn(
+        "_tails",
+        F.transform(
+            "_judged",
+            lambda ts: F.transform(
+                F.filter(ts, lambda t: (t["similarity"] > threshold) & t["foreign"]),
+                lambda t: F.struct(t["text"].alias("text"), t["belongs_to_task"].alias("belongs_to_task"),
+                                   t["similarity"].alias("similarity")),
+            ),
+        ),
+    )
+    return kept.select(*packed.columns, *[F.get("_tails", F.lit(k - 1)).alias(f"tails_{k}") for k in K.TASKS])
 
 
 def detect_tails(answers: DataFrame, embed: Embed = hashed_words, threshold: float = K.TAIL_SIMILARITY) -> DataFrame:

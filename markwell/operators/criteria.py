@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwell import constants as K
-from markwell.functions.text import normalize_ws_lower
+from markwell.functions.text import bind, normalize_ws_lower
 
 MATCHED_KEYWORDS_KEPT = 20
 DETAIL_TYPE = (
@@ -32,50 +32,49 @@ class Criterion:
 Catalogue = dict[int, tuple[Criterion, ...]]
 
 
-def keyword_hit(normalized: Column, keyword: str) -> Column:
-    """Substring for phrases and special characters, whole word otherwise."""
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keyword_hit(normalized: str, keyword: str) -> str:
+    """SQL text of the test: substring for phrases and special characters, whole word otherwise."""
     kw = re.sub(r"\s+", " ", keyword.lower()).strip()
     if not kw:
-        return F.lit(False)
-    found = normalized.contains(kw)
+        return "false"
+    found = f"contains({normalized}, {_literal(kw)})"
     if re.search(r"[^a-zа-я0-9_]", kw):
         return found
     # the cheap substring test rejects most texts before the regex runs
-    return found & normalized.rlike(f"(?:^|[^{K.WORD_CLASS}]){kw}(?:$|[^{K.WORD_CLASS}])")
-
-
-def _detail(number: int, criterion: Criterion, normalized: Column) -> Column:
-    hit = F.array_compact(
-        F.array(*[F.when(keyword_hit(normalized, k), F.lit(k)) for k in criterion.keywords])
-        if criterion.keywords
-        else F.array(F.lit(None).cast("string"))
-    )
-    kept = F.slice(hit, 1, MATCHED_KEYWORDS_KEPT)
-    matched = F.size(hit) > 0
-    return F.struct(
-        F.lit(number).alias("criterion_no"),
-        F.lit(criterion.name).alias("name"),
-        matched.alias("matched"),
-        kept.alias("matched_keywords"),
-        F.lit(criterion.is_inverted).alias("inverted"),
-        (~matched if criterion.is_inverted else matched).alias("passed"),
+    return f"({found} AND rlike({normalized}, r'(?:^|[^{K.WORD_CLASS}]){kw}(?:$|[^{K.WORD_CLASS}])'))"
+
+
+def _detail(number: int, criterion: Criterion, normalized: str) -> str:
+    hits = ", ".join(f"if({keyword_hit(normalized, k)}, {_literal(k)}, NULL)" for k in criterion.keywords) or "NULL"
+    found = f"array_compact(CAST(array({hits}) AS array<string>))"
+    inverted = str(criterion.is_inverted).lower()
+    return bind(
+        found, "h",
+        f"named_struct('criterion_no', {number}, 'name', {_literal(criterion.name)}, 'matched', size(h) > 0,"
+        f" 'matched_keywords', slice(h, 1, {MATCHED_KEYWORDS_KEPT}), 'inverted', {inverted},"
+        f" 'passed', (size(h) > 0) <> {inverted})",
     )
 
 
-def criteria_details(question: Column, normalized: Column, catalogue: Catalogue) -> Column:
+def criteria_details(question: str, normalized: str, catalogue: Catalogue) -> Column:
     """Array of criterion results for the question of the row; NULL where it has no criteria."""
-    out = F.lit(None).cast(DETAIL_TYPE)
-    for number, criteria in sorted(catalogue.items(), reverse=True):
-        details = F.array(*[_detail(i, c, normalized) for i, c in enumerate(criteria, 1)]).cast(DETAIL_TYPE)
-        out = F.when(question == number, details).otherwise(out)
-    return out
+    cases = [
+        f"WHEN {question} = {number} THEN array({', '.join(_detail(i, c, normalized) for i, c in enumerate(criteria, 1))})"
+        for number, criteria in sorted(catalogue.items())
+        if criteria
+    ]
+    return F.expr(f"CASE {' '.join(cases)} END" if cases else "NULL").cast(DETAIL_TYPE)
 
 
 def with_criteria(answers: DataFrame, catalogue: Catalogue) -> DataFrame:
     """Add ``criteria_details``, ``criteria_passed`` and ``criteria_total`` to (…, task_number, content)."""
     prepared = answers.withColumn("_norm", normalize_ws_lower("content"))
     scored = prepared.withColumn(
-        "criteria_details", criteria_details(F.col("task_number"), F.col("_norm"), catalogue)
+        "criteria_details", criteria_details("task_number", "_norm", catalogue)
     ).drop("_norm")
     return scored.withColumns(
         {

@@ -61,14 +61,10 @@ def key_table(keys: DataFrame, embed: Embed) -> DataFrame:
         F.max(F.when(F.col("kind") == "hr", F.col("content"))).alias("hr_text"),
         F.max(F.when(F.col("kind") == "ai", F.col("content"))).alias("ai_text"),
     )
-    return wide.select(
-        "task_number",
-        "ai_text",
-        F.col("hr_text").isNotNull().alias("has_hr"),
-        F.col("ai_text").isNotNull().alias("has_ai"),
-        F.when(F.length(T.normalize_strip_punct("hr_text")) > 0, embed(F.col("hr_text"))).alias("hr_vec"),
-        F.when(F.length(T.normalize_strip_punct("ai_text")) > 0, embed(F.col("ai_text"))).alias("ai_vec"),
+    vecs = F.transform(
+        F.array("hr_text", "ai_text"), lambda t: F.when(F.length(T.normalize_strip_punct(t)) > 0, embed(t))
     )
+    return wide.select("task_number", "ai_text", vecs.alias("key_vecs"))
 
 
 def evaluate_answers(
@@ -86,11 +82,13 @@ def evaluate_answers(
     )
     vectors = prepared.withColumn("_vec", F.when(F.length("_norm_text") > 0, embed(F.col("content"))))
 
-    def similarity(key: str) -> Column:
-        present = F.col("_vec").isNotNull() & F.col(key).isNotNull()
-        return F.when(present, S.round_half(cosine("_vec", key), 4))
-
-    compared = vectors.withColumns({"hr_sim": similarity("hr_vec"), "ai_sim": similarity("ai_vec")}).withColumn(
+    sims = F.transform(
+        "key_vecs",
+        lambda key: F.when(F.col("_vec").isNotNull() & key.isNotNull(), S.round_half(cosine("_vec", key), 4)),
+    )
+    compared = vectors.withColumn("_sims", sims).withColumns(
+        {"hr_sim": F.get("_sims", F.lit(0)), "ai_sim": F.get("_sims", F.lit(1))}
+    ).withColumn(
         "chosen", choose_reference(F.col("hr_sim"), F.col("ai_sim"))
     )
     scored = compared.withColumns(

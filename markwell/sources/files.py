@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names; a local one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return os.path.join(shared, next(tempfile._get_candidate_names()))
+        return os.path.join(shared, f"markwell-{uuid.uuid4().hex}")
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a shared folder")
