@@ -74,16 +74,25 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return weighted.unionByName(simple)
 
 
-def keywords_per_task(references: DataFrame, n: int = 15) -> DataFrame:
-    """(task_number, keywords) for tasks 1..4; a short or missing text gives an empty list."""
-    found = tfidf_keywords(references, "task_number", "content", n)
-    lists = found.groupBy("task_number").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "keyword"))), lambda e: e["keyword"]).alias("keywords")
+def keywords_per_task(answers: DataFrame, n: int = 15) -> DataFrame:
+    """(doc_id, task_number, keywords) for tasks 1..4 of every document (or set of reference answers).
+
+    A short or missing text gives an empty list.
+    """
+    keyed = answers.select(F.struct("doc_id", "task_number").alias("key"), "content")
+    lists = tfidf_keywords(keyed, "key", "content", n).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("place", "keyword"))).alias("found")  # at most n entries
+    )
+    found = lists.select("key.*", F.transform("found", lambda e: e["keyword"]).alias("keywords"))
+    rows = answers.select("doc_id", "task_number").join(found, ["doc_id", "task_number"], "left")
+    wide = rows.groupBy("doc_id").agg(
+        *[F.max(F.when(F.col("task_number") == k, F.col("keywords"))).alias(f"k{k}") for k in K.TASKS]
     )
-    spine = references.sparkSession.createDataFrame([(k,) for k in K.TASKS], "task_number int")
-    return spine.join(lists, "task_number", "left").select(
-        "task_number", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")
+    empty = F.array().cast("array<string>")
+    slots = F.array(
+        *[F.struct(F.lit(k).alias("task_number"), F.coalesce(F.col(f"k{k}"), empty).alias("keywords")) for k in K.TASKS]
     )
+    return wide.select("doc_id", F.inline_outer(slots))
 
 
 def corpus_tfidf(df: DataFrame, key: str, text: str, n: int) -> DataFrame:

@@ -254,12 +254,14 @@ def tfidf_keywords(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("keywords_per_task", "A7", TFIDF_SQL.format(key="task_number", text="content", source="(SELECT * FROM v_keys WHERE kind = 'hr' AND task_number <> 3)") + """
-SELECT q.n AS task_number, coalesce((SELECT string_agg(keyword, ', ' ORDER BY place) FROM s WHERE s.k = q.n AND place <= 15), '') AS keywords
-FROM (VALUES (1), (2), (3), (4)) q(n)""", ("v_keys",))
+@query("keywords_per_task", "A7", TFIDF_SQL.format(key="doc_id * 10 + task_number", text="content", source="v_answers") + """,
+simple AS (SELECT k, word AS keyword, row_number() OVER (PARTITION BY k ORDER BY n DESC, pos) AS place FROM (
+  SELECT k, word, count(*) AS n, min(pos) AS pos FROM (SELECT k, unnest(tok) AS word, generate_subscripts(tok, 1) AS pos FROM t WHERE len(tok) BETWEEN 1 AND 2) GROUP BY ALL)),
+l AS (SELECT k, string_agg(keyword, ', ' ORDER BY place) AS keywords FROM (SELECT k, keyword, place FROM s WHERE place <= 15 UNION ALL SELECT k, keyword, place FROM simple) GROUP BY 1)
+SELECT d.doc_id, q.n AS task_number, coalesce(l.keywords, '') AS keywords FROM (SELECT DISTINCT doc_id FROM v_answers) d CROSS JOIN (VALUES (1), (2), (3), (4)) q(n)
+LEFT JOIN l ON l.k = d.doc_id * 10 + q.n""", ("v_answers",))
 def keywords_per_task(spark, sf):
-    references = v_keys(spark, sf).filter("kind = 'hr' AND task_number <> 3")
-    return W.keywords_per_task(references).withColumn("keywords", F.array_join("keywords", ", "))
+    return W.keywords_per_task(v_answers(spark, sf)).withColumn("keywords", F.array_join("keywords", ", "))
 
 
 RANK_SQL = "processing_status <> 'error' AND approved = 1"

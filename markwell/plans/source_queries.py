@@ -9,7 +9,7 @@ from markwell.operators import answers as A
 from markwell.operators import integrity, similarity
 from markwell.plans.catalog import query
 from markwell.plans.scoring_queries import evaluation
-from markwell.plans.views import table, v_answers, v_keys, v_marked, v_submissions, v_vectors
+from markwell.plans.views import table, v_answers, v_marked, v_submissions, v_vectors
 from markwell.sources import answers_json as J
 from markwell.sources import exports as E
 from markwell.sources import files as S
@@ -48,12 +48,15 @@ def read_reference_answers(spark, sf):
 
 
 @query("read_answer_keys", "S5", """
-SELECT kind, task_number, CASE WHEN task_number = 3 THEN '' ELSE content END AS content FROM v_keys""", ("v_keys",))
+SELECT item_id // 4 AS file_id, CAST(item_id % 4 + 1 AS INT) AS task_number, CASE WHEN item_id % 4 = 2 THEN '' ELSE text END AS content FROM benchmark""")
 def read_answer_keys(spark, sf):
-    n = F.col("task_number")
-    item = F.struct(F.concat(F.lit("Вопрос "), n).alias("task_number"), F.when(n != 3, F.col("content")).alias("content"))
-    docs = v_keys(spark, sf).groupBy("kind").agg(F.to_json(F.collect_list(item)).alias("json"))  # four items per kind
-    return J.read_answer_keys(docs)
+    """Key files of four items each, made from all benchmark texts."""
+    n = F.col("item_id") % 4 + 1
+    item = F.struct(F.concat(F.lit("Вопрос "), n).alias("task_number"), F.when(n != 3, F.col("text")).alias("content"))
+    docs = table(spark, sf, "benchmark").groupBy(F.expr("item_id div 4").alias("file_id")).agg(
+        F.to_json(F.collect_list(item)).alias("json")
+    )
+    return J.read_answer_keys(docs, "file_id")
 
 
 @query("flatten_nested_answer", "S6", """

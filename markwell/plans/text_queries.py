@@ -8,7 +8,7 @@ from markwell.functions import text as T
 from markwell.operators import layout
 from markwell.operators.generate import numbered
 from markwell.plans.catalog import query
-from markwell.plans.views import table, texts, v_answers, v_styled, v_submissions
+from markwell.plans.views import table, texts, v_marked, v_styled, v_submissions
 
 
 @query("normalize_ws_lower", "N1", """
@@ -190,8 +190,8 @@ def interleave_images(spark, sf):
 
 
 def _illustrated(spark, sf):
-    """Answers with one image marker after each sentence end, and one image per error event of the document."""
-    texts = v_answers(spark, sf).filter("task_number = 1").select(
+    """Whole submissions with one image marker after each sentence end, and one image per error event."""
+    texts = v_marked(spark, sf).select(
         "doc_id", F.replace("content", F.lit(". "), F.lit(". [Изображение: 1] ")).alias("content")
     )
     images = table(spark, sf, "events").filter("event_type = 'error'").select(
