@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from markwell.llm.chat import format_chats
 from markwell.llm.common import read_table
 from markwell.llm.licenses import scan_licenses
+from markwell.llm.minhash import near_duplicates
 from markwell.llm.mixing import mix_report
 from markwell.llm.packing import pack
 from markwell.llm.token_counts import count_tokens
@@ -20,6 +21,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
