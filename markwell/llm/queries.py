@@ -13,6 +13,7 @@ from markwell.llm.licenses import scan_licenses
 from markwell.llm.minhash import near_duplicates
 from markwell.llm.mixing import mix_report
 from markwell.llm.packing import pack
+from markwell.llm.quality import judge_quality
 from markwell.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read_table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -98,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
