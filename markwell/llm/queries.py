@@ -13,6 +13,7 @@ from markwell.llm.licenses import scan_licenses
 from markwell.llm.minhash import near_duplicates
 from markwell.llm.mixing import mix_report
 from markwell.llm.packing import pack
+from markwell.llm.passages import cut_repeats
 from markwell.llm.quality import judge_quality
 from markwell.llm.token_counts import count_tokens
 from markwell.llm.toxicity import score_toxicity
@@ -101,6 +102,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_license_scan": op8_license_scan,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 
