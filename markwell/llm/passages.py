@@ -374,11 +374,11 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.record_batch(
-                [batch.column("doc_id"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "sizes"],
+                [batch.column("doc_id"), batch.column("h"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))],
+                names=["doc_id", "source_hash", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "sizes"],
             )
 
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, starts array<int>, sizes array<int>"
+    kinds = "doc_id long, source_hash long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, starts array<int>, sizes array<int>"
     return texts.mapInArrow(run, kinds)
 
 
@@ -407,4 +407,22 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     spans = _covered(_pieces(hit, length), length)
     spans = spans.groupBy("doc_id", "h").agg(F.collect_list("at").alias("starts"), F.collect_list("size").alias("sizes"))
     joined = dealt.join(spans.withColumnRenamed("h", "_h").withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
-    return _cut(joined.select("doc_id", "text", "whole", "starts", "sizes"), length)
+    return _cut(joined.select("doc_id", "h", "text", "whole", "starts", "sizes"), length)
+
+
+def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``docs`` with what ``cut_repeats`` keeps as their text; characters that a cut runs through go as a whole. Rows that repeat
+    key and text are cut alike; all other columns stay. A row whose whole text goes keeps an empty text."""
+    cuts = cut_repeats(docs.withColumn(key, F.col(key).cast("long")), key, text, length, hot).filter("n_removed > 0")
+    cuts = stash(cuts.select(F.col("doc_id").alias("_doc"), F.col("source_hash").alias("_hash"), F.col("kept").alias("_kept")).distinct())
+    same = (docs[key] == cuts["_doc"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == cuts["_hash"])
+
+    def decode(batches):
+        for batch in batches:
+            texts = [None if k is None else k.decode("utf-8", errors="ignore") for k in batch.column("_kept").to_pylist()]
+            yield batch.drop_columns(["_kept"]).append_column("_text", pa.array(texts, pa.string()))
+
+    joined = docs.join(cuts, same, "left").drop("_doc", "_hash")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _text string"
+    decoded = joined.mapInArrow(decode, kinds)
+    return decoded.withColumn(text, F.coalesce("_text", text)).select(*docs.columns)

@@ -95,7 +95,9 @@ def _reach_all(chosen: list[list[int]], near: np.ndarray, start: int) -> None:
 def range_search(
     queries: np.ndarray, base: np.ndarray, neighbours: list[np.ndarray], start: int, threshold: float, beam: int = BEAM
 ) -> np.ndarray:
-    """Boolean matrix of the base rows found within the range of each query; all queries walk the graph side by side."""
+    """Boolean matrix of the base rows found within the range of each query.
+
+    All queries walk the graph side by side: each step opens what is new among the ``beam`` best rows that a query has seen."""
     q, n = len(queries), len(base)
     width = max(1, max((len(x) for x in neighbours), default=1))
     table = np.full((n, width), -1, dtype=np.int64)
@@ -110,24 +112,23 @@ def range_search(
         opened[who, at] = True
         pairs = np.repeat(who, width), table[at].ravel()
         real = pairs[1] >= 0
-        key = np.unique(pairs[0][real] * n + pairs[1][real])
-        key = key[score.ravel()[key] == -2.0]
+        seen = np.zeros((q, n), dtype=bool)
+        seen[pairs[0][real], pairs[1][real]] = True
+        key = np.flatnonzero(seen & (score == -2.0))
         for lo in range(0, len(key), 1 << 18):
             part = key[lo : lo + (1 << 18)]
             score[part // n, part % n] = np.einsum("ij,ij->i", queries[part // n], base[part % n])
 
     walking = np.arange(q)
+    width_now = min(beam, n)
     while len(walking):
         own = score[walking]
-        width_now = min(beam, n)
         best = np.argpartition(-own, width_now - 1, axis=1)[:, :width_now]
-        value = np.take_along_axis(own, best, axis=1)
-        value[opened[walking[:, None], best] | (value == -2.0)] = -3.0
-        at = np.argmax(value, axis=1)
-        going = value[np.arange(len(walking)), at] > -3.0
-        walking, node = walking[going], best[np.arange(len(best)), at][going]
-        if len(walking):
-            look(walking, node)
+        fresh = (np.take_along_axis(own, best, axis=1) > -2.0) & ~opened[walking[:, None], best]
+        who, slot = np.nonzero(fresh)
+        if len(who):
+            look(walking[who], best[who, slot])
+        walking = walking[fresh.any(axis=1)]
     while True:
         who, at = np.nonzero((score >= threshold - 1e-9) & ~opened)
         if not len(who):
@@ -232,7 +233,7 @@ def link_vectors(
             good[lo : lo + (1 << 18)] = dots / (np.sqrt(xx) * np.sqrt(yy)) >= threshold
         good &= asks[q] != ids[b]
         q, b = q[good], b[good]
-        shared = np.array([_first_shared(asking["shards"].iloc[i], base["shards"].iloc[j]) for i, j in zip(q, b, strict=True)], dtype=np.int64)
+        shared = _first_shared(np.array(asking["shards"].tolist()), np.array(base["shards"].tolist()), q, b)
         mine = shared == shard
         links = np.bincount(q[mine], weights=base["n"].to_numpy()[b[mine]], minlength=len(asks)).astype(np.int64)
         every = np.concatenate((asks, ids))
@@ -268,5 +269,10 @@ def link_vectors(
     )
 
 
-def _first_shared(a, b) -> int:
-    return min(set(a) & set(b))
+def _first_shared(left: np.ndarray, right: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least shard that both rows of each pair are dealt to."""
+    first = np.full(len(q), np.iinfo(np.int64).max)
+    for k in range(left.shape[1]):
+        mine = left[q, k]
+        np.minimum(first, np.where((right[b] == mine[:, None]).any(axis=1), mine, first), out=first)
+    return first
