@@ -1,10 +1,8 @@
-"""Repeated passages by merging shard Burrows-Wheeler transforms.
+"""Repeated passages by merging Burrows-Wheeler transforms.
 
 Equal ``LENGTH``-byte strings have equal anchors (see ``anchor_runs``), so texts are compared anchor by anchor: only runs of
-strings whose anchor stands in two documents or more are cut out as pieces and brought together. A task takes its pieces in
-shards, builds each shard's Burrows-Wheeler transform, and merges the transforms by refining their interleave one symbol at a
-time: after ``h`` rounds the suffixes are in order of their first ``h`` bytes, and the boundaries seen so far are the places
-where common prefixes are shorter than ``h``. After ``LENGTH`` rounds every stretch without a boundary is one repeated string.
+strings whose anchor stands in two documents or more are cut out as pieces and brought together. A task merges the transforms of
+its pieces by refining their interleave one symbol at a time (see ``merge_transforms``).
 """
 
 from __future__ import annotations
@@ -24,9 +22,10 @@ LENGTH = 50
 KEY = 16
 # An anchor that so many documents hold is split: each of its strings is routed by its own content.
 HOT = 2_000
-# Bytes of pieces that one merge takes together, and bytes of one shard in it.
+# Bytes of pieces that one merge takes together; a route is never cut in two.
 MERGE_BYTES = 1 << 20
-SHARD_BYTES = 1 << 18
+# Buckets of anchors per shuffle partition; a task takes its buckets one at a time.
+BUCKETS = 4
 _LOW = np.uint64((1 << 24) - 1)
 _ONE = np.uint64(1)
 
@@ -71,100 +70,47 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, key: i
     return hashes[owner[first]] & ~_ONE, np.searchsorted(offs, first, side="right") - 1, first, last
 
 
-# ---------------------------------------------------------------- transforms and their merge
+# ---------------------------------------------------------------- the merge
 
 
-def shard_transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of a shard, its Burrows-Wheeler symbols, and for each row the row of the suffix one symbol longer.
+def merge_transforms(data: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the transforms of many strings: starts of their ``depth``-byte substrings in sorted order, and block boundaries.
 
-    ``text`` holds strings of symbols 1..255, each closed by a 0 at ``ends``; zeros are ordered by their string, below all else.
+    ``last`` holds, for each such substring, the position behind its end. Every string is a shard; a row is a suffix, its symbol
+    the byte before it. A round takes the rows in their present interleave, stably by their symbols: that is the order, by one
+    byte more, of the suffixes one byte longer. Nothing is ever sorted but single symbols. Of each string only the rows that a
+    substring passes through in this round are carried. Where two neighbours come from different blocks or symbols, their common
+    prefix is shorter than the round's number, so a boundary stands between them; rounds refine the blocks, and after ``depth``
+    rounds a block is one repeated substring.
     """
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-    # symbols behind a string's end don't count
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | np.where(k <= left, padded[k : k + n], 0).astype(np.uint64)
-    rank = np.zeros(n, dtype=np.int64)
-
-    def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, dtype=bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank[order] = np.cumsum(new) - 1
-        return order, new
-
-    order, new = ranked(key)
-    # ends that tie are told apart by their string: a suffix that reaches its end within the key takes the string's number
-    reach = 8
-    strings = np.searchsorted(ends, np.arange(n))
-    while not new.all():
-        further = np.where(reach <= left, rank[np.minimum(np.arange(n) + reach, n - 1)] + len(ends), strings)
-        order, new = ranked((rank.astype(np.uint64) << np.uint64(32)) | further.astype(np.uint64))
-        reach *= 2
-        if reach > 2 * n:
-            break
-    symbols = np.where(order > 0, text[order - 1], 0).astype(np.uint8)
-    longer = np.empty(n, dtype=np.int64)
-    longer[order] = np.arange(n)
-    longer = longer[np.maximum(order - 1, 0)]
-    return order, symbols, longer
-
-
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' rows in order of the first ``depth`` symbols, and the boundaries between different prefixes.
-
-    Rows are numbered shard after shard. A round takes the rows in their present order, stably by the symbol before them: that
-    is the order by one symbol more of the suffixes one symbol longer. Nothing is sorted but symbols, and rows of one shard
-    never change their order. From the first round on, rows of string ends stay apart, each its own block. Rounds end early when no boundary is new.
-    """
-    bases = np.concatenate(([0], np.cumsum([len(s[0]) for s in shards])))
-    symbols = np.concatenate([s[1] for s in shards])
-    longer = np.concatenate([s[2] + b for s, b in zip(shards, bases, strict=False)])
-    closing = np.concatenate([np.arange(k) + b for k, b in zip(n_ends, bases, strict=False)])
-    n, n0 = len(symbols), len(closing)
-    is_end = np.zeros(n, dtype=bool)
-    is_end[closing] = True
-    rows = np.concatenate((closing, np.flatnonzero(~is_end)))
-    edge = np.zeros(n, dtype=bool)
-    edge[0] = True
-    seen = 1
+    rows = last
+    edge = np.zeros(len(rows), dtype=bool)
+    edge[:1] = True
     for _ in range(depth):
-        before = symbols[rows]
-        order = np.argsort(before, kind="stable")[n0:]
+        symbol = data[rows - 1]
+        order = np.argsort(symbol, kind="stable")
         block = np.cumsum(edge, dtype=np.int32)[order]
-        symbol = before[order]
-        rows = np.concatenate((closing, longer[rows[order]]))
-        edge[: n0 + 1] = True
-        edge[n0 + 1 :] = (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])
-        if (now := int(edge.sum())) == seen:
-            break
-        seen = now
+        symbol = symbol[order]
+        rows = rows[order] - 1
+        edge[1:] = (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])
     return rows, edge
 
 
-def lowest_owner(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For every piece the least owner of an equal string, for each start of a ``length``-byte string in it."""
-    sizes = np.array([len(p) for p in pieces])
-    shards, texts, n_ends, at = [], [], [], 0
-    while at < len(pieces):
-        stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), shard_bytes, side="right")))
-        # bytes of UTF-8 are below 255, so they fit above the zero that closes a piece
-        text = np.frombuffer(b"\xff".join(pieces[at:stop]) + b"\xff", dtype=np.uint8) + np.uint8(1)
-        texts.append(text)
-        shards.append(shard_transform(text, np.flatnonzero(text == 0)))
-        n_ends.append(stop - at)
-        at = stop
-    rows, edge = merge_transforms(shards, n_ends, length)
-    place = np.concatenate([s[0] + b for s, b in zip(shards, np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1], strict=True)])
-    where = place[rows]
-    bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
-    owner = owners[np.searchsorted(bounds, where, side="right") - 1]
-    least = np.minimum.reduceat(owner, np.flatnonzero(edge))[np.cumsum(edge) - 1]
-    by_place = np.empty(len(where), dtype=owners.dtype)
-    by_place[where] = least
-    return [by_place[bounds[i] : bounds[i] + max(sizes[i] - length + 1, 0)] for i in range(len(pieces))]
+def lowest_owner(data: np.ndarray, begin: np.ndarray, end: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every start of a ``length``-byte string in the pieces ``data[begin:end]``, piece after piece, the least owner of an
+    equal string."""
+    counts = np.maximum(end - begin - length + 1, 0)
+    starts = spread_ranges(begin, counts)
+    if not len(starts):
+        return np.zeros(0, dtype=owners.dtype)
+    rows, edge = merge_transforms(data, starts + length, length)
+    slot = np.empty(len(data), dtype=np.int64)
+    slot[starts] = np.arange(len(starts))
+    at = slot[rows]
+    least = np.minimum.reduceat(np.repeat(owners, counts)[at], np.flatnonzero(edge))
+    found = np.empty(len(starts), dtype=owners.dtype)
+    found[at] = least[np.cumsum(edge) - 1]
+    return found
 
 
 # ---------------------------------------------------------------- the distributed operator
@@ -200,7 +146,7 @@ def _anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, names binary, docs binary")
 
 
-def _shared_anchors(anchors: DataFrame, buckets: int, hot: int) -> DataFrame:
+def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
     """``(doc_id, name)`` of the anchors that two documents or more hold; the lowest bit of the name marks a hot one."""
 
     def judged(names: list[bytes], docs: list[bytes]):
@@ -232,7 +178,7 @@ def _shared_anchors(anchors: DataFrame, buckets: int, hot: int) -> DataFrame:
         if names:
             yield from judged(names, docs)
 
-    dealt = anchors.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc_id long, name long")
 
 
@@ -280,12 +226,14 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                 begin_c, end_c, owner_c = begin[covered], end[covered], owner[covered]
                 span_from, span_to, span_row = _union(begin_c, end_c, owner_c)
                 marks = batch.column("h").to_numpy()
-                raw = data.tobytes()
-                n, m = len(go), len(span_from)
+                m = len(span_from)
+                cut = np.concatenate(([0], np.cumsum((end - begin)[go]), np.full(m, (end - begin)[go].sum()))).astype(np.int32)
+                valid = pa.array([True] * len(go) + [False] * m).buffers()[1] if m else None
+                body = data[spread_ranges(begin[go], (end - begin)[go])]
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate((route[go].view(np.int64), keys[span_row]))),
-                        pa.array([raw[begin[i] : end[i]] for i in go] + [None] * m, pa.binary()),
+                        pa.Array.from_buffers(pa.binary(), len(go) + m, [valid, pa.py_buffer(cut), pa.py_buffer(body)]),
                         pa.array(np.concatenate((doc[go], keys[span_row]))),
                         pa.array(np.concatenate((marks[owner[go]], marks[span_row]))),
                         pa.array(np.concatenate((begin[go] - offs[owner[go]], span_from - offs[span_row])).astype(np.int32)),
@@ -310,43 +258,75 @@ def _union(begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndar
     return begin[at], np.maximum.reduceat(end, at), row[at]
 
 
+def covered_spans(route: np.ndarray, data: np.ndarray, offs: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``(piece, at, size)`` of the stretches of pieces that equal strings of lower documents cover.
+
+    Equal pieces are taken once, for their lowest document. A route with one distinct piece needs no merge: all its strings
+    belong to that document.
+    """
+    begin, end = offs[:-1], offs[1:]
+    _, sample, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+    owner = np.full(len(sample), np.iinfo(np.int64).max)
+    np.minimum.at(owner, which, doc)
+    counts = (end - begin)[sample] - length + 1
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    least = np.repeat(owner, counts)
+    _, of_route, often = np.unique(route[sample], return_inverse=True, return_counts=True)
+    several = often[of_route] > 1
+    least[spread_ranges(bounds[:-1][several], counts[several])] = lowest_owner(
+        data, begin[sample][several], end[sample][several], owner[several], length
+    )
+    mine = counts[which]
+    hit = least[spread_ranges(bounds[:-1][which], mine)] < np.repeat(doc, mine)
+    edges = np.concatenate(([0], np.cumsum(mine)))
+    first, last = hit.copy(), hit.copy()
+    first[1:] &= ~hit[:-1]
+    first[edges[:-1]] |= hit[edges[:-1]]
+    last[:-1] &= ~hit[1:]
+    last[edges[1:] - 1] |= hit[edges[1:] - 1]
+    lo, hi = np.flatnonzero(first), np.flatnonzero(last)
+    piece = np.searchsorted(edges, lo, side="right") - 1
+    return piece, lo - edges[piece], hi - lo + length
+
+
 def _covered(pieces: DataFrame, length: int) -> DataFrame:
     """Spans that an equal string of a lower document covers, from pieces that meet by their route."""
-
-    def merged(rows: list) -> pa.RecordBatch:
-        distinct: dict[bytes, int] = {}
-        number = [distinct.setdefault(r[0], len(distinct)) for r in rows]
-        doc = np.array([r[1] for r in rows], dtype=np.int64)
-        owners = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(owners, number, doc)
-        least = lowest_owner(list(distinct), owners, length)
-        out = []
-        for (_, d, h, at), k in zip(rows, number, strict=True):
-            taken = np.flatnonzero(np.diff(np.concatenate(([0], least[k] < d, [0])).astype(np.int8)))
-            out += [(d, h, at + int(lo), int(hi - lo) + length - 1) for lo, hi in zip(taken[::2], taken[1::2], strict=True)]
-        return spans(out)
-
-    def spans(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.record_batch([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "h", "at", "size"])
+    span = ["doc_id", "h", "at", "size"]
+
+    def spans(table: pa.Table) -> pa.RecordBatch:
+        data, offs = text_buffer(table.column("piece"))
+        doc = table.column("doc_id").to_numpy()
+        piece, at, size = covered_spans(table.column("route").to_numpy(), data, offs, doc, length)
+        at = at + table.column("at").to_numpy()[piece]
+        return pa.record_batch(
+            [pa.array(doc[piece]), pa.array(table.column("h").to_numpy()[piece]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))],
+            names=span,
+        )
 
     def run(batches):
-        held, size, route = [], 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            loose = batch.filter(pc.is_null(batch.column("piece")))
+            tied = pc.is_valid(batch.column("piece"))
+            loose = batch.filter(pc.invert(tied))
             if loose.num_rows:
-                yield loose.select(["doc_id", "h", "at", "size"])
-            tied = batch.filter(pc.is_valid(batch.column("piece")))
-            for r, *row in zip(*(tied.column(c).to_pylist() for c in ("route", "piece", "doc_id", "h", "at")), strict=True):
-                if r != route and size >= MERGE_BYTES:
-                    yield merged(held)
-                    held, size = [], 0
-                route = r
-                held.append(tuple(row))
-                size += len(row[0])
+                yield loose.select(span)
+            batch = batch.filter(tied)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("piece").nbytes
+            if size < MERGE_BYTES:
+                continue
+            table = pa.Table.from_batches(held)
+            route = table.column("route").to_numpy()
+            cut = int(np.searchsorted(route, route[-1]))
+            if cut:
+                yield spans(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+                size = sum(b.column("piece").nbytes for b in held)
         if held:
-            yield merged(held)
+            yield spans(pa.Table.from_batches(held))
 
     return pieces.repartition("route").sortWithinPartitions("route").mapInArrow(run, _SPAN)
 
@@ -391,7 +371,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     table gives no rows; further columns are not read. ``kept`` are bytes: a span may end inside a character.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     plain = plain.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
     groups = plain.filter("doc_id is not null").groupBy("h", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
@@ -400,7 +380,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length
         "doc_id", "text", "h", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).alias("whole")
     )
     single = marked.filter("not whole and doc_id is not null").select("doc_id", "text")
-    names = _shared_anchors(_anchors(single, length, buckets), buckets, hot)
+    names = _shared_anchors(_anchors(single, length, BUCKETS * parts), parts, hot)
     names = stash(names).groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     dealt = marked.repartition("doc_id")
     hit = dealt.filter("not whole").join(names, "doc_id").select("doc_id", "h", "text", "names")
