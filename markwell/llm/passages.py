@@ -22,6 +22,13 @@ LENGTH = 50
 KEY = 16
 # An anchor that so many documents hold is split: each of its strings is routed by its own content.
 HOT = 2_000
+# Bytes of text whose anchors are taken at once.
+ANCHOR_STEP = 1 << 19
+# Bits of an anchor's hash that name it while anchors are counted (a false match only costs work), and bits of the hash of a
+# run's bytes, which tells runs of one anchor apart.
+NAME_BITS = 48
+CONTENT_BITS = 40
+COVERED, SPLIT = 1, 2
 # Bytes of pieces that one merge takes together; a route is never cut in two.
 MERGE_BYTES = 1 << 20
 # Buckets of anchors per shuffle partition; a task takes its buckets one at a time.
@@ -116,74 +123,98 @@ def lowest_owner(data: np.ndarray, begin: np.ndarray, end: np.ndarray, owners: n
 # ---------------------------------------------------------------- the distributed operator
 
 
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    wide[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def _anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Anchors of every text, dealt to buckets by hash: ``(bucket, names, docs)`` per batch, packed."""
+    """Anchors of every text with a hash of their run's bytes, dealt to buckets: packed rows ``(bucket, names, contents, docs)``."""
 
     def run(batches):
         for whole in batches:
-            for batch in steps(whole, "text"):
-                names, row, _, _ = anchor_runs(*text_buffer(batch.column("text")), length)
-                if not len(names):
+            for batch in steps(whole, "text", ANCHOR_STEP):
+                data, offs = text_buffer(batch.column("text"))
+                hashes, row, first, last = anchor_runs(data, offs, length)
+                if not len(hashes):
                     continue
+                names = hashes >> np.uint64(64 - NAME_BITS)
+                contents = span_hashes(data, first, last + length) >> np.uint64(64 - CONTENT_BITS)
                 keys = batch.column("doc_id").to_numpy()[row]
-                order = np.lexsort((keys, names))
-                names, keys = names[order], keys[order]
+                order = np.lexsort((keys, contents, names))
+                names, contents, keys = names[order], contents[order], keys[order]
                 fresh = np.ones(len(names), dtype=bool)
-                fresh[1:] = (names[1:] != names[:-1]) | (keys[1:] != keys[:-1])
-                names, keys = names[fresh], keys[fresh]
-                bucket = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                fresh[1:] = (names[1:] != names[:-1]) | (contents[1:] != contents[:-1]) | (keys[1:] != keys[:-1])
+                names, contents, keys = names[fresh], contents[fresh], keys[fresh]
+                bucket = ((names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(NAME_BITS - 16)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[b], cuts[b + 1]) for b in used]
                 yield pa.record_batch(
                     [
                         pa.array(used, pa.int32()),
-                        pa.array([names[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-                        pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
+                        pa.array([_packed(names[p], NAME_BITS // 8) for p in parts], pa.binary()),
+                        pa.array([_packed(contents[p], CONTENT_BITS // 8) for p in parts], pa.binary()),
+                        pa.array([keys[p].tobytes() for p in parts], pa.binary()),
                     ],
-                    names=["bucket", "names", "docs"],
+                    names=["bucket", "names", "contents", "docs"],
                 )
 
-    return docs.mapInArrow(run, "bucket int, names binary, docs binary")
+    return docs.mapInArrow(run, "bucket int, names binary, contents binary, docs binary")
 
 
 def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
-    """``(doc_id, name)`` of the anchors that two documents or more hold; the lowest bit of the name marks a hot one."""
+    """``(doc_id, name)`` of the anchors that two documents or more hold; the lowest bits of the name say how to go on.
+
+    If all runs of an anchor are equal, each but the lowest document's is covered as it stands (``COVERED``). Else the runs have
+    to be compared; a run of an anchor that more than ``hot`` documents hold travels string by string (``SPLIT``).
+    """
 
-    def judged(names: list[bytes], docs: list[bytes]):
-        name = np.frombuffer(b"".join(names), dtype=np.uint64)
+    def judged(names: list[bytes], contents: list[bytes], docs: list[bytes]):
+        name = _unpacked(b"".join(names), NAME_BITS // 8)
+        content = _unpacked(b"".join(contents), CONTENT_BITS // 8)
         doc = np.frombuffer(b"".join(docs), dtype=np.int64)
         order = np.lexsort((doc, name))
-        name, doc = name[order], doc[order]
+        name, content, doc = name[order], content[order], doc[order]
         start = np.ones(len(name), dtype=bool)
         start[1:] = name[1:] != name[:-1]
         at = np.flatnonzero(start)
         size = np.diff(np.append(at, len(name)))
-        shared = doc[at] != doc[at + size - 1]
-        keep = np.repeat(shared, size)
-        marked = name | np.repeat((size > hot).astype(np.uint64), size)
-        for lo in range(0, len(name), 1 << 17):
-            part = slice(lo, lo + (1 << 17))
-            yield pa.record_batch([pa.array(doc[part][keep[part]]), pa.array(marked[part][keep[part]].view(np.int64))], names=["doc_id", "name"])
+        lowest = doc[at]
+        shared = lowest != doc[at + size - 1]
+        equal = np.minimum.reduceat(content, at) == np.maximum.reduceat(content, at)
+        flag = np.where(equal, COVERED, np.where(size > hot, SPLIT, 0)).astype(np.uint64)
+        keep = np.repeat(shared, size) & (np.repeat(~equal, size) | (doc > np.repeat(lowest, size)))
+        marked = ((name << np.uint64(2)) | np.repeat(flag, size))[keep].view(np.int64)
+        doc = doc[keep]
+        for lo in range(0, len(doc), 1 << 17):
+            yield pa.record_batch([pa.array(doc[lo : lo + (1 << 17)]), pa.array(marked[lo : lo + (1 << 17)])], names=["doc_id", "name"])
 
     def run(batches):
-        names, docs, bucket = [], [], None
+        held: list[tuple] = []
+        bucket = None
         for batch in batches:
-            for b, n, d in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "docs")), strict=True):
-                if b != bucket and names:
-                    yield from judged(names, docs)
-                    names, docs = [], []
+            for b, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "contents", "docs")), strict=True):
+                if b != bucket and held:
+                    yield from judged(*zip(*held, strict=True))
+                    held = []
                 bucket = b
-                names.append(n)
-                docs.append(d)
-        if names:
-            yield from judged(names, docs)
+                held.append(tuple(packed))
+        if held:
+            yield from judged(*zip(*held, strict=True))
 
     dealt = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc_id long, name long")
 
 
-_PIECE = "route long, piece binary, doc_id long, h long, at int, size int"
-_SPAN = "doc_id long, h long, at int, size int"
+_PIECE = "route long, piece binary, doc_id long, h int, at int, size int"
+_SPAN = "doc_id long, h int, at int, size int"
 
 
 def _pieces(texts: DataFrame, length: int) -> DataFrame:
@@ -199,13 +230,14 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                 flat = np.frombuffer(lists.flatten().to_numpy().tobytes(), dtype=np.uint64)
                 counts = np.diff(lists.offsets.to_numpy())
                 of_row = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), counts)
-                known = mix((flat & ~_ONE) + mix(of_row))
+                known = mix((flat >> np.uint64(2)) + mix(of_row))
                 sort = np.argsort(known)
-                asked = mix(names + mix(row.astype(np.uint64)))
-                slot = np.minimum(np.searchsorted(known[sort], asked), max(len(known) - 1, 0))
-                hit = known[sort][slot] == asked if len(known) else np.zeros(len(names), bool)
-                hot = hit & ((flat[sort][slot] & _ONE) == 1) if len(known) else hit
-                cool = hit & ~hot
+                asked = mix((names >> np.uint64(64 - NAME_BITS)) + mix(row.astype(np.uint64)))
+                slot = np.minimum(np.searchsorted(known[sort], asked), len(known) - 1)
+                hit = known[sort][slot] == asked
+                flag = flat[sort][slot] & np.uint64(3)
+                done, hot = hit & (flag == COVERED), hit & (flag == SPLIT)
+                cool = hit & (flag == 0)
                 # strings of hot anchors travel one by one
                 singles = spread_ranges(first[hot], (last - first + 1)[hot])
                 begin = np.concatenate((first[cool], singles))
@@ -223,8 +255,11 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
                 covered = doc > lowest
                 # equal pieces of the lowest document itself travel too
                 go = np.flatnonzero(~covered)
-                begin_c, end_c, owner_c = begin[covered], end[covered], owner[covered]
-                span_from, span_to, span_row = _union(begin_c, end_c, owner_c)
+                span_from, span_to, span_row = _union(
+                    np.concatenate((begin[covered], first[done])),
+                    np.concatenate((end[covered], last[done] + length)),
+                    np.concatenate((owner[covered], row[done])),
+                )
                 marks = batch.column("h").to_numpy()
                 m = len(span_from)
                 cut = np.concatenate(([0], np.cumsum((end - begin)[go]), np.full(m, (end - begin)[go].sum()))).astype(np.int32)
@@ -331,78 +366,91 @@ def _covered(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("route").sortWithinPartitions("route").mapInArrow(run, _SPAN)
 
 
-def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """Apply the spans to whole texts."""
+def _cut(texts: DataFrame, length: int, as_text: bool) -> DataFrame:
+    """Apply the spans to whole texts; ``kept`` is the rest as bytes, or as a string without the characters that were cut through."""
+
+    def spans_of(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+        hs, ats, sizes = (batch.column(c)[row].values for c in ("hs", "ats", "sizes"))
+        if hs is None:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        mine = hs.to_numpy() == batch.column("h")[row].as_py()
+        begin = ats.to_numpy()[mine].astype(np.int64)
+        lo, hi, _ = _union(begin, begin + sizes.to_numpy()[mine], np.zeros(len(begin), np.int64))
+        return lo, hi
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        whole = batch.column("whole").to_pylist()
+        for row in range(batch.num_rows):
+            raw = batch.column("text")[row].as_py().encode()
+            lo, hi = (np.array([0]), np.array([len(raw)])) if whole[row] and len(raw) >= length else spans_of(batch, row)
+            edges = [0, *np.column_stack((lo, hi)).ravel().tolist(), len(raw)]
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            digest = hashlib.sha256(kept).hexdigest()
+            readable = kept.decode("utf-8", errors="ignore") if as_text else kept
+            out.append((len(raw), len(raw) - len(kept), len(lo), readable, digest, lo.tolist(), (hi - lo).tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.record_batch(
+            [batch.column("doc_id"), batch.column("rest"), *(pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))],
+            names=["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "sizes"],
+        )
 
     def run(batches):
-        for batch in batches:
-            out = []
-            names = ("text", "whole", "starts", "sizes")
-            for text, whole, starts, sizes in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                raw = (text or "").encode()
-                if whole and len(raw) >= length:
-                    lo, hi = np.array([0]), np.array([len(raw)])
-                elif starts:
-                    begin = np.array(starts)
-                    lo, hi, _ = _union(begin, begin + np.array(sizes), np.zeros(len(begin), np.int64))
-                else:
-                    lo = hi = np.zeros(0, dtype=np.int64)
-                edges = [0, *np.column_stack((lo, hi)).ravel().tolist(), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                digest = hashlib.sha256(kept).hexdigest()
-                out.append((len(raw), len(raw) - len(kept), len(lo), kept, digest, lo.tolist(), (hi - lo).tolist()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("h"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "source_hash", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "sizes"],
-            )
-
-    kinds = "doc_id long, source_hash long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, starts array<int>, sizes array<int>"
-    return texts.mapInArrow(run, kinds)
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                yield cut(batch)
 
+    rest = texts.schema["rest"].dataType.simpleString()
+    kinds = f"doc_id long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept {"string" if as_text else "binary"}, kept_sha256 string, starts array<int>, sizes array<int>"
+    return texts.mapInArrow(run, kinds)
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, starts, sizes``.
 
-    A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller key; strings are judged on
-    the input. Null text is empty; texts shorter than ``length`` stay whole. Rows that share a key don't cover each other; a row
-    with a null key covers nothing and stays whole. Exact copies of a whole text are found by hash before all else. An empty
-    table gives no rows; further columns are not read. ``kept`` are bytes: a span may end inside a character.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    plain = plain.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
-    groups = plain.filter("doc_id is not null").groupBy("h", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
-    copied = stash(groups.filter("lowest < highest").select("h", "h2", "lowest"))
-    marked = plain.join(copied, ["h", "h2"], "left").select(
-        "doc_id", "text", "h", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).alias("whole")
+def _cut_rows(docs: DataFrame, key: str, text: str, length: int, hot: int, rest: list, as_text: bool) -> DataFrame:
+    """``cut_repeats`` with the struct of ``rest`` carried along each row."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*rest).alias("rest")
     )
+    plain = plain.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
+    groups = plain.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
+    copied = stash(groups.filter("lowest < highest").select("h1", "h2", "lowest"))
+    if copied.isEmpty():
+        marked = plain.withColumn("whole", F.lit(False))
+    else:
+        marked = plain.join(copied, ["h1", "h2"], "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)))
+    # rows that share a key are told apart by a part of their text's hash
+    marked = marked.select("doc_id", "text", F.hash("h1", "h2").alias("h"), "whole", "rest")
     single = marked.filter("not whole and doc_id is not null").select("doc_id", "text")
     names = _shared_anchors(_anchors(single, length, BUCKETS * parts), parts, hot)
     names = stash(names).groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    dealt = marked.repartition("doc_id")
-    hit = dealt.filter("not whole").join(names, "doc_id").select("doc_id", "h", "text", "names")
+    # one exchange of the texts serves both joins, so both use the same columns and the same key
+    dealt = marked.filter("doc_id is not null").repartition("doc_id")
+    hit = dealt.join(names, "doc_id").select("doc_id", "h", "text", "whole", "rest", "names")
     spans = _covered(_pieces(hit, length), length)
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_list("at").alias("starts"), F.collect_list("size").alias("sizes"))
-    joined = dealt.join(spans.withColumnRenamed("h", "_h").withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
-    return _cut(joined.select("doc_id", "h", "text", "whole", "starts", "sizes"), length)
+    spans = spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "at", "size")])
+    joined = dealt.join(spans, "doc_id", "left").select("doc_id", "h", "text", "whole", "rest", "hs", "ats", "sizes")
+    nothing = [F.lit(None).cast("array<int>").alias(c) for c in ("hs", "ats", "sizes")]
+    loose = marked.filter("doc_id is null").select("doc_id", "h", "text", "whole", "rest", *nothing)
+    return _cut(joined.unionByName(loose), length, as_text)
 
 
-def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """``docs`` with what ``cut_repeats`` keeps as their text; characters that a cut runs through go as a whole. Rows that repeat
-    key and text are cut alike; all other columns stay. A row whose whole text goes keeps an empty text."""
-    cuts = cut_repeats(docs.withColumn(key, F.col(key).cast("long")), key, text, length, hot).filter("n_removed > 0")
-    cuts = stash(cuts.select(F.col("doc_id").alias("_doc"), F.col("source_hash").alias("_hash"), F.col("kept").alias("_kept")).distinct())
-    same = (docs[key] == cuts["_doc"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == cuts["_hash"])
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, starts, sizes``.
+
+    A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller key; strings are judged on
+    the input. Null text is empty; texts shorter than ``length`` stay whole. Rows that share a key don't cover each other; a row
+    with a null key covers nothing and stays whole. Exact copies of a whole text are found by two hashes before all else. An
+    empty table gives no rows; further columns are not read. ``kept`` are bytes: a span may end inside a character; ``starts``
+    and ``sizes`` are the spans that went.
+    """
+    return _cut_rows(docs, key, text, length, hot, [F.lit(0).alias("none")], as_text=False).drop("rest")
 
-    def decode(batches):
-        for batch in batches:
-            texts = [None if k is None else k.decode("utf-8", errors="ignore") for k in batch.column("_kept").to_pylist()]
-            yield batch.drop_columns(["_kept"]).append_column("_text", pa.array(texts, pa.string()))
 
-    joined = docs.join(cuts, same, "left").drop("_doc", "_hash")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _text string"
-    decoded = joined.mapInArrow(decode, kinds)
-    return decoded.withColumn(text, F.coalesce("_text", text)).select(*docs.columns)
+def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``docs`` with what ``cut_repeats`` keeps as their text; characters that a cut runs through go as a whole. All other
+    columns stay. A row whose whole text goes keeps an empty text; a null text stays null."""
+    others = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    cut = _cut_rows(docs, key, text, length, hot, [docs[text].isNull().alias("none"), *others], as_text=True)
+    back = F.when(F.col("rest.none"), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    columns = [F.col(f"rest.c{i}").alias(c) if c != text else back.alias(c) for i, c in enumerate(docs.columns)]
+    return cut.select(*columns)
