@@ -71,7 +71,7 @@ def format_chats(
 
     A turn is rendered as it is; if the parser doesn't give back the same role and text, its text is escaped; if that isn't
     enough, its role too. Whole conversations are parsed once more: ``round_trip`` says whether they equal the source.
-    ``loss_runs`` is the mask as pairs (characters to skip, characters under the mask) in order of ``formatted``.
+    ``loss_runs`` is the mask, a pair per turn: characters to skip, then characters under the mask; the closing string follows.
 
     Rows go by ``turn``, null first; equal turns by role, then text; repeated rows are turns of their own. Null role or text:
     empty. Null conversation ids form one conversation. An empty table gives no rows; further columns are not read. A
@@ -102,7 +102,9 @@ def format_chats(
     trained = F.filter("turns", lambda x: x["role"] == TRAINED)
     runs = F.transform(
         "turns",
-        lambda x: F.struct(x["skip_chars"].alias("skip"), F.when(x["role"] == TRAINED, x["body_chars"]).otherwise(0).alias("take")),
+        lambda x: F.when(
+            x["role"] == TRAINED, F.struct(x["skip_chars"].alias("skip"), x["body_chars"].alias("take"))
+        ).otherwise(F.struct((x["skip_chars"] + x["body_chars"]).alias("skip"), F.lit(0).cast("long").alias("take"))),
     )
     return gathered.select(
         "conv_id",
