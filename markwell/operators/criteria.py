@@ -95,9 +95,13 @@ def criteria_match(answers: DataFrame, catalogue: Catalogue) -> DataFrame:
     return with_criteria(answers, catalogue).select(*keys, F.inline_outer("criteria_details")).filter("name IS NOT NULL")
 
 
-def apply_overrides(criteria: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Replace ``passed`` where (doc_id, task_number, name) has a manual override."""
-    manual = overrides.select("doc_id", "task_number", "name", F.col("passed").alias("_manual"))
+def apply_overrides(criteria: DataFrame, overrides: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace ``passed`` where (doc_id, task_number, name) has a manual override.
+
+    Of repeated overrides the last by ``order`` counts; without an order, one that passes.
+    """
+    last = F.max_by("passed", order) if order else F.max("passed")
+    manual = overrides.groupBy("doc_id", "task_number", "name").agg(last.alias("_manual"))
     return (
         criteria.join(manual, ["doc_id", "task_number", "name"], "left")
         .withColumn("passed", F.coalesce("_manual", "passed"))

@@ -70,8 +70,10 @@ def key_table(keys: DataFrame, embed: Embed) -> DataFrame:
 def evaluate_answers(
     answers: DataFrame, keys: DataFrame, catalogue: Catalogue, embed: Embed = hashed_words
 ) -> DataFrame:
-    """One row per (document, question) with similarities, criteria, score breakdown, grade and comment."""
-    questions = [r[0] for r in keys.select("task_number").distinct().limit(1000).collect()]
+    """One row per (document, question) with similarities, criteria, score breakdown, grade and comment.
+
+    The questions are those of the answer key, a configuration table; all of them are kept."""
+    questions = [r[0] for r in keys.select("task_number").distinct().collect()]
     spine = question_spine(answers, questions)
     keyed = spine.join(broadcast_if_small(key_table(keys, embed)), "task_number", "left")
     prepared = with_criteria(

@@ -11,7 +11,7 @@ from markwell.functions.text import let
 from markwell.operators.generate import exploded, numbered, settled
 
 
-POSITION_BITS = 24  # an upload of at most 16 MB has fewer words than 2^24
+POSITIONS = 1 << 31  # more than the words of any one text
 
 
 def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> DataFrame:
@@ -24,10 +24,10 @@ def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> Data
 def keyword_frequency(df: DataFrame, keys: list[str], text: str, n: int, order: str) -> DataFrame:
     """The ``n`` most frequent words per group, ties by first appearance (``order``, then position).
 
-    Counts combine map-side; the rank keeps at most n rows per task before its shuffle. ``order`` is an integer
-    below 2^39: it is packed with the word position into one bigint, which keeps the hash aggregation.
+    Counts combine map-side; the rank keeps at most n rows per task before its shuffle. ``order`` is any bigint: it is
+    packed with the word position into one wide decimal, which keeps the hash aggregation.
     """
-    seen = F.shiftleft(F.col(order).cast("bigint"), POSITION_BITS) + F.col("pos")
+    seen = F.col(order).cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
     counted = _words(df, keys, text, order).groupBy(*keys, "word").agg(
         F.count("*").alias("n"), F.min(seen).alias("first_seen")
     )

@@ -74,16 +74,20 @@ def list_numbering(paragraphs: DataFrame) -> DataFrame:
     """Rebuild automatic list numbers of (doc_id, pos, list_id, level, text) paragraphs.
 
     A counter belongs to (doc, list, level) and restarts after any shallower item of the list;
-    paragraphs that already start with a marker neither count nor get a prefix.
+    paragraphs that already start with a marker, or belong to no list, neither count nor get a number: their prefix is
+    empty. Every paragraph is returned.
     """
     sp = K.SPACE_CLASS
     marked = F.col("text").rlike(rf"^[{sp}]*(\d+[.):]|[IVX]{{1,6}}[).:])") | F.col("text").rlike(rf"^[{sp}]*[-–—•][{sp}]+")
     level = F.greatest(F.lit(0), F.least(F.lit(8), F.coalesce(F.col("level"), F.lit(0))))
-    items = paragraphs.filter(F.col("list_id").isNotNull() & ~F.coalesce(marked, F.lit(False))).withColumn("level", level)
+    paragraphs = paragraphs.withColumn("level", level)
+    counts = F.col("list_id").isNotNull() & ~F.coalesce(marked, F.lit(False))
+    items, others = paragraphs.filter(counts), paragraphs.filter(~counts)
     shallower = {f"_s{k}": (F.col("level") < k).cast("int") for k in range(1, 9)}
     seen = running_sums(items, ["doc_id", "list_id"], "pos", shallower)
     restart = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_s{k}")) for k in range(1, 9)], F.lit(0))
     grouped = seen.select(*items.columns, restart.alias("_restart"))
     counted = running_sums(grouped, ["doc_id", "list_id", "level", "_restart"], "pos", {"number": F.lit(1)})
     prefix = F.concat(F.repeat(F.lit("  "), F.col("level")), F.col("number"), F.lit(". "))
-    return counted.select(*items.columns, "number", prefix.alias("prefix"))
+    numbered = counted.select(*items.columns, "number", prefix.alias("prefix"))
+    return numbered.unionByName(others.withColumn("number", F.lit(None).cast("bigint")).withColumn("prefix", F.lit("")))

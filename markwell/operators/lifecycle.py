@@ -63,16 +63,20 @@ def import_new_only(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.withColumn("processing_status", F.lit("completed"))
 
 
-def upsert(base: DataFrame, changes: DataFrame, updated_at: Column) -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, updated_at: Column, order: str | None = None) -> DataFrame:
     """Update the columns ``changes`` brings along by doc_id.
 
     A NULL in ``changes`` leaves the stored value; unknown ids are ignored; rows without a change keep
-    ``updated_at``.
+    ``updated_at``. Of several changes to a column the last by ``order`` counts; without an order, the greatest value.
     """
-    fields = [c for c in changes.columns if c != "doc_id" and c in base.columns]
+    fields = [c for c in changes.columns if c not in ("doc_id", order) and c in base.columns]
     if not fields:
         return base
-    latest = changes.groupBy("doc_id").agg(*[F.max(c).alias(f"_new_{c}") for c in fields])
+
+    def newest(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+
+    latest = changes.groupBy("doc_id").agg(*[newest(c).alias(f"_new_{c}") for c in fields])
     merged = base.join(latest, "doc_id", "left")
     touched = F.coalesce(*[F.col(f"_new_{c}").cast("string") for c in fields]).isNotNull()
     out = merged.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in fields})

@@ -117,7 +117,7 @@ FLAT = "trim(regexp_replace({}, '[<SP>]+', ' ', 'g'))"
 @query("export_wide", "S11", f"""
 WITH p AS (SELECT doc_id, list({FLAT.format('content')} ORDER BY task_number) AS t FROM v_answers WHERE doc_id % 5 <> 0 OR task_number <> 1 GROUP BY 1)
 SELECT s.full_filename, s.filename, s.type, coalesce(t[1], '') AS task_1, coalesce(t[2], '') AS task_2, coalesce(t[3], '') AS task_3, coalesce(t[4], '') AS task_4,
-  {FLAT.format('s.content')} AS content FROM p JOIN v_submissions s ON s.doc_id = p.doc_id""", ("v_answers", "v_submissions"))
+  {FLAT.format('s.content')} AS content FROM v_submissions s LEFT JOIN p ON s.doc_id = p.doc_id""", ("v_answers", "v_submissions"))
 def export_wide(spark, sf):
     blank = (F.col("doc_id") % 5 == 0) & (F.col("task_number") == 1)
     answers = v_answers(spark, sf).withColumn("content", F.when(blank, "").otherwise(F.col("content")))

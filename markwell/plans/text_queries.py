@@ -202,17 +202,21 @@ def _illustrated(spark, sf):
 
 
 @query("list_numbering", "N16", """
-WITH p AS (SELECT user_id AS doc_id, event_id AS pos, event_type AS list_id, CAST(event_id % 3 AS INT) AS level FROM events),
+WITH a AS (SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 7 <> 0 THEN event_type END AS list_id, CAST(event_id % 3 AS INT) AS level FROM events),
+p AS (SELECT * FROM a WHERE list_id IS NOT NULL AND pos % 11 <> 0),
 g AS (
   SELECT *, CASE level WHEN 0 THEN 0
       WHEN 1 THEN count(*) FILTER (level < 1) OVER w ELSE count(*) FILTER (level < 2) OVER w END AS grp
   FROM p WINDOW w AS (PARTITION BY doc_id, list_id ORDER BY pos)),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, list_id, level, grp ORDER BY pos) AS number FROM g)
-SELECT doc_id, pos, list_id, level, number, concat(repeat('  ', level), number, '. ') AS prefix FROM n""")
+SELECT doc_id, pos, list_id, level, number, concat(repeat('  ', level), number, '. ') AS prefix FROM n
+UNION ALL SELECT doc_id, pos, list_id, level, NULL, '' FROM a WHERE list_id IS NULL OR pos % 11 = 0""")
 def list_numbering(spark, sf):
     paragraphs = table(spark, sf, "events").select(
-        F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("list_id"),
-        (F.col("event_id") % 3).cast("int").alias("level"), F.lit("item").alias("text"),
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"),
+        F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("list_id"),
+        (F.col("event_id") % 3).cast("int").alias("level"),
+        F.when(F.col("event_id") % 11 == 0, "1. item").otherwise("item").alias("text"),
     )
     return layout.list_numbering(paragraphs).drop("text")
 

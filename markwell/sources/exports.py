@@ -15,9 +15,9 @@ LOG_JSON_LIMIT = 200
 
 
 def export_wide(documents: DataFrame, packed: DataFrame) -> DataFrame:
-    """One row per submission; empty answers are left out first, so later answers move up."""
+    """One row per submission, also without answers; empty answers are left out first, so later answers move up."""
     given = F.filter(F.array(*[F.col(f"task_{k}") for k in K.TASKS]), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0)
-    joined = documents.join(packed, "doc_id").withColumn("_given", given)
+    joined = documents.join(packed, "doc_id", "left").withColumn("_given", given)
     slots = [T.collapse_truncate(F.get("_given", F.lit(k - 1))).alias(f"task_{k}") for k in K.TASKS]
     return joined.select(
         "full_filename", T.file_stem("full_filename").alias("filename"), "type", *slots, T.collapse_truncate("content").alias("content")

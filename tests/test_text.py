@@ -119,4 +119,4 @@ def test_list_numbering(spark):
     items = [(0, 0, ""), (1, 1, ""), (2, 1, ""), (3, 0, ""), (4, 1, ""), (5, 1, "1. typed"), (6, 1, ""), (7, 0, "")]
     df = spark.createDataFrame([(1, p, "L", lv, t or "x") for p, lv, t in items], "doc_id int, pos int, list_id string, level int, text string")
     got = {r.pos: r.prefix for r in layout.list_numbering(df).collect()}
-    assert got == {0: "1. ", 1: "  1. ", 2: "  2. ", 3: "2. ", 4: "  1. ", 6: "  2. ", 7: "3. "}
+    assert got == {0: "1. ", 1: "  1. ", 2: "  2. ", 3: "2. ", 4: "  1. ", 5: "", 6: "  2. ", 7: "3. "}
