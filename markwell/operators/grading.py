@@ -56,26 +56,35 @@ def question_spine(answers: DataFrame, key_questions: list[int]) -> DataFrame:
 
 
 def key_table(keys: DataFrame, embed: Embed) -> DataFrame:
-    """One row per question with the text and vector of both keys."""
-    wide = keys.groupBy("task_number").agg(
+    """One row per question (of a key set, if there are several) with the text and vector of both keys."""
+    by = [c for c in ("key_set", "task_number") if c in keys.columns]
+    wide = keys.groupBy(*by).agg(
         F.max(F.when(F.col("kind") == "hr", F.col("content"))).alias("hr_text"),
         F.max(F.when(F.col("kind") == "ai", F.col("content"))).alias("ai_text"),
     )
     vecs = F.transform(
         F.array("hr_text", "ai_text"), lambda t: F.when(F.length(T.normalize_strip_punct(t)) > 0, embed(t))
     )
-    return wide.select("task_number", "ai_text", vecs.alias("key_vecs"))
+    return wide.select(*by, "ai_text", vecs.alias("key_vecs"))
 
 
 def evaluate_answers(
-    answers: DataFrame, keys: DataFrame, catalogue: Catalogue, embed: Embed = hashed_words
+    answers: DataFrame,
+    keys: DataFrame,
+    catalogue: Catalogue,
+    embed: Embed = hashed_words,
+    key_set: Column | None = None,
 ) -> DataFrame:
     """One row per (document, question) with similarities, criteria, score breakdown, grade and comment.
 
-    The questions are those of the answer key, a configuration table; all of them are kept."""
+    The questions are those of the answer key, a configuration table; all of them are kept. If ``keys`` holds several sets
+    (column ``key_set``), ``key_set`` says, from ``doc_id``, which of them a document is compared with."""
     questions = [r[0] for r in keys.select("task_number").distinct().collect()]
     spine = question_spine(answers, questions)
-    keyed = spine.join(broadcast_if_small(key_table(keys, embed)), "task_number", "left")
+    on = ["task_number"]
+    if key_set is not None:
+        spine, on = spine.withColumn("key_set", key_set), ["key_set", "task_number"]
+    keyed = spine.join(broadcast_if_small(key_table(keys, embed)), on, "left")
     prepared = with_criteria(
         keyed.withColumn("content", F.coalesce("content", F.lit(""))).withColumn(
             "_norm_text", T.normalize_strip_punct("content")

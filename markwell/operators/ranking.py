@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwell.operators.running import running_sums
-from markwell.session import broadcast_if_small
+from markwell.session import cut_lineage
 
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -48,19 +47,21 @@ def leaderboard_key() -> Column:
 
 
 def leaderboard(submissions: DataFrame) -> DataFrame:
-    """Number every row by (sort_key desc, doc_id).
+    """Number every row by (sort_key desc, newest first, doc_id).
 
-    Rows of equal key are counted in doc_id buckets and the sizes of the distinct keys (bounded by the
-    resolution of a score) are added up, so no task sorts the whole table.
+    Rows are dealt out by ranges of the order and numbered inside their range; what earlier ranges hold is added from one
+    count per range, so no task sorts the whole table, whatever the keys look like. Columns that the caller leaves out are
+    not carried.
     """
+    order = [F.desc("sort_key"), F.desc_nulls_last("created_at"), F.asc("doc_id")]
     keyed = submissions.withColumn("sort_key", leaderboard_key())
-    ranked = running_sums(keyed, ["sort_key"], "doc_id", {"_row": F.lit(1)})
-    before = Window.orderBy(F.desc("sort_key")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("sort_key").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("sort_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return ranked.join(broadcast_if_small(offsets), "sort_key").select(
-        *keyed.columns, (F.col("_offset") + F.col("_row")).cast("bigint").alias("place")
-    )
+    ranged = cut_lineage(keyed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = ranged.withColumn("_row", inside).join(F.broadcast(offsets), "_range")  # a row per range
+    return ranked.select(*keyed.columns, (F.col("_offset") + F.col("_row")).cast("bigint").alias("place"))
 
 
 def row_status(submissions: DataFrame, n: int) -> DataFrame:

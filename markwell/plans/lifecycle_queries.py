@@ -275,10 +275,12 @@ def select_winners(spark, sf):
 
 
 @query("leaderboard", "W2", """
-SELECT doc_id, row_number() OVER (ORDER BY average_score + CASE WHEN processing_status = 'error' THEN -1000000 WHEN approved = 1 THEN 1000000 ELSE 0 END DESC, doc_id) AS place
+SELECT doc_id, row_number() OVER (ORDER BY average_score + CASE WHEN processing_status = 'error' THEN -1000000 WHEN approved = 1 THEN 1000000 ELSE 0 END DESC,
+  created_at DESC NULLS LAST, doc_id) AS place
 FROM v_submissions""", SUBS)
 def leaderboard(spark, sf):
-    return R.leaderboard(v_submissions(spark, sf)).select("doc_id", "place")
+    ranked = v_submissions(spark, sf).select("doc_id", "average_score", "processing_status", "approved", "created_at")
+    return R.leaderboard(ranked).select("doc_id", "place")
 
 
 @query("row_status", "W3", f"""

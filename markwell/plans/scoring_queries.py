@@ -13,7 +13,7 @@ from markwell.operators import grading as G
 from markwell.operators import ranking, similarity
 from markwell.plans import fixtures as X
 from markwell.plans.catalog import query
-from markwell.plans.views import table, texts, v_answers, v_keys, v_styled, v_submissions, v_vectors
+from markwell.plans.views import key_set_of, table, texts, v_answers, v_keys, v_styled, v_submissions, v_vectors
 from markwell.session import broadcast_if_small
 
 CRITERIA = ("v_answers", "v_catalogue", "v_criteria")
@@ -22,7 +22,7 @@ STYLED = ("v_styled", "v_metrics")
 
 
 def evaluation(spark, sf):
-    return G.evaluate_answers(v_answers(spark, sf), v_keys(spark, sf), X.CATALOGUE)
+    return G.evaluate_answers(v_answers(spark, sf), v_keys(spark, sf), X.CATALOGUE, key_set=key_set_of(spark, sf))
 
 
 @query("criteria_match", "G1", """
@@ -90,10 +90,12 @@ SELECT doc_id, task_number, answer_len, key_len, round(ratio, 3) AS ratio,
        ELSE round(0.5::DOUBLE * greatest(0.0, least(1.0, (ratio - 1.0) / 0.8::DOUBLE)), 2) END AS delta_score
 FROM (SELECT *, CASE WHEN answer_len > 0 AND key_len > 0 THEN (answer_len + 30) / CAST(key_len + 30 AS DOUBLE) END AS ratio
  FROM (SELECT a.doc_id, a.task_number, length(trim(a.content, <CHARS>)) AS answer_len, length(trim(coalesce(k.content, ''), <CHARS>)) AS key_len
-       FROM v_answers a LEFT JOIN v_keys k ON k.task_number = a.task_number AND k.kind = 'ai'))""", ("v_answers", "v_keys"))
+       FROM (SELECT *, doc_id % (SELECT max(n_sets) FROM v_keys) AS key_set FROM v_answers) a
+       LEFT JOIN v_keys k ON k.task_number = a.task_number AND k.kind = 'ai' AND k.key_set = a.key_set))""", ("v_answers", "v_keys"))
 def length_adjustment(spark, sf):
-    keys = v_keys(spark, sf).filter("kind = 'ai'").select("task_number", F.col("content").alias("key"))
-    joined = v_answers(spark, sf).join(broadcast_if_small(keys), "task_number", "left").select(
+    keys = v_keys(spark, sf).filter("kind = 'ai'").select("key_set", "task_number", F.col("content").alias("key"))
+    answers = v_answers(spark, sf).withColumn("key_set", key_set_of(spark, sf))
+    joined = answers.join(broadcast_if_small(keys), ["key_set", "task_number"], "left").select(
         "doc_id", "task_number", S.stripped_length("content").alias("answer_len"), S.stripped_length("key").alias("key_len")
     )
     return joined.withColumn("r", S.length_ratio("answer_len", "key_len")).select(

@@ -77,12 +77,12 @@ def analyze_submission(spark, sf):
 
 @query("reference_style_f1", "I8", """
 WITH doc AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents),
-ref AS (SELECT kind, task_number, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS r FROM v_keys),
+ref AS (SELECT kind, task_number, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS r FROM v_keys WHERE key_set = 0),
 pr AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains(r, x))) / len(w)::DOUBLE AS p, len(list_filter(r, lambda x: list_contains(w, x))) / len(r)::DOUBLE AS c
        FROM doc, ref WHERE len(w) > 0)
 SELECT d.doc_id, round(coalesce(max(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END), 0), 6) AS style_f1
 FROM doc d LEFT JOIN pr ON pr.doc_id = d.doc_id GROUP BY d.doc_id""", ("v_keys",))
 def reference_style_f1(spark, sf):
-    lines = [r.content for r in v_keys(spark, sf).select("content").collect()]  # at most 8 configured lines
+    lines = [r.content for r in v_keys(spark, sf).filter("key_set = 0").select("content").collect()]  # 8 configured lines
     score = likelihood_scorer("reference", lines=lines)
     return texts(spark, sf).select("doc_id", F.round(score(F.col("text")), 6).alias("style_f1"))

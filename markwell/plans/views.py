@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwell import constants as K
@@ -20,13 +20,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spread(table(spark, sf_dir, "conversations").filter(F.col("turn") < 4))
-        .select(
-            F.col("conv_id").alias("doc_id"),
-            (F.col("turn") + 1).cast("int").alias("task_number"),
-            F.col("text").alias("content"),
-        )
+    """All turns: every four turns of a conversation are the answers of one document."""
+    turns = table(spark, sf_dir, "conversations")
+    per_conversation = turns.select(F.expr("max(turn) div 4 + 1")).scalar()
+    return spread(turns).select(
+        (F.col("conv_id") * per_conversation + F.expr("turn div 4")).alias("doc_id"),
+        (F.col("turn") % 4 + 1).cast("int").alias("task_number"),
+        F.col("text").alias("content"),
     )
 
 
@@ -62,17 +62,20 @@ def v_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 8 rows (2 kinds x 4 tasks) by construction, so it is safe to broadcast."""
-    return (
-        table(spark, sf_dir, "benchmark")
-        .groupBy(
-            F.when(F.expr("(item_id div 4) % 2") == 0, "hr").otherwise("ai").alias("kind"),
-            (F.col("item_id") % 4 + 1).cast("int").alias("task_number"),
-        )
-        .agg(F.min_by("text", "item_id").alias("content"))
+    """All items: every eight of them are a key set of 2 kinds x 4 tasks."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.expr("item_id div 8").alias("key_set"),
+        F.when(F.expr("(item_id div 4) % 2") == 0, "hr").otherwise("ai").alias("kind"),
+        (F.col("item_id") % 4 + 1).cast("int").alias("task_number"),
+        F.col("text").alias("content"),
     )
 
 
+def key_set_of(spark: SparkSession, sf_dir: str) -> Column:
+    """The key set of a document: its id modulo the number of sets."""
+    return F.col("doc_id") % table(spark, sf_dir, "benchmark").select(F.expr("max(item_id) div 8 + 1")).scalar()
+
+
 def v_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 5").alias("doc_id"),
@@ -134,8 +137,8 @@ def v_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_VIEWS: dict[str, str] = {
     "v_answers": """
-SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS task_number, text AS content
-FROM conversations WHERE turn < 4""",
+SELECT conv_id * n + turn // 4 AS doc_id, CAST(turn % 4 + 1 AS INT) AS task_number, text AS content
+FROM conversations, (SELECT max(turn) // 4 + 1 AS n FROM conversations)""",
     "v_submissions": """
 SELECT d.doc_id, concat('doc_', d.doc_id, '.', t.type) AS full_filename, concat('doc_', d.doc_id) AS filename, t.type,
        d.text AS content, sha256(d.text) AS file_hash,
@@ -147,10 +150,9 @@ JOIN (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 T
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 LEFT JOIN events e ON e.event_id = d.doc_id""",
     "v_keys": """
-SELECT kind, task_number, content FROM (
-  SELECT CASE WHEN (item_id // 4) % 2 = 0 THEN 'hr' ELSE 'ai' END AS kind, CAST(item_id % 4 + 1 AS INT) AS task_number,
-         text AS content, row_number() OVER (PARTITION BY (item_id // 4) % 2, item_id % 4 ORDER BY item_id) AS rn
-  FROM benchmark) WHERE rn = 1""",
+SELECT item_id // 8 AS key_set, CASE WHEN (item_id // 4) % 2 = 0 THEN 'hr' ELSE 'ai' END AS kind, CAST(item_id % 4 + 1 AS INT) AS task_number,
+       text AS content, (SELECT max(item_id) // 8 + 1 FROM benchmark) AS n_sets
+FROM benchmark""",
     "v_vectors": """
 SELECT vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INT) AS slot, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "v_progress": """
@@ -222,9 +224,9 @@ FROM (SELECT doc_id, task_number, content,
         list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
                        lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_answers)""",
     "v_hashed_keys": """
-SELECT kind, task_number, content,
+SELECT key_set, kind, task_number, content,
   list_transform(range(64), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS DOUBLE)) AS vec
-FROM (SELECT kind, task_number, content,
+FROM (SELECT key_set, kind, task_number, content,
         list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
                        lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_keys)""",
     # The evaluation of every (document, question).
@@ -250,10 +252,10 @@ FROM (
        round(list_dot_product(a.vec, hr.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(hr.vec, hr.vec)), 4) AS hr_sim,
        round(list_dot_product(a.vec, ai.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(ai.vec, ai.vec)), 4) AS ai_sim,
        c.passed AS criteria_passed, c.total AS criteria_total, round(1.0 + 9.0 * c.passed / CAST(c.total AS DOUBLE), 2) AS criteria_score
-     FROM (SELECT d.doc_id, q.task_number FROM (SELECT DISTINCT doc_id FROM v_answers) d, (SELECT DISTINCT task_number FROM v_keys) q) s
+     FROM (SELECT d.doc_id, q.task_number, d.doc_id % q.n_sets AS key_set FROM (SELECT DISTINCT doc_id FROM v_answers) d, (SELECT DISTINCT task_number, n_sets FROM v_keys) q) s
      LEFT JOIN v_hashed a ON a.doc_id = s.doc_id AND a.task_number = s.task_number
-     LEFT JOIN v_hashed_keys hr ON hr.kind = 'hr' AND hr.task_number = s.task_number
-     LEFT JOIN v_hashed_keys ai ON ai.kind = 'ai' AND ai.task_number = s.task_number
+     LEFT JOIN v_hashed_keys hr ON hr.kind = 'hr' AND hr.task_number = s.task_number AND hr.key_set = s.key_set
+     LEFT JOIN v_hashed_keys ai ON ai.kind = 'ai' AND ai.task_number = s.task_number AND ai.key_set = s.key_set
      LEFT JOIN (
        SELECT doc_id, task_number, count(*) FILTER (passed) AS passed, count(*) AS total FROM (
          SELECT doc_id, task_number, passed FROM v_criteria

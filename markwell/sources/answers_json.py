@@ -31,9 +31,18 @@ def read_answer_keys(docs: DataFrame, id_col: str = "kind", json_col: str = "jso
     return picked.groupBy(id_col, "task_number").agg(F.max_by("content", "i").alias("content"))
 
 
+def _is_nested(value: Column) -> Column:
+    """Whether the text is a well-formed JSON object or list, not only a text that begins with a bracket."""
+    wrapped = F.concat(F.lit("["), value, F.lit("]"))  # parsers ignore what follows a value, but not inside a list
+    alone = F.try_parse_json(wrapped).isNotNull() & (F.size(F.from_json(wrapped, "array<string>")) == 1)
+    return F.coalesce(value.rlike(r"^\s*[\[{]") & alone, F.lit(False))
+
+
 def flatten_nested(raw: Column, depth: int = FLATTEN_DEPTH) -> Column:
-    """Text of a JSON object or list as "key: value" lines and "- " items; other text stays as it is."""
-    nested = raw.rlike(r"^\s*[\[{]")
+    """Text of a JSON object or list as "key: value" lines and "- " items; other text stays as it is.
+
+    Below ``depth`` levels a value stays JSON text. A string value that is itself a JSON object or list counts as nested."""
+    nested = _is_nested(raw)
     lines = F.filter(_emit(raw, F.lit(""), depth), lambda x: x.isNotNull())
     return F.when(nested, T.strip(F.array_join(lines, "\n"))).otherwise(raw)
 
@@ -49,20 +58,22 @@ def _emit(value: Column, prefix: Column, depth: int) -> Column:
         return scalar
 
     def entry(e):
-        inner = e["value"].rlike(r"^\s*[\[{]")
+        inner = _is_nested(e["value"])
         plain = F.array(
             F.when(T.is_blank(e["value"]), F.concat(e["key"], F.lit(":"))).otherwise(
                 F.concat(e["key"], F.lit(": "), _python_scalar(e["value"]))
             )
         )
         deeper = F.concat(F.array(F.concat(e["key"], F.lit(":"))), _emit(e["value"], F.lit(" "), depth - 1))
-        return F.when(F.coalesce(inner, F.lit(False)), deeper).otherwise(plain)
+        return F.when(inner, deeper).otherwise(plain)
 
     items = F.flatten(
         F.transform(F.from_json(value, "array<string>"), lambda x: _emit(x, F.concat(prefix, F.lit("- ")), depth - 1))
     )
     entries = F.flatten(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), entry))
-    return F.when(value.rlike(r"^\s*\{"), entries).when(value.rlike(r"^\s*\["), items).otherwise(scalar)
+    return (
+        F.when(~_is_nested(value), scalar).when(value.rlike(r"^\s*\{"), entries).otherwise(items)
+    )
 
 
 def read_candidate_json(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
