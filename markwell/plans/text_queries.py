@@ -184,7 +184,14 @@ def pipe_table_rows(spark, sf):
     return rows.withColumn("cells", F.array_join("cells", " | "))
 
 
-@query("interleave_images", "N15")
+@query("interleave_images", "N15", """
+WITH t AS (SELECT doc_id, string_split(replace(content, '. ', '. [Изображение: 1] '), '[Изображение: 1]') AS p FROM v_marked),
+parts AS (SELECT doc_id, i - 1 AS slot, 0 AS rank, 'text' AS kind, CASE WHEN len(p) > 1 THEN trim(p[i], <CHARS>) ELSE p[i] END AS content
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t) WHERE trim(p[i], <CHARS>) <> ''),
+images AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS slot, 1 AS rank, 'image' AS kind, NULL AS content
+  FROM events WHERE event_type = 'error' AND user_id IN (SELECT doc_id FROM v_marked))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY slot * 2 + rank) AS seq, kind, content
+FROM (SELECT * FROM parts UNION ALL SELECT * FROM images)""", ("v_answers", "v_marked"))
 def interleave_images(spark, sf):
     return layout.interleave_images(*_illustrated(spark, sf)).drop("image_path")
 
