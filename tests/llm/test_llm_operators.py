@@ -127,6 +127,22 @@ def test_vectors(spark):
     assert link_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_cluster(spark):
+    """One isotropic cluster that many pivots fall into: linked vectors must still meet."""
+    rng = np.random.default_rng(12)
+    centre = np.full(32, 0.18)
+    base = np.array([centre + rng.normal(scale=0.18, size=32) for _ in range(900)])
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    vectors = np.concatenate((unit, unit[:300] + rng.normal(scale=0.05, size=(300, 32))))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    expected = near.sum() - len(near)
+    assert expected > 400
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = link_vectors(frame, shard_rows=60).collect()
+    assert 0.95 * expected <= sum(r["n_links"] for r in found) <= expected
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(8)
     made, marks = [], []
