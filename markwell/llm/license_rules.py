@@ -110,11 +110,14 @@ TEXTS = (
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", "copyright", 5, 0.5),
 )
 
-# One of these begins a word of any text that a rule can match; other texts are not searched.
+# One of these (regexes) begins a word of any text that a rule can match; other texts are not searched. "mit" is a common word
+# of German, so it counts with the words that the citing forms set before or after it.
 STEMS = (
     "licen", "unlicen", "spdx", "copyright", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "gfdl", "ofl", "odbl", "bsl",
     "cc", "creative", "public", "apache", "reserved", "permission", "redistribut", "advertising", "contributors", "wtfpl", "psf",
-    "bsd", "0bsd", "expat", "x11", "openrail", "rail", "bigscience", "proprietary", "unauthorized", "software", "the mit ",
+    "bsd", "0bsd", "expat", "x11", "openrail", "rail", "bigscience", "proprietary", "unauthorized", "software",
+    "(?:under|see|use|using|uses|subject to|governed by|covered by|in accordance with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? mit ",
+    "mit (?:0|no attribution|terms|agreement|notice|header|text) ",
 )
 
 

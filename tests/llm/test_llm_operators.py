@@ -327,6 +327,44 @@ def test_licenses(spark, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def sample_match(parsed, rng):
+    """A random text that a parsed regex matches."""
+    out = ""
+    for kind, arg in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, arg = rng.choice(arg)
+            out += chr(rng.randint(*arg)) if str(kind) == "RANGE" else chr(arg) if str(kind) == "LITERAL" else "x"
+        elif name == "BRANCH":
+            out += sample_match(rng.choice(arg[1]), rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(sample_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert name == "SUBPATTERN", name
+            out += sample_match(arg[3], rng)
+    return out
+
+
+def test_gates_pass_every_match(spark):
+    """Whatever a rule matches holds a stem and the rule's own gate."""
+    rng = random.Random(10)
+    stem = re.compile(" (?:" + "|".join(license_rules.STEMS) + ")")
+    for label, regex, gates, *_ in license_rules.rules():
+        for _ in range(120):
+            text = f" {sample_match(re._parser.parse(regex), rng)} "
+            assert re.fullmatch(f" (?:{regex}) ", text)
+            assert stem.search(text) and any(f" {g}" in text for g in gates.split("|")), (label, text)
+    lines = [
+        "Released under MIT", "Distributed under MIT", "published under the terms of MIT", "governed by MIT", "see MIT", "MIT-0", "MIT No Attribution",
+        "ein Haus mit Garten",
+    ]
+    frame = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in enumerate(lines)], DOCS)
+    found = {r["doc_id"]: list(r["labels"]) for r in scan_licenses(frame).collect()}
+    assert found == {**{i: ["mit"] for i in range(5)}, 5: ["mit-0"], 6: ["mit-0"], 7: []}
+
+
 def brute_cut(rows, length):
     lowest = {}
     for i, t, *_ in rows:
