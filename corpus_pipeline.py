@@ -18,6 +18,9 @@ from markwell.llm.packing import pack
 from markwell.llm.passages import cut_texts
 from markwell.llm.toxicity import keep_clean
 
+# Similarity from which documents are near copies, lower than in the query of op1.
+NEAR_PERCENT = 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return keep_first(docs)
+    return keep_first(docs, percent=NEAR_PERCENT)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

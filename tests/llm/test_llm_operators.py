@@ -9,9 +9,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from markwell.llm import license_rules, mixing, passages
+import corpus_pipeline
+from markwell.llm import license_rules, minhash, mixing, passages
 from markwell.llm.chat import format_chats
 from markwell.llm.components import components
 from markwell.llm.licenses import scan_licenses
@@ -261,6 +263,24 @@ def test_quotas_add_up(spark):
     assert per_shard.max() - per_shard.min() <= 3
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Similarity 0.80 to 0.85 counts in the pipeline, not in op1."""
+    rng = random.Random(21)
+    made = []
+    for i in range(150):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(104)]
+        made += [(2 * i, " ".join(w), "s", "x", 1), (2 * i + 1, " ".join([*w[:95], *(f"v{rng.randrange(10**9)}" for _ in range(9))]), "s", "x", 1)]
+    a, b = shingles(made[0][1]), shingles(made[1][1])
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    frame = spark.createDataFrame(made, DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()} == set(range(0, 300, 2))
+    assert keep_first(frame).count() == 300
+    for percent in (80, 85, 90):
+        share = percent / 100
+        assert (1 - share ** minhash.least_depth(percent)) ** minhash.ORDERS <= minhash.MISSED
+    assert (minhash.least_depth(85), round(minhash.least_agreement(85), 2)) == (3, 0.69)
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(6)
     good = [(1000 + i, words(rng, 120), "s", "x", 1) for i in range(60)]
