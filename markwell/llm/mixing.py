@@ -263,8 +263,15 @@ def mix_sources(
 
 
 def shuffled_shards(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Bring each shard's rows together and shuffle them locally, ready to be written one file per shard."""
-    return mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    """Bring each shard's rows together and shuffle them locally, ready to be written.
+
+    A shard is split at random into parts, several for each shuffle partition, so that tasks stay bounded however large a shard
+    is; a task holds whole parts, each in its shuffled order. That order holds when a written file is read again.
+    """
+    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("mix_order"), F.lit(-(-4 * partitions // shards)))
+    dealt = mixed.withColumn("_part", part).repartition("mix_shard", "_part")
+    return dealt.sortWithinPartitions("mix_shard", "_part", "mix_order").drop("_part")
 
 
 def mix_report(

@@ -263,6 +263,34 @@ def test_quotas_add_up(spark):
     assert per_shard.max() - per_shard.min() <= 3
 
 
+def test_blocks_of_a_shard_are_its_quota(spark):
+    made = [(i, " ".join(f"d{i}w{k}" for k in range(20)), f"s{i % 2}", "x", 1) for i in range(800)]
+    frame = spark.createDataFrame(made, DOCS)
+    rows = frame.select(F.col("source"), F.lit(20).cast("long").alias("size"), F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("draw"))
+    plan = mixing.mix_plan(rows, mixing.RATIO, mixing.WEIGHTS, mixing.MOST_PASSES, 800, 4, mixing.SEED)
+    quotas = {r["source"]: np.diff([0, *r["shard_ends"]]).tolist() for r in plan.collect()}
+    mixed = mixing.shuffled_shards(mix_sources(frame, block_words=800, shards=4), 4)
+    draw = F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")
+    block = F.pmod(F.shiftright(draw, 24), F.lit(10))
+    found = mixed.groupBy("source", "mix_shard").agg(F.countDistinct("mix_pass", block).alias("n")).collect()
+    got = {s: [0] * 4 for s in quotas}
+    for r in found:
+        got[r["source"]][r["mix_shard"]] = r["n"]
+    assert got == quotas
+
+
+def test_the_mix_leaves_shuffled(spark):
+    made = [(i, " ".join(f"d{i}w{k}" for k in range(20)), f"s{3 * i // 900}", "x", 1) for i in range(900)]
+    frame = spark.createDataFrame(made, DOCS)
+    mixed = corpus_pipeline.mix(spark, frame, "")
+    assert mixed.columns == frame.columns
+    parts = mixed.rdd.glom().map(lambda part: [(r["doc_id"], r["source"]) for r in part]).collect()
+    assert sorted(x[0] for p in parts for x in p) == sorted(r["doc_id"] for r in mix_sources(frame).collect())
+    pairs = [pair for p in parts for pair in zip(p, p[1:], strict=False)]
+    assert len(pairs) > 1000
+    assert sum(a == b for a, b in pairs) < 0.02 * len(pairs)
+
+
 def test_near_copies_of_the_pipeline(spark):
     """Similarity 0.80 to 0.85 counts in the pipeline, not in op1."""
     rng = random.Random(21)
