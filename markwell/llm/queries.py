@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from markwell.llm.chat import format_chats
 from markwell.llm.common import read_table
+from markwell.llm.lexical import rank_documents
 from markwell.llm.licenses import scan_licenses
 from markwell.llm.minhash import near_duplicates
 from markwell.llm.mixing import mix_report
 from markwell.llm.packing import pack
 from markwell.llm.passages import cut_repeats
+from markwell.llm.pieces import decode_pieces, encode_pieces
 from markwell.llm.quality import judge_quality
 from markwell.llm.token_counts import count_tokens
 from markwell.llm.toxicity import score_toxicity
 from markwell.llm.vector_graph import link_vectors
+from markwell.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,7 +118,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), corpus AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms FROM d),
+sizes AS (SELECT doc_id, 25 + (75 * count(*) * n_docs) // n_terms AS m FROM d, corpus GROUP BY doc_id, n_docs, n_terms),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(read_table(spark, sf_dir, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    return rows.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", parts).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"),
+        "identity_error",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -131,7 +183,10 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_format": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_chat_format": OP5_SQL, "op11_lexical_search": OP11_SQL}
