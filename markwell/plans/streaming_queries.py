@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwell.plans import fixtures as X
-from markwell.plans.catalog import query
+from markwell.plans.catalog import query, with_views
+from markwell.plans.report_queries import DETAILS_SQL, TIME
 from markwell.plans.vector_queries import PAIRS, SCORES, TOP_SQL, rounded
-from markwell.plans.views import table, v_marked, v_progress, v_vectors
+from markwell.plans.views import ORACLE_VIEWS, key_set_of, v_keys, v_marked, v_progress, v_vectors
+from markwell.session import cut_lineage
 from markwell.sources.files import scratch_dir
 from markwell.streaming import pipeline as L
 from markwell.streaming import progress as S
@@ -68,24 +70,72 @@ def stream_processing_time(spark, sf):
     return S.processing_time(progress).withColumn("seconds", F.round("seconds", 1))
 
 
-@query("stream_pipeline", "T5", """
-SELECT sha256(trim(m.content, <CHARS>)) AS doc_id, CAST(count(*) AS INT) AS tasks_count, CASE count(*) WHEN 2 THEN 'validated' WHEN 4 THEN 'cleaned' ELSE 'partial' END AS cleaning_status
-FROM v_marked m JOIN v_answers a ON a.doc_id = m.doc_id GROUP BY m.doc_id, m.content""", ("v_answers", "v_marked"))
+# The answers as segmented and cleaned take the place of the raw ones in all views behind them.
+ASSESSED = ("v_cleaned", "v_answers", "v_hashed", "v_keys", "v_hashed_keys", "v_catalogue", "v_criteria", "v_eval")
+
+
+def assessed(body: str) -> str:
+    """An oracle whose ``v_answers`` are the cleaned answers; ``v_cleaned`` and ``v_marked`` stand for what they came from."""
+    raw = with_views("SELECT doc_id, task_number, content, n_received FROM v_moved", ("v_answers", "v_hashed", "v_fragments", "v_tails", "v_moved"))
+    marked = with_views("SELECT doc_id, content FROM v_marked", ("v_answers", "v_marked"))
+    views = dict(ORACLE_VIEWS) | {
+        "v_cleaned": raw, "v_marked": marked, "v_answers": "SELECT doc_id, task_number, content FROM v_cleaned WHERE content <> ''",
+    }
+    ctes = ",\n".join(f"{v} AS ({views[v].strip()})" for v in ("v_marked", *ASSESSED))
+    return f"WITH {ctes},\n{body.strip()[5:]}"
+
+
+@query("stream_pipeline", "T5", assessed(f"""
+WITH {DETAILS_SQL.strip()},
+blocks AS (SELECT e.doc_id, e.task_number, e.final_score, d.np, d.n, concat('Задание ', e.task_number, chr(10), 'Выполненные критерии: ', coalesce(d.passed, '—'), chr(10),
+   'Не выполненные критерии: ', coalesce(d.failed, '—'), chr(10), 'Балл: ', coalesce(printf('%.1f', e.final_score), '—'), chr(10)) AS b
+  FROM v_eval e JOIN details d ON d.doc_id = e.doc_id AND d.task_number = e.task_number WHERE e.task_number <= 3),
+g AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY task_number) AS body, round(avg(final_score), 2) AS overall, sum(np) / sum(n) AS ratio FROM blocks GROUP BY 1),
+reports AS (SELECT doc_id, ratio >= 0.5 AND coalesce(overall, 0) >= 6 AS recommended, md5(concat('Кандидат: ', doc_id, ' (файл: doc_', doc_id, ')', chr(10), 'Дата: {TIME}', chr(10), chr(10), body, chr(10),
+  'Итоговый балл (среднее за задания 1–3): ', coalesce(printf('%.2f', overall), 'нет данных'), chr(10),
+  CASE WHEN ratio >= 0.5 AND coalesce(overall, 0) >= 6 THEN 'Рекомендация: кандидат рекомендуется.' ELSE 'Рекомендация: кандидат не рекомендуется.' END)) AS report_md5 FROM g),
+whole AS (SELECT doc_id, list_transform(range(64), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS DOUBLE)) AS vec FROM (
+  SELECT doc_id, list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(content, <CHARS>)), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
+    lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_marked)),
+slots AS (SELECT doc_id, task_number AS slot, vec FROM v_hashed UNION ALL SELECT doc_id, 0, vec FROM whole),
+pairs AS (SELECT a.doc_id, greatest(0, (coalesce(avg(sim) FILTER (a.slot > 0), 0) + coalesce(max(sim) FILTER (a.slot = 0), 0)) / 2) AS overall
+  FROM slots a JOIN slots b ON a.slot = b.slot AND a.doc_id <> b.doc_id,
+  LATERAL (SELECT list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) AS sim) GROUP BY a.doc_id, b.doc_id),
+counts AS (SELECT doc_id, CAST(count(*) FILTER (trim(content, <CHARS>) <> '') AS INT) AS tasks_count FROM v_cleaned GROUP BY 1)
+SELECT c.doc_id, c.tasks_count, CASE c.tasks_count WHEN 2 THEN 'validated' WHEN 4 THEN 'cleaned' ELSE 'partial' END AS cleaning_status,
+  round(avg(CASE WHEN e.task_number <= 3 THEN e.final_score END), 2) AS average_score_tasks_1_3, max(e.final_score) FILTER (e.task_number = 1) AS task_1_score,
+  max(e.final_score) FILTER (e.task_number = 3) AS task_3_score, max(CASE WHEN e.chosen = 'hr' THEN e.hr_sim WHEN e.chosen = 'ai' THEN e.ai_sim END) FILTER (e.task_number = 2) AS task_2_similarity,
+  any_value(r.recommended) AS recommended, any_value(r.report_md5) AS report_md5, any_value(round(s.best, 6)) AS best_similarity
+FROM counts c JOIN v_eval e ON e.doc_id = c.doc_id JOIN reports r ON r.doc_id = c.doc_id JOIN (SELECT doc_id, max(overall) AS best FROM pairs GROUP BY 1) s ON s.doc_id = c.doc_id
+GROUP BY c.doc_id, c.tasks_count"""))
 def stream_pipeline(spark, sf):
-    """Each submission is a file; files arrive, are assessed per batch, and the answer counts are read back."""
+    """Files of many submissions arrive in batches. A third of the documents comes first with the text of another document and
+    then again with its own; one file holds blank submissions. The last batch is replayed. All that counts is each document's latest text."""
     out = scratch_dir(spark)
-    v_marked(spark, sf).select("content").write.option("maxRecordsPerFile", 1).text(f"{out}/inbox")
-    stream = L.submission_stream(spark, f"{out}/inbox")
-    L.assess_stream(stream, X.CATALOGUE, f"{out}/tables", f"{out}/checkpoint")
-    return L.answer_counts(spark.read.parquet(f"{out}/tables/answers"))
+    named = v_marked(spark, sf).select("doc_id", F.concat(F.lit("doc_"), "doc_id").alias("filename"), "content")
+    marked = cut_lineage(named)
+    early = marked.filter("doc_id % 3 = 0").withColumn("content", F.concat(F.lit("Вопрос 1. early\n"), "content"))
+    blank = marked.filter("doc_id % 50 = 1").select((-F.col("doc_id") - 1).alias("doc_id"), "filename", F.lit(" \n").alias("content"))
+    rules = L.Assessment(X.CATALOGUE, v_keys(spark, sf), TIME, key_set_of(spark, sf))
+    flow = L.SubmissionPipeline(spark, f"{out}/tables", rules)
+    for rows in (early.unionByName(marked.filter("doc_id % 3 = 1")).unionByName(blank), marked.filter("doc_id % 3 <> 1")):
+        rows.coalesce(2).write.mode("append").json(f"{out}/inbox")
+        flow.run(L.submission_stream(spark, f"{out}/inbox"), f"{out}/checkpoint")
+    flow.process(marked.limit(0), flow.store.version())
+    scores, text = flow.scores(), flow.store.current("reports")
+    return scores.join(text, "doc_id").select(
+        "doc_id", "tasks_count", "cleaning_status", "average_score_tasks_1_3", "task_1_score", "task_3_score", "task_2_similarity",
+        "recommended", F.md5("report").alias("report_md5"), F.round("overall_similarity", 6).alias("best_similarity"),
+    )
 
 
 @query("stream_similarity_update", "T6", TOP_SQL, PAIRS)
 def stream_similarity_update(spark, sf):
-    """Vectors arrive in two batches; the lists equal those of a full run."""
+    """Vectors arrive in two batches, and the stream is restarted without new data; the lists equal those of a full run."""
     out = scratch_dir(spark)
     v_vectors(spark, sf).repartition(2, "doc_id").write.parquet(f"{out}/inbox")
     stream = S.table_stream(spark, f"{out}/inbox", "*.parquet", files_per_trigger=1)
+    L.SimilarityTable(spark, f"{out}/tables").run(stream, f"{out}/checkpoint")
     top = L.SimilarityTable(spark, f"{out}/tables").run(stream, f"{out}/checkpoint")
     return rounded(top, *SCORES).select("doc_id", "place", "other_id", *SCORES, "total_comparisons")
 
