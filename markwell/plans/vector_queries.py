@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from markwell.functions.registry import embedder
 from markwell.functions.vectors import cosine, l2_normalize
 from markwell.operators import duplicates as D
+from markwell.operators import set_join as J
 from markwell.operators import similarity as S
 from markwell.operators.generate import numbered
 from markwell.plans.catalog import query
@@ -128,6 +129,20 @@ def knn_lsh(spark, sf):
     return rounded(S.knn_lsh(v_vectors(spark, sf)), *SCORES).select("doc_id", "place", "other_id", *SCORES)
 
 
+@query("knn_lsh_found", "E12", """
+SELECT count(DISTINCT doc_id) AS documents, CAST(sum(least(3, n)) AS BIGINT) AS partners, true AS found_enough
+FROM (SELECT doc_id, (SELECT count(DISTINCT doc_id) - 1 FROM v_vectors) AS n FROM (SELECT DISTINCT doc_id FROM v_vectors))""", VECTORS)
+def knn_lsh_found(spark, sf):
+    """The share of the exact partners of all documents that the approximate search finds is at least 0.9."""
+    exact = S.top_similar(v_vectors(spark, sf)).select("doc_id", "other_id", F.lit(1).alias("exact"))
+    found = S.knn_lsh(v_vectors(spark, sf)).select("doc_id", "other_id", F.lit(1).alias("found"))
+    both = exact.join(found, ["doc_id", "other_id"], "left")
+    return both.agg(
+        F.countDistinct("doc_id").alias("documents"), F.count("exact").alias("partners"),
+        (F.count("found") >= F.lit(0.9) * F.count("exact")).alias("found_enough"),
+    )
+
+
 @query("exact_duplicates", "E13", """
 SELECT doc_id, sha256(text) AS file_hash, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies
 FROM documents QUALIFY copies > 1""")
@@ -136,7 +151,21 @@ def exact_duplicates(spark, sf):
     return D.exact_duplicates(hashed)
 
 
-@query("near_duplicates", "E14", """
+@query("near_duplicates", "E14", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, coalesce(CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END, []) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT count(*) FROM links WHERE a = s.doc_id) AS n_links, c.class_id
+FROM s JOIN (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY 1) c ON c.doc_id = s.doc_id""")
+def near_duplicates(spark, sf):
+    """Texts of all documents, five-word runs, at least 80 % alike."""
+    return J.near_duplicates(table(spark, sf, "documents").withColumnRenamed("text", "content"))
+
+
+@query("alike_submissions", "E14", """
 WITH m AS (SELECT doc_id, list_transform(range(64), lambda i: list_sum(list_transform(list(vec), lambda v: v[i + 1]))) AS vec FROM v_hashed GROUP BY 1),
 vecs AS (SELECT doc_id, task_number AS slot, vec FROM v_hashed),
 p AS (SELECT a.doc_id, b.doc_id AS other_id, avg(list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec))) AS average
@@ -144,7 +173,7 @@ p AS (SELECT a.doc_id, b.doc_id AS other_id, avg(list_dot_product(a.vec, b.vec)
 SELECT p.doc_id, p.other_id, round((average + list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec))) / 2, 6) AS overall_similarity
 FROM p JOIN m a ON a.doc_id = p.doc_id JOIN m b ON b.doc_id = p.other_id
 WHERE (average + list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec))) / 2 >= 0.70""", ("v_answers", "v_hashed"))
-def near_duplicates(spark, sf):
+def alike_submissions(spark, sf):
     """Submissions whose embedded answers and whole text are at least 0.70 alike."""
     embed = embedder("hashed_words")
     answers = v_answers(spark, sf).select("doc_id", F.col("task_number").alias("slot"), embed(F.col("content")).alias("vec"))

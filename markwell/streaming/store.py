@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 HEADS = "heads"
-MANIFEST = "batch_id bigint, table string, rows bigint, base boolean, schema string"
+MANIFEST = "batch_id bigint, table string, base boolean, schema string"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -78,7 +78,7 @@ class DocumentStore:
         """Make the staged ``tables`` of a batch visible together; ``heads`` must be one of them."""
         if HEADS not in tables:
             raise ValueError("a batch names its documents in the table 'heads'")
-        rows = [(batch_id, name, df.count(), base, df.schema.json()) for name, df in tables.items()]
+        rows = [(batch_id, name, base, df.schema.json()) for name, df in tables.items()]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         manifest.write.mode("overwrite").json(f"{self.path}/_commits/{'base' if base else 'batch'}_{batch_id}")
 
@@ -89,9 +89,9 @@ class DocumentStore:
         self.commit(batch_id, make(batch_id))
         return True
 
-    def history(self, table: str) -> DataFrame | None:
+    def history(self, table: str, manifest: list | None = None) -> DataFrame | None:
         """All live rows of a table with the ``batch_id`` they came with (those of the base with the last one it holds)."""
-        live = [r for r in self.manifest() if r["table"] == table]
+        live = [r for r in (self.manifest() if manifest is None else manifest) if r["table"] == table]
         if not live:
             return None
         schema = StructType.fromJson(json.loads(live[-1]["schema"])).add("batch_id", "long")
@@ -105,10 +105,11 @@ class DocumentStore:
 
     def current(self, table: str) -> DataFrame | None:
         """Rows of the latest version of every document: one small row of ``heads`` per document decides."""
-        rows = self.history(table)
+        manifest = self.manifest()
+        rows = self.history(table, manifest)
         if rows is None:
             return None
-        last = self.history(HEADS).groupBy(self.key).agg(F.max("batch_id").alias("batch_id"))
+        last = self.history(HEADS, manifest).groupBy(self.key).agg(F.max("batch_id").alias("batch_id"))
         return rows.join(last, [self.key, "batch_id"], "left_semi").drop("batch_id")
 
     def compact(self) -> None:
