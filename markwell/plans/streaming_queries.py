@@ -60,16 +60,39 @@ def stream_timeline(spark, sf):
     return spark.read.parquet(f"{out}/days")
 
 
-@query("stream_processing_time", "T4", """
+@query("processing_time", "T4", """
 WITH r AS (SELECT *, count(*) FILTER (stage = 'upload') OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM v_progress),
 e AS (SELECT doc_id, run, min(seq) FILTER (stage = 'upload') AS start_seq, min(seq) FILTER (status IN ('completed', 'error')) AS end_seq FROM r WHERE run > 0 GROUP BY ALL)
 SELECT e.doc_id, e.run, e.start_seq, e.end_seq, t.status, round(date_diff('millisecond', date_trunc('millisecond', s.ts), date_trunc('millisecond', t.ts)) / 1000.0, 1) AS seconds
 FROM e JOIN v_progress s ON s.seq = e.start_seq JOIN v_progress t ON t.seq = e.end_seq""", ("v_progress",))
-def stream_processing_time(spark, sf):
+def processing_time(spark, sf):
     progress = v_progress(spark, sf).withColumn("ts", F.date_trunc("millisecond", "ts"))
     return S.processing_time(progress).withColumn("seconds", F.round("seconds", 1))
 
 
+@query("stream_processing_time", "T4", """
+WITH r AS (SELECT *, count(*) FILTER (stage = 'upload') OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM v_progress),
+e AS (SELECT doc_id, run, min(seq) FILTER (stage = 'upload') AS start_seq, min(seq) FILTER (status IN ('completed', 'error')) AS end_seq FROM r WHERE run > 0 GROUP BY ALL),
+wm AS (SELECT least(max(ts) FILTER (stage = 'upload'), max(ts) FILTER (status IN ('completed', 'error'))) - INTERVAL 1 HOUR AS wm FROM v_progress),
+j AS (SELECT e.*, s.ts AS start_ts, t.ts AS end_ts, t.status, EXISTS (SELECT 1 FROM v_progress x WHERE x.doc_id = e.doc_id AND x.status IN ('completed', 'error')
+        AND x.ts >= s.ts AND x.ts <= s.ts + INTERVAL 36 HOUR) AS paired
+      FROM e JOIN v_progress s ON s.seq = e.start_seq LEFT JOIN v_progress t ON t.seq = e.end_seq AND t.ts <= s.ts + INTERVAL 36 HOUR)
+SELECT doc_id, start_seq, CASE WHEN end_ts IS NOT NULL THEN end_seq END AS end_seq, status, date_diff('millisecond', date_trunc('millisecond', start_ts), date_trunc('millisecond', end_ts)) / 1000.0 AS seconds
+FROM j, wm WHERE paired OR start_ts + INTERVAL 36 HOUR < wm""", ("v_progress",))
+def stream_processing_time(spark, sf):
+    """Events arrive in four files, one per batch; runs that do not end within 36 hours come out without an end."""
+    out = scratch_dir(spark)
+    progress = v_progress(spark, sf)
+    events = progress.select(F.max("seq") + 1).scalar()
+    for k in range(4):
+        part = progress.filter(F.floor(F.col("seq") * 4 / events) == k)
+        part.coalesce(1).write.mode("append").parquet(f"{out}/inbox")
+    stream = S.table_stream(spark, f"{out}/inbox", "*.parquet", files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    runs = S.stream_processing_time(stream.filter("stage = 'upload'"), stream.filter("status IN ('completed', 'error')"), "1 hour", 36 * 3600)
+    L.write_available(runs, f"{out}/checkpoint", f"{out}/pairs")
+    return S.settle_runs(spark.read.parquet(f"{out}/pairs"))
+
+
 # The answers as segmented and cleaned take the place of the raw ones in all views behind them.
 ASSESSED = ("v_cleaned", "v_answers", "v_hashed", "v_keys", "v_hashed_keys", "v_catalogue", "v_criteria", "v_eval")
 

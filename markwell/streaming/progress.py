@@ -71,18 +71,44 @@ def processing_time(progress: DataFrame) -> DataFrame:
     )
 
 
-def stream_processing_time(starts: DataFrame, ends: DataFrame, delay: str, longest: str) -> DataFrame:
-    """Stream-stream interval join of starts and ends of the same document within ``longest``."""
-    s = starts.select("doc_id", F.col("ts").alias("start_ts")).withWatermark("start_ts", delay)
-    e = ends.select(F.col("doc_id").alias("end_doc"), F.col("ts").alias("end_ts"), "status").withWatermark("end_ts", delay)
+def stream_processing_time(starts: DataFrame, ends: DataFrame, delay: str, longest_seconds: int) -> DataFrame:
+    """Stream-stream interval join of starts and ends of one document, with a watermark on each side.
+
+    (doc_id, start_seq, start_ts, end_seq, end_ts, status): every start with every end within ``longest_seconds``, as soon as both are
+    there, and a row without end once the watermark has passed the last time an end could come. Spans of that length take part
+    in the join key, a start in its own and the next one, so a document with very many events is spread over tasks and its state
+    goes span by span. ``settle_runs`` picks the end of each start.
+    """
+    def span(ts: str) -> Column:
+        return F.floor(F.unix_seconds(ts) / longest_seconds)
+
+    s = starts.select("doc_id", F.col("seq").alias("start_seq"), F.col("ts").alias("start_ts")).withWatermark("start_ts", delay)
+    e = ends.select(
+        F.col("doc_id").alias("end_doc"), F.col("seq").alias("end_seq"), F.col("ts").alias("end_ts"), "status"
+    ).withWatermark("end_ts", delay)
+    s = s.withColumn("span", F.explode(F.array(span("start_ts"), span("start_ts") + 1)))
+    e = e.withColumn("end_span", span("end_ts"))
     within = (
-        (F.col("doc_id") == F.col("end_doc")) & (F.col("end_ts") >= F.col("start_ts"))
-        & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {longest}"))
+        (F.col("doc_id") == F.col("end_doc")) & (F.col("span") == F.col("end_span")) & (F.col("end_ts") >= F.col("start_ts"))
+        & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {longest_seconds} SECONDS"))
+    )
+    return s.join(e, within, "left_outer").select("doc_id", "start_seq", "start_ts", "end_seq", "end_ts", "status")
+
+
+def settle_runs(pairs: DataFrame) -> DataFrame:
+    """(doc_id, start_seq, end_seq, status, seconds) from the rows of ``stream_processing_time``.
+
+    An end belongs to the last start before it, and a start ends with the first end that is its own; a start without one (given up
+    for a later start, or never ended in time) has NULL. Both are minima and maxima, so rows that a replay repeats do no harm.
+    """
+    owned = pairs.filter("end_seq IS NOT NULL").groupBy("doc_id", "end_seq").agg(
+        F.max(F.struct("start_seq", "start_ts")).alias("s"), F.any_value("end_ts").alias("end_ts"), F.any_value("status").alias("status")
     )
-    return s.join(e, within).select(
-        "doc_id", "start_ts", "end_ts", "status",
-        (F.unix_millis("end_ts") - F.unix_millis("start_ts")).alias("milliseconds"),
+    ended = owned.groupBy("doc_id", F.col("s.start_seq").alias("start_seq")).agg(
+        F.min(F.struct("end_seq", "status", (F.unix_millis("end_ts") - F.unix_millis("s.start_ts")).alias("ms"))).alias("e")
     )
+    known = pairs.select("doc_id", "start_seq").distinct().join(ended, ["doc_id", "start_seq"], "left")
+    return known.select("doc_id", "start_seq", "e.end_seq", "e.status", (F.col("e.ms") / 1000.0).alias("seconds"))
 
 
 class StatusMachine(StatefulProcessor):

@@ -43,15 +43,20 @@ def test_processing_time(spark):
 
 
 def test_processing_time_stream(spark, tmp_path):
-    df = progress(spark, ROWS)
-    stream = stream_of(spark, df, str(tmp_path / "in"), 1)
-    other = S.table_stream(spark, str(tmp_path / "in"), "*.parquet")
-    joined = S.stream_processing_time(
-        stream.filter("stage = 'upload'"), other.filter("status IN ('completed', 'error')"), "1 hour", "1 hour"
-    )
+    """Two files: a run that ends in a later batch, one given up for a later start, one that never ends; equal to the batch form."""
+    first = progress(spark, [*ROWS, (4, "upload", "in_progress", 10), (5, "upload", "in_progress", 11), (5, "upload", "in_progress", 12)])
+    later = progress(spark, [(4, "scoring", "error", 40), (5, "completed", "completed", 41), (6, "upload", "in_progress", 8000), (6, "completed", "completed", 9000)])
+    folder = str(tmp_path / "in")
+    for part in (first, later):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = S.table_stream(spark, folder, "*.parquet", files_per_trigger=1)
+    joined = S.stream_processing_time(stream.filter("stage = 'upload'"), stream.filter("status IN ('completed', 'error')"), "1 minute", 100)
     L.write_available(joined, str(tmp_path / "c"), str(tmp_path / "out"))
-    got = {(r.doc_id, r.milliseconds, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert (1, 2000, "completed") in got and (2, 2000, "error") in got
+    got = {(r.doc_id, r.start_seq): (r.end_seq, r.status, r.seconds) for r in S.settle_runs(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    batch = S.processing_time(first.unionByName(later)).filter("seconds <= 100")
+    closed = {(r.doc_id, r.start_seq): (r.end_seq, r.status, r.seconds) for r in batch.collect()}
+    assert {k: v for k, v in got.items() if v[0] is not None} == closed
+    assert got[4, 10] == (40, "error", 30.0) and got[5, 11] == (None, None, None) and (6, 8000) not in got
 
 
 def test_status_machine(spark, tmp_path):
