@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import bind, let
 from markwell.operators.generate import settled
-from markwell.operators.skew import skew_join
+from markwell.operators.running import last_values
 
 SP, WD = f"[{K.SPACE_CLASS}]", f"[{K.WORD_CLASS}]"
 MARKER = "struct<pos:int,rank:int,number:int>"
@@ -390,25 +390,20 @@ def _bind(value: Column, step, pattern: str) -> Column:
 def assign_images(images: DataFrame, markers: DataFrame) -> DataFrame:
     """Task of each image: the last marker before its position; a boundary belongs to the earlier task.
 
-    ``markers`` (doc_id, task_number, start) become at most four columns per document, so the interval join is
-    an equi join on doc_id followed by a choice inside the row.
+    An as-of join: markers (doc_id, task_number, start) and images form one sorted table, and each image takes the last task in
+    front of it. The first marker of a document also holds the image at its own position. An image without a position has no task.
     """
-    wide = markers.groupBy("doc_id").agg(
-        *[F.min(F.when(F.col("task_number") == k, F.col("start"))).alias(f"_m{k}") for k in K.TASKS]
+    first = F.min("start").over(Window.partitionBy("doc_id"))  # at most one marker per task
+    marks = markers.groupBy("doc_id", "task_number").agg(F.min("start").alias("start")).select(
+        "doc_id", F.col("start").cast("bigint").alias("_at"), F.when(F.col("start") == first, 0).otherwise(2).alias("_rank"),
+        F.col("task_number").cast("bigint").alias("_no"), F.col("task_number").alias("_task"),
     )
-    slots = F.sort_array(
-        F.filter(
-            F.array(*[F.struct(F.col(f"_m{k}").alias("start"), F.lit(k).alias("task_number")) for k in K.TASKS]),
-            lambda m: m["start"].isNotNull(),
-        )
-    )
-    joined = skew_join(images, wide, "doc_id", "left").withColumn("_slots", slots)
-    before = F.filter("_slots", lambda m: m["start"] < F.col("position"))
-    first = F.get("_slots", F.lit(0))
-    owner = F.when(F.size(before) > 0, F.element_at(before, -1)["task_number"]).when(
-        first["start"] == F.col("position"), first["task_number"]
+    whole = images.withColumns(
+        {"_at": F.col("position").cast("bigint"), "_rank": F.lit(1), "_no": F.monotonically_increasing_id(), "_task": F.lit(None).cast("int")}
     )
-    return joined.select(*images.columns, owner.alias("task_number"))
+    merged = whole.withColumn("_image", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    seen = last_values(merged, ["doc_id"], ["_at", "_rank", "_no"], "_task", "_owner").filter("_image")
+    return seen.select(*images.columns, F.when(F.col("_at").isNotNull(), F.col("_owner")).alias("task_number"))
 
 
 def segment_documents(df: DataFrame, text_col: str = "content", prompted: tuple[int, ...] = ()) -> DataFrame:

@@ -60,15 +60,18 @@ def read_answer_keys(spark, sf):
 
 
 @query("flatten_nested_answer", "S6", """
-SELECT page_id, CASE WHEN page_id % 5 = 4 THEN concat('[draft] ', url) ELSE concat('url: ', url, chr(10), 'n: ', page_id, chr(10), 'ok: ', CASE WHEN page_id % 2 = 0 THEN 'True' ELSE 'False' END, chr(10), 'list:', chr(10), ' - a', chr(10), ' - b', page_id, chr(10), 'sub:', chr(10), 'x: 1', chr(10), 'note: [1] see below', chr(10), 'empty:') END AS content FROM pages""")
+SELECT page_id, CASE WHEN page_id % 5 = 4 THEN concat('[draft] ', url) ELSE concat('url: ', url, chr(10), 'n: ', page_id, chr(10), 'ok: ', CASE WHEN page_id % 2 = 0 THEN 'True' ELSE 'False' END, chr(10), 'list:', chr(10), ' - a', chr(10), ' - b', page_id, chr(10), 'sub:', chr(10), 'x: 1', chr(10),
+  'deep:', chr(10), 'a:', chr(10), 'b:', chr(10), 'c:', chr(10), 'd:', chr(10), ' - - e', page_id, chr(10), ' - f', chr(10), 'note: [1] see below', chr(10), 'empty:') END AS content FROM pages""")
 def flatten_nested_answer(spark, sf):
     p = F.col("page_id")
+    # six levels of objects and lists; a map keeps the inner text as it stands
+    deep = F.concat(F.lit('{"a": {"b": {"c": {"d": [["e'), p, F.lit('"], "f"]}}}}'))
     body = F.struct(
         F.col("url"), p.alias("n"), (p % 2 == 0).alias("ok"), F.array(F.lit("a"), F.concat(F.lit("b"), p)).alias("list"),
-        F.struct(F.lit(1).alias("x")).alias("sub"), F.lit("[1] see below").alias("note"), F.lit(" ").alias("empty"),
+        F.struct(F.lit(1).alias("x")).alias("sub"), F.from_json(deep, "map<string,string>").alias("deep"), F.lit("[1] see below").alias("note"), F.lit(" ").alias("empty"),
     )
     raw = F.when(p % 5 == 4, F.concat(F.lit("[draft] "), "url")).otherwise(F.to_json(body))  # some answers only look like JSON
-    return table(spark, sf, "pages").select("page_id", J.flatten_nested(raw).alias("content"))
+    return J.flatten_nested(table(spark, sf, "pages").select("page_id", raw.alias("content")), "content")
 
 
 @query("read_candidate_json", "S7", """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markwell.functions import text as T
+from markwell.session import cut_lineage
 
 ITEMS = "array<struct<task_number:string,content:string>>"
 OBJECT = f"struct<filename:string,file_type:string,content:string,tasks:{ITEMS},parsed_at:string>"
-FLATTEN_DEPTH = 4
 
 
 def task_number(raw: Column) -> Column:
@@ -24,10 +26,10 @@ def read_answer_keys(docs: DataFrame, id_col: str = "kind", json_col: str = "jso
     """
     rows = docs.select(id_col, F.posexplode_outer(F.from_json(json_col, ITEMS)).alias("i", "e"))
     content = F.coalesce("e.content", F.lit(""))
-    picked = rows.select(
-        id_col, "i", task_number(F.col("e.task_number")).alias("task_number"),
-        (flatten_nested(content) if nested else content).alias("content"),
-    ).filter("task_number IS NOT NULL")
+    picked = rows.select(id_col, "i", task_number(F.col("e.task_number")).alias("task_number"), content.alias("content"))
+    picked = picked.filter("task_number IS NOT NULL")
+    if nested:
+        picked = flatten_nested(picked, "content")
     return picked.groupBy(id_col, "task_number").agg(F.max_by("content", "i").alias("content"))
 
 
@@ -38,42 +40,49 @@ def _is_nested(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^\s*[\[{]") & alone, F.lit(False))
 
 
-def flatten_nested(raw: Column, depth: int = FLATTEN_DEPTH) -> Column:
-    """Text of a JSON object or list as "key: value" lines and "- " items; other text stays as it is.
+def flatten_nested(df: DataFrame, column: str) -> DataFrame:
+    """Turn JSON objects and lists in ``column`` into "key: value" lines and "- " items, to any depth; other text stays as it is.
 
-    Below ``depth`` levels a value stays JSON text. A string value that is itself a JSON object or list counts as nested."""
-    nested = _is_nested(raw)
-    lines = F.filter(_emit(raw, F.lit(""), depth), lambda x: x.isNotNull())
-    return F.when(nested, T.strip(F.array_join(lines, "\n"))).otherwise(raw)
+    A string value that is itself a JSON object or list counts as nested. Values are walked as rows: each round takes one level off
+    all values that are still nested, whose lines and inner values keep the path that says where they stand, until none is
+    left. The lines of one answer are finally put in the order of their paths.
+    """
+    tagged = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    open_values = tagged.filter(_is_nested(F.col(column))).select(
+        "_row", F.array().cast("array<int>").alias("path"), F.lit("").alias("prefix"), F.col(column).alias("value")
+    )
+    lines = []
+    while True:
+        level = cut_lineage(open_values.select("_row", "path", F.inline(_children(F.col("value"), F.col("prefix")))))
+        level = level.select("_row", F.concat("path", F.array("at")).alias("path"), "line", "prefix", "value")
+        lines.append(level.filter("line IS NOT NULL").select("_row", "path", "line"))
+        open_values = level.filter("value IS NOT NULL").select("_row", "path", "prefix", "value")
+        if open_values.isEmpty():
+            break
+    texts = reduce(DataFrame.unionByName, lines).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("l"))
+    flat = texts.select("_row", T.strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("_flat"))
+    nested = F.coalesce("_flat", F.when(_is_nested(F.col(column)), F.lit("")), F.col(column))
+    return tagged.join(flat, "_row", "left").withColumn(column, nested).select(*df.columns)
 
 
 def _python_scalar(value: Column) -> Column:
     return F.when(value == "true", "True").when(value == "false", "False").otherwise(T.strip(value))
 
 
-def _emit(value: Column, prefix: Column, depth: int) -> Column:
-    """Lines of one value: a scalar, the items of a list, or the entries of an object (in their order)."""
-    scalar = F.array(F.when(~T.is_blank(value), F.concat(prefix, _python_scalar(value))))
-    if depth == 0:
-        return scalar
-
-    def entry(e):
-        inner = _is_nested(e["value"])
-        plain = F.array(
-            F.when(T.is_blank(e["value"]), F.concat(e["key"], F.lit(":"))).otherwise(
-                F.concat(e["key"], F.lit(": "), _python_scalar(e["value"]))
-            )
-        )
-        deeper = F.concat(F.array(F.concat(e["key"], F.lit(":"))), _emit(e["value"], F.lit(" "), depth - 1))
-        return F.when(inner, deeper).otherwise(plain)
-
-    items = F.flatten(
-        F.transform(F.from_json(value, "array<string>"), lambda x: _emit(x, F.concat(prefix, F.lit("- ")), depth - 1))
-    )
-    entries = F.flatten(F.transform(F.map_entries(F.from_json(value, "map<string,string>")), entry))
-    return (
-        F.when(~_is_nested(value), scalar).when(value.rlike(r"^\s*\{"), entries).otherwise(items)
-    )
+def _children(value: Column, prefix: Column) -> Column:
+    """One level of a nested value: (at, line, prefix, value) per item or entry, with the inner value where it is nested."""
+    def item(x: Column, i: Column) -> Column:
+        inner, mark = _is_nested(x), F.concat(prefix, F.lit("- "))
+        line = F.when(~inner & ~T.is_blank(x), F.concat(mark, _python_scalar(x)))
+        return F.struct(i.alias("at"), line.alias("line"), mark.alias("prefix"), F.when(inner, x).alias("value"))
+
+    def entry(e: Column, i: Column) -> Column:
+        inner, key = _is_nested(e["value"]), F.concat(e["key"], F.lit(":"))
+        line = F.when(inner | T.is_blank(e["value"]), key).otherwise(F.concat(key, F.lit(" "), _python_scalar(e["value"])))
+        return F.struct(i.alias("at"), line.alias("line"), F.lit(" ").alias("prefix"), F.when(inner, e["value"]).alias("value"))
+
+    entries = F.transform(F.map_entries(F.from_json(value, "map<string,string>")), entry)
+    return F.when(value.rlike(r"^\s*\{"), entries).otherwise(F.transform(F.from_json(value, "array<string>"), item))
 
 
 def read_candidate_json(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:

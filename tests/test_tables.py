@@ -131,11 +131,22 @@ def test_manual_grades(spark):
     assert (row.task_1_score, row.task_2_score, row.task_3_score, row.average_score_tasks_1_3) == (5.0, 7.5, None, 6.25)
 
 
-def test_nested_answer(one):
-    text = '{"b": {"x": 1, "y": ["p", {"q": true}]}, "a": "t", "n": null}'
-    assert one(lambda c: J.flatten_nested(F.col(c)), text) == "b:\nx: 1\ny:\n - p\nq: True\na: t\nn:"
-    assert one(lambda c: J.flatten_nested(F.col(c)), "plain") == "plain"
-    assert one(lambda c: J.flatten_nested(F.col(c)), '["a", "b"]') == "- a\n- b"
+def test_nested_answer(spark):
+    deep = '{"a": [{"b": {"c": [[{"d": "e"}, "f"], [], {}]}}, "g"], "z": 1}'
+    cases = [
+        ('{"b": {"x": 1, "y": ["p", {"q": true}]}, "a": "t", "n": null}', "b:\nx: 1\ny:\n - p\nq: True\na: t\nn:"),
+        ("plain", "plain"), ('["a", "b"]', "- a\n- b"), (None, None), ("[1] see below", "[1] see below"), ("{}", ""), ("", ""),
+        (deep, "a:\nb:\nc:\nd: e\n - - f\n - g\nz: 1"), ('["a", "b"]', "- a\n- b"),
+    ]
+    rows = [(i, t, "other") for i, (t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, content string, path string")
+    got = {r.id: (r.content, r.path) for r in J.flatten_nested(df, "content").collect()}
+    assert got == {i: (want, "other") for i, (_, want) in enumerate(cases)}
+    nested = '"x"'
+    for _ in range(12):
+        nested = f'{{"k": [{nested}]}}'
+    one = spark.createDataFrame([(nested,)], "content string")
+    assert J.flatten_nested(one, "content").first()[0].count("k:") == 12
 
 
 def test_files(spark, tmp_path):
