@@ -287,5 +287,6 @@ def _with_components(described: DataFrame, distinct: DataFrame, labels: DataFram
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near duplicates those with its smallest key."""
     kept = near_duplicates(docs, key, text, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(named, docs[key] == named["_kept"], "left").filter(F.col("_kept").isNotNull() | docs[key].isNull()).drop("_kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("key"))  # any column names are fine
+    found = rows.join(kept, rows["key"] == kept["doc_id"], "left").filter("doc_id is not null or key is null")
+    return found.select("row.*")

@@ -248,18 +248,29 @@ def mix_sources(
 
     Size is the number of words; a document of no words (null or empty text) is never taken. A document is taken whole, at most
     ``most`` times (rounded up). Null sources are one source, the last. Documents with equal key and text are one unit of the
-    draw. The same rows and seed give the same mix. An empty table gives no rows. Columns of ``docs`` must not be named as the
-    three added ones; any other names are fine, as decisions are joined under names of their own.
+    draw. The same rows and seed give the same mix. An empty table gives no rows. A column of ``docs`` that is named as one
+    of the three added ones is left out (``shuffled_mix`` keeps it); any other names are fine.
     """
-    settings = _settings(ratio, weights, most, block_words, shards, seed)
+    taken = _taken(docs, key, text, source, seed, _settings(ratio, weights, most, block_words, shards, seed))
+    added = ["mix_pass", "mix_shard", "mix_order"]
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def _taken(docs: DataFrame, key: str, text: str, source: str, seed: int, settings: dict) -> DataFrame:
+    """``(row, mix_pass, mix_shard, mix_order)`` per document and copy; ``row`` holds the columns of ``docs``, whatever their names."""
     where, size, draw = _measured(docs, key, text, source, seed)
     plan = mix_plan(stash(docs.select(where.alias("source"), size.alias("size"), draw.alias("draw"))), **settings)
     rows = docs.select(where.alias("source"), size.alias("size"), draw.alias("draw"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     taken = with_copies(rows, plan).select("row", "draw", F.explode("copies").alias("copy"))
     order = F.xxhash64(F.lit(seed), F.col("copy.shard"), F.col("copy.pass"), F.col("draw"))
-    return taken.select(
-        "row.*", F.col("copy.pass").alias("mix_pass"), F.col("copy.shard").alias("mix_shard"), order.alias("mix_order")
-    )
+    return taken.select("row", F.col("copy.pass").alias("mix_pass"), F.col("copy.shard").alias("mix_shard"), order.alias("mix_order"))
+
+
+def _shuffled(taken: DataFrame, shards: int) -> DataFrame:
+    partitions = int(taken.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("mix_order"), F.lit(-(-4 * partitions // shards)))
+    dealt = taken.withColumn("part", part).repartition("mix_shard", "part")
+    return dealt.sortWithinPartitions("mix_shard", "part", "mix_order").select("row.*")
 
 
 def shuffled_shards(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -268,10 +279,15 @@ def shuffled_shards(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
     A shard is split at random into parts, several for each shuffle partition, so that tasks stay bounded however large a shard
     is; a task holds whole parts, each in its shuffled order. That order holds when a written file is read again.
     """
-    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("mix_order"), F.lit(-(-4 * partitions // shards)))
-    dealt = mixed.withColumn("_part", part).repartition("mix_shard", "_part")
-    return dealt.sortWithinPartitions("mix_shard", "_part", "mix_order").drop("_part")
+    row = F.struct(*[mixed[c] for c in mixed.columns]).alias("row")  # any column names are fine
+    return _shuffled(mixed.select(row, "mix_shard", "mix_order"), shards)
+
+
+def shuffled_mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED
+) -> DataFrame:
+    """The rows that ``mix_sources`` takes, in the order of ``shuffled_shards``, with just the columns of ``docs``, whatever their names."""
+    return _shuffled(_taken(docs, key, text, source, seed, _settings(RATIO, WEIGHTS, MOST_PASSES, BLOCK_WORDS, shards, seed)), shards)
 
 
 def mix_report(

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwell.llm.common import mix, power_tables, span_hashes, stash, steps, text_buffer
+from markwell.llm.common import mix, power_tables, release_memory, span_hashes, stash, steps, text_buffer
 from markwell.llm.tokens import spread_ranges
 
 LENGTH = 50
@@ -208,6 +208,8 @@ def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
                 held.append(tuple(packed))
         if held:
             yield from judged(*zip(*held, strict=True))
+            held = []
+        release_memory()
 
     dealt = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc_id long, name long")
@@ -362,6 +364,8 @@ def _covered(pieces: DataFrame, length: int) -> DataFrame:
                 size = sum(b.column("piece").nbytes for b in held)
         if held:
             yield spans(pa.Table.from_batches(held))
+            held = []
+        release_memory()
 
     return pieces.repartition("route").sortWithinPartitions("route").mapInArrow(run, _SPAN)
 

@@ -20,7 +20,7 @@ MARK_BYTES = MARK.encode()
 SPACE = 0x20
 
 # A task's table of segmented words starts anew beyond so many entries; longer words are segmented anew in each step.
-TABLE_ENTRIES = 1 << 19
+TABLE_ENTRIES = 1 << 18
 TABLE_WORD_BYTES = 64
 
 # Stands before a word while it is encoded, so that the library's own leading marker falls on it.

@@ -12,6 +12,8 @@ import sentencepiece
 
 from markwell.llm import lexical, pieces, whitening
 from markwell.llm.lexical import rank_documents
+from markwell.llm.minhash import keep_first
+from markwell.llm.mixing import mix_sources, shuffled_mix, shuffled_shards
 from markwell.llm.pieces import decode_pieces, default_model, encode_pieces
 from markwell.llm.whitening import whiten
 
@@ -100,6 +102,25 @@ def test_products_stay_exact():
     assert corpus.damping(huge).tolist() == [25 + 75 * int(x) * 10**12 // 10**14 for x in huge]
 
 
+# ---------------------------------------------------------------- names of columns in stages
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as those that operators use inside or add come through near-dedup and the mix unchanged."""
+    names = ["_kept", "row", "key", "part", "_part", "mix_pass", "mix_shard", "mix_order", "draw", "size"]
+    rows = [(i, f"text number {i} of this table", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    whole = {tuple(r) for r in docs.collect()}
+    kept = keep_first(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == whole
+    mixed = shuffled_mix(docs)
+    found = [tuple(r) for r in mixed.collect()]
+    assert mixed.columns == docs.columns and set(found) <= whole and len(found) > len(set(found)) > 0
+    report = mix_sources(docs)
+    assert report.columns.count("mix_order") == 1 and report.count() == len(found)
+    assert sorted(r["doc_id"] for r in shuffled_shards(report).collect()) == sorted(f[0] for f in found)
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
