@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from markwell.llm.common import read_table, stash
 from markwell.llm.minhash import keep_first
-from markwell.llm.mixing import mix_sources, shuffled_shards
+from markwell.llm.mixing import shuffled_mix
 from markwell.llm.packing import pack
 from markwell.llm.passages import cut_texts
 from markwell.llm.toxicity import keep_clean
@@ -43,7 +43,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, dealt to shards and shuffled inside them: a document appears as often as it is taken."""
-    return shuffled_shards(mix_sources(docs)).select(*docs.columns)
+    return shuffled_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
