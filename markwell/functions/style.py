@@ -119,6 +119,20 @@ def reference_f1(text: Col, lines: list[str]) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
+def reference_f1_of(text: Col, references: Col) -> Column:
+    """Greatest token-match F1 between the text and any of the row's ``references`` (lists of words)."""
+    tokens = F.filter(F.split(normalize_strip_punct(text), " "), lambda w: F.length(w) > 0)
+
+    def f1(words: Column, distinct: Column, ref: Column) -> Column:
+        precision = F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(ref, w))), F.size(words))
+        recall = F.try_divide(F.size(F.filter(ref, lambda r: F.array_contains(distinct, r))), F.size(ref))
+        return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+
+    both = F.transform(F.array(tokens), lambda w: F.struct(w.alias("all"), F.array_distinct(w).alias("distinct")))
+    scores = F.get(F.transform(both, lambda b: F.transform(as_col(references), lambda r: f1(b["all"], b["distinct"], r))), F.lit(0))
+    return F.coalesce(F.array_max(scores), F.lit(0.0))
+
+
 def analyze_text(text: Col, likelihood: Column | None = None) -> Column:
     """All metrics of one text; NULL counts as the empty text."""
     t = F.coalesce(as_col(text), F.lit(""))

@@ -16,6 +16,9 @@ from markwell.session import broadcast_if_small
 
 Embed = Callable[[Column], Column]
 
+# Questions of an answer key, all of which become columns of a plan; more raise an error.
+MAX_QUESTIONS = 200
+
 
 def choose_reference(hr_sim: Column, ai_sim: Column) -> Column:
     """'hr' or 'ai' by the greater similarity, hr on a tie, NULL when both are missing."""
@@ -79,7 +82,9 @@ def evaluate_answers(
 
     The questions are those of the answer key, a configuration table; all of them are kept. If ``keys`` holds several sets
     (column ``key_set``), ``key_set`` says, from ``doc_id``, which of them a document is compared with."""
-    questions = [r[0] for r in keys.select("task_number").distinct().collect()]
+    questions = [r[0] for r in keys.select("task_number").distinct().limit(MAX_QUESTIONS + 1).collect()]
+    if len(questions) > MAX_QUESTIONS:
+        raise ValueError(f"an answer key has at most {MAX_QUESTIONS} questions")
     spine = question_spine(answers, questions)
     on = ["task_number"]
     if key_set is not None:

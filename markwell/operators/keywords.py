@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import let
-from markwell.operators.generate import exploded, numbered, settled
+from markwell.operators.generate import numbered, settled
+from markwell.operators.skew import skew_join
+from markwell.session import cut_lineage
 
 
 POSITIONS = 1 << 31  # more than the words of any one text
@@ -96,11 +98,15 @@ def keywords_per_task(answers: DataFrame, n: int = 15) -> DataFrame:
 
 
 def corpus_tfidf(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Classic tf-idf over the corpus: term count x ln(documents / documents with the term)."""
-    tokens = exploded(df, [key], T.tokenize(T.normalize_strip_punct(text)), "keyword")
-    tf = tokens.groupBy(key, "keyword").agg(F.count("*").alias("_n"))
-    spread = tf.groupBy("keyword").agg(F.count("*").alias("_df"))
-    total = df.count()
-    weighted = tf.join(spread, "keyword").withColumn("weight", F.col("_n") * F.ln(F.lit(float(total)) / F.col("_df")))
+    """Top ``n`` words of each text by count x ln(texts / texts with the word): (key, place, keyword, weight), ties alphabetical.
+
+    Words are counted inside their text, so the corpus table of words gets one row per text and word, combined map-side before its
+    shuffle. Words that a large part of the texts hold are joined back without moving their rows. A word of all texts weighs 0.
+    """
+    tokens = settled(df.select(key, T.tokenize(T.normalize_strip_punct(text)).alias("_k")))
+    runs = T.run_lengths(F.sort_array("_k"))
+    counts = cut_lineage(tokens.filter(F.size("_k") > 0).select(key, F.inline_outer(runs)).select(key, F.col("value").alias("keyword"), "n"))
+    texts = counts.groupBy("keyword").agg(F.count("*").alias("_df"))
+    weighted = skew_join(counts, texts, "keyword").withColumn("weight", F.col("n") * F.ln(F.lit(float(df.count())) / F.col("_df")))
     w = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), F.asc("keyword"))
     return weighted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(key, "place", "keyword", "weight")

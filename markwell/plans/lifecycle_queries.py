@@ -66,16 +66,23 @@ def ingest_dedup(spark, sf):
 
 
 @query("upsert_documents", "L2", """
-SELECT s.doc_id, s.filename, coalesce(CASE WHEN l.toxic = 0 THEN 'completed' END, s.processing_status) AS processing_status,
+SELECT s.doc_id, s.filename, coalesce(CASE WHEN l.toxic = 0 THEN 'completed' WHEN l.doc_id % 2 = 0 THEN 'pending' END, s.processing_status) AS processing_status,
   coalesce(l.quality, s.approved) AS approved, CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE s.created_at END AS updated_at
 FROM v_submissions s LEFT JOIN labels l ON l.doc_id = s.doc_id""", SUBS)
 def upsert_documents(spark, sf):
     base = v_submissions(spark, sf).select("doc_id", "filename", "processing_status", "approved", F.col("created_at").alias("updated_at"))
-    changes = table(spark, sf, "labels").select(
-        "doc_id", F.when(F.col("toxic") == 0, "completed").alias("processing_status"), F.col("quality").alias("approved")
+    labels = table(spark, sf, "labels")
+    changes = labels.select(
+        "doc_id", F.when(F.col("toxic") == 0, "completed").alias("processing_status"), F.col("quality").alias("approved"), F.lit(2).alias("seq")
     )
+    # every other document was written before, with other values, and once more with nothing in it
+    early = labels.filter("doc_id % 2 = 0").select(
+        "doc_id", F.lit("pending").alias("processing_status"), (1 - F.col("quality")).alias("approved"), F.lit(1).alias("seq")
+    )
+    nothing = early.withColumns({"processing_status": F.lit(None).cast("string"), "approved": F.lit(None).cast("int"), "seq": F.lit(3)})
     unknown = changes.withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
-    return L.upsert(base, changes.unionByName(unknown), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    whole = changes.unionByName(early).unionByName(nothing).unionByName(unknown)
+    return L.upsert(base, whole, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), order="seq")
 
 
 @query("approve_gated", "L3", f"""
@@ -254,6 +261,18 @@ def tfidf_keywords(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+@query("corpus_keywords", "A6", """
+WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^<WD>]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND NOT list_contains(<STOP>, w)) AS tok FROM documents),
+c AS (SELECT doc_id, keyword, count(*) AS n FROM (SELECT doc_id, unnest(tok) AS keyword FROM t) GROUP BY ALL),
+d AS (SELECT keyword, count(*) AS df FROM c GROUP BY 1),
+w AS (SELECT doc_id, keyword, n * ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE)) AS weight FROM c JOIN d USING (keyword))
+SELECT doc_id, place, keyword, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, keyword) AS place FROM w) WHERE place <= 10""")
+def corpus_keywords(spark, sf):
+    """The ten words of each document that set it apart from all others."""
+    out = W.corpus_tfidf(texts(spark, sf), "doc_id", "text", 10)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 @query("keywords_per_task", "A7", TFIDF_SQL.format(key="doc_id * 10 + task_number", text="content", source="v_answers") + """,
 simple AS (SELECT k, word AS keyword, row_number() OVER (PARTITION BY k ORDER BY n DESC, pos) AS place FROM (
   SELECT k, word, count(*) AS n, min(pos) AS pos FROM (SELECT k, unnest(tok) AS word, generate_subscripts(tok, 1) AS pos FROM t WHERE len(tok) BETWEEN 1 AND 2) GROUP BY ALL)),

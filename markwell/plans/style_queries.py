@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwell.functions import style
-from markwell.functions.registry import likelihood_scorer
+from markwell.functions import text as T
 from markwell.operators import integrity
 from markwell.plans.catalog import query
-from markwell.plans.views import texts, v_answers, v_keys, v_marked, v_styled
+from markwell.plans.views import ORACLE_VIEWS, key_set_of, texts, v_answers, v_keys, v_marked, v_styled
+from markwell.session import broadcast_if_small
 
 STYLED = ("v_styled", "v_metrics")
 
@@ -77,12 +78,32 @@ def analyze_submission(spark, sf):
 
 @query("reference_style_f1", "I8", """
 WITH doc AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents),
-ref AS (SELECT kind, task_number, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS r FROM v_keys WHERE key_set = 0),
+ref AS (SELECT key_set, n_sets, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda w: w <> '') AS r FROM v_keys),
 pr AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains(r, x))) / len(w)::DOUBLE AS p, len(list_filter(r, lambda x: list_contains(w, x))) / len(r)::DOUBLE AS c
-       FROM doc, ref WHERE len(w) > 0)
+       FROM doc JOIN ref ON ref.key_set = doc.doc_id % ref.n_sets WHERE len(w) > 0)
 SELECT d.doc_id, round(coalesce(max(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0 END), 0), 6) AS style_f1
 FROM doc d LEFT JOIN pr ON pr.doc_id = d.doc_id GROUP BY d.doc_id""", ("v_keys",))
 def reference_style_f1(spark, sf):
-    lines = [r.content for r in v_keys(spark, sf).filter("key_set = 0").select("content").collect()]  # 8 configured lines
-    score = likelihood_scorer("reference", lines=lines)
-    return texts(spark, sf).select("doc_id", F.round(score(F.col("text")), 6).alias("style_f1"))
+    """Every document against the lines of its own key set."""
+    words = F.filter(F.split(T.normalize_strip_punct("content"), " "), lambda w: F.length(w) > 0)
+    sets = v_keys(spark, sf).select("key_set", words.alias("w")).groupBy("key_set").agg(F.collect_list("w").alias("lines"))  # eight lines
+    docs = texts(spark, sf).withColumn("key_set", key_set_of(spark, sf)).join(broadcast_if_small(sets), "key_set", "left")
+    return docs.select("doc_id", F.round(style.reference_f1_of("text", "lines"), 6).alias("style_f1"))
+
+
+# Style metrics of every answer that is not blank.
+ANSWER_METRICS = ORACLE_VIEWS["v_metrics"].replace(
+    "FROM v_styled", "FROM (SELECT doc_id * 10 + task_number AS doc_id, content FROM v_answers WHERE trim(content, <CHARS>) <> '')"
+)
+
+
+@query("answer_metrics", "I7", f"""
+SELECT doc_id // 10 AS doc_id, CAST(doc_id % 10 AS INT) AS task_number, round(readability, 4) AS readability, total_words, has_emoji, total_errors, round(llm_likelihood, 4) AS llm_likelihood
+FROM ({ANSWER_METRICS})""", ("v_answers",))
+def answer_metrics(spark, sf):
+    m = integrity.analyze_answers(v_answers(spark, sf))
+    return m.select(
+        "doc_id", "task_number", F.round("metrics.readability", 4).alias("readability"), "metrics.total_words",
+        "metrics.special_chars.has_emoji", "metrics.punctuation_errors.total_errors",
+        F.round("metrics.llm_likelihood", 4).alias("llm_likelihood"),
+    )
