@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from markwell import constants as K
+from markwell.functions.segment_sql import segment_query
 from markwell.functions.style import VOWELS
 from markwell.functions.text import bind
-from markwell.operators import segmentation as G
 
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS double), (s, x) -> s + x)"
 _NORM = "aggregate({0}, CAST(0 AS double), (s, x) -> s + x * x)"
@@ -80,39 +76,6 @@ def register_functions(spark: SparkSession) -> list[str]:
     """Create the scalar functions and the table function ``segment_text`` for this session."""
     for name, (arguments, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    spark.udtf.register("segment_text", segment_text)
+    answers = "TABLE(task_number INT, content STRING)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION segment_text(txt STRING) RETURNS {answers} RETURN {segment_query('segment_text.txt')}")
     return [*FUNCTIONS, "segment_text"]
-
-
-def _number(match: re.Match, numbering: str) -> int:
-    hit = match.group(0)
-    if numbering == "digits":
-        return int(re.search(r"\d+", hit).group(0))
-    if numbering == "letter":
-        return next(n for letters, n in G.LETTERS if hit[0].upper() in letters)
-    if numbering == "roman":
-        return dict(K.ROMAN_NUMERALS)[re.search("[ivIV]+", hit).group(0).upper()]
-    word = (hit.split()[1] if numbering == "second_word" else hit).lower()
-    return next((n for stem, n in K.ORDINAL_STEMS if word.startswith(stem)), 0)
-
-
-@udtf(returnType="task_number int, start int, content string")
-class segment_text:  # noqa: N801 - the SQL name
-    """Explicitly marked answers of one text, for LATERAL use; ``segment_submissions`` is the full operator."""
-
-    def eval(self, text: str):
-        yield from _explicit_segments(text or "")
-
-
-def _explicit_segments(text: str) -> Iterator[tuple[int, int, str]]:
-    found = {}
-    for marker in reversed(G.EXPLICIT):  # earlier forms overwrite later ones at the same position
-        for m in re.finditer(marker.pattern, text, re.MULTILINE | re.IGNORECASE):
-            if 1 <= _number(m, marker.numbering) <= 4:
-                found[m.start()] = (_number(m, marker.numbering), m.end())
-    first: dict[int, tuple[int, int]] = {}
-    for start in sorted(found):
-        first.setdefault(found[start][0], (start, found[start][1]))
-    ordered = sorted((start, end, number) for number, (start, end) in first.items())
-    for (start, end, number), following in zip(ordered, [*ordered[1:], (len(text), 0, 0)]):
-        yield number, start, text[end : following[0]].lstrip(": \t\r\n").strip()

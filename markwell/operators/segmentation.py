@@ -187,15 +187,24 @@ def _first_per_position(markers: Column) -> Column:
 
 
 def explicit_markers(text: str) -> Column:
+    return _first_per_number(_first_per_position(F.expr(explicit_sql(text))))
+
+
+def explicit_sql(text: str) -> str:
+    """SQL text: the markers of all explicit forms, sorted by position and priority."""
     found = ", ".join(_found(text, m, r, EXPLICIT_FLAGS) for r, m in enumerate(EXPLICIT))
-    merged = F.expr(bind(f"lower({text})", "low", f"sort_array(concat({found}))"))
-    return _first_per_number(_first_per_position(merged))
+    return bind(f"lower({text})", "low", f"sort_array(concat({found}))")
+
+
+def numeric_sql(text: str) -> str:
+    """SQL text: all bare numbers at line starts."""
+    return _found(text, NUMERIC, len(EXPLICIT), NUMERIC_FLAGS)
 
 
 def numeric_markers(text_col: str, explicit: Column, exclude_after_explicit: bool = True) -> Column:
     """Bare numbers at line starts that are no sub-items of an explicit answer and no list items."""
     text = F.col(text_col)
-    candidates = F.expr(_found(text_col, NUMERIC, len(EXPLICIT), NUMERIC_FLAGS))
+    candidates = F.expr(numeric_sql(text_col))
     pair = rf"(\d+)[.)]{SP}*\n{SP}*(\d+)[.)]"
     size = F.size(explicit)
 
@@ -262,6 +271,11 @@ def slice_segments(text: str, markers: str) -> Column:
 
     An image line that is followed by a further marker ends the answer before the image.
     """
+    return F.expr(slice_sql(text, markers))
+
+
+def slice_sql(text: str, markers: str) -> str:
+    """``slice_segments`` as SQL text."""
     image = rf"\[Изображение(?::|{SP})"
     chars = K.SPACE_CHARS
     follower = f"get({markers}, i + 1).pos"
@@ -275,14 +289,16 @@ def slice_segments(text: str, markers: str) -> Column:
     )
     skipped = f"after + length(regexp_extract(substr({text}, after + 1), r'{SKIP}', 0))"
     content = bind(f"m.pos + {_marker_length(text, 'm.pos', 'm.number')}", "after", bind(skipped, "begin", body))
-    return F.expr(
-        f"transform({markers}, (m, i) -> named_struct('task_number', m.number, 'start', m.pos, 'content', {content}))"
-    )
+    return f"transform({markers}, (m, i) -> named_struct('task_number', m.number, 'start', m.pos, 'content', {content}))"
+
+
+def anchor_pattern(task: int) -> str:
+    return "(?ium)" + "|".join(_portable(p) for p in ANCHORS[task])
 
 
 def _first_anchor(text: Column, task: int) -> Column:
     """First position of any anchor of the task, -1 if there is none."""
-    pattern = "(?ium)" + "|".join(_portable(p) for p in ANCHORS[task])
+    pattern = anchor_pattern(task)
     low = F.lower(text)
     possible = F.coalesce(*[F.when(low.contains(stem), True) for stem in ANCHOR_STEMS[task]], F.lit(False))
     return F.when(possible, F.regexp_instr(text, F.lit(pattern)) - 1).otherwise(-1)
@@ -333,6 +349,11 @@ def _content_of(segments: Column, task: int) -> Column:
 
 def missing_segment(text: str, markers: str, third: str) -> Column:
     """Text of an unmarked fourth answer behind the third one, '' if nothing convincing follows."""
+    return F.expr(missing_sql(text, markers, third))
+
+
+def missing_sql(text: str, markers: str, third: str) -> str:
+    """``missing_segment`` as SQL text."""
     chars = K.SPACE_CHARS
     gap = rf"[.;]{SP}*\n{SP}*\n"
     suffix = f"btrim(right({third}, 100), '{chars}')"
@@ -343,7 +364,7 @@ def missing_segment(text: str, markers: str, third: str) -> Column:
     rest = rf"substr({text}, after + length(regexp_extract(substr({text}, after + 1), r'^[ \t\n\r]*', 0)) + 1)"
     found = bind(f"p + {_marker_length(text, 'p', None)}", "after", bind(rest, "rest", tail))
     position = f"get(filter({markers}, m -> m.number = 3), 0).pos"
-    return F.expr(bind(position, "p", f"if(p IS NOT NULL AND length({third}) > 0, {found}, '')"))
+    return bind(position, "p", f"if(p IS NOT NULL AND length({third}) > 0, {found}, '')")
 
 
 def strip_prompt_text(text: Column, task: Column, prompted: tuple[int, ...] = ()) -> Column:

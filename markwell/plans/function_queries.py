@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markwell.functions.registry import EMBEDDERS, likelihood_scorer
 from markwell.functions.sqlfuncs import register_functions
 from markwell.plans.catalog import query
-from markwell.plans.views import table, v_answers, v_marked, v_styled, v_submissions
+from markwell.plans.views import table, v_answers, v_styled, v_submissions, v_variants
 from markwell.sources.files import decode_files
 
 
@@ -44,9 +44,10 @@ def vector_functions(spark, sf):
 
 @query("segment_udtf", "U4", "SELECT doc_id, task_number, trim(content, <CHARS>) AS content FROM v_answers", ("v_answers",))
 def segment_udtf(spark, sf):
+    """All marker styles, in SQL alone."""
     register_functions(spark)
-    v_marked(spark, sf).createOrReplaceTempView("markwell_marked")
-    return spark.sql("SELECT m.doc_id, s.task_number, s.content FROM markwell_marked m, LATERAL segment_text(m.content) s")
+    v_variants(spark, sf).createOrReplaceTempView("markwell_variants")
+    return spark.sql("SELECT m.doc_id, s.task_number, s.content FROM markwell_variants m, LATERAL segment_text(m.content) s WHERE s.content <> ''")
 
 
 @query("decoder_registry", "U3", """

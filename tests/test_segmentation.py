@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from markwell.catalogues import INTERVIEW
+from markwell.functions.sqlfuncs import register_functions
 from markwell.operators import answers as A
 from markwell.operators import cleaning as C
 from markwell.operators import criteria as R
@@ -103,3 +106,21 @@ def test_interview_criteria(spark):
     assert got[(4, "Отсутствие ошибок")] == (False, ["физически невозможно"])
     assert got[(4, "Скрытое условие")][0] is True
     assert len(got) == 24
+
+
+def test_table_function_equals_the_operator(spark):
+    """Texts that mix explicit markers, bare numbers, lists, images, anchors, page lines and copied prompts in random order."""
+    rng = random.Random(9)
+    parts = [
+        "Вопрос 1. ", "Задание №2 ", "вопрос 3: ", "Ответ на 4 ", "\n1. ", "\n2) ", "\n3. ", "\n4. ", "Первое задание: ", "II) ", "\nА) ", "слово ", "\n",
+        "таблица clients ", "Таблица items ", "select department_id ", "карандаш у стены ", "[Изображение: x] ", "Страница 3\n", "\n12\n", ";\n \n",
+        "текст ответа длиннее двадцати знаков. ", "Почему карандаш в комнате нельзя перепрыгнуть? ", "x" + " " * 20 + "7\n", "a, b. ",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(400)] + [None, "", " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    register_functions(spark)
+    df.createOrReplaceTempView("mixed_texts")
+    found = spark.sql("SELECT m.doc_id, s.task_number, s.content FROM mixed_texts m, LATERAL segment_text(m.content) s").collect()
+    want = G.segment_submissions(df.na.fill("", ["content"])).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in want} and len(found) == 4 * len(texts)
+    assert sum(r.content != "" for r in found) > 400
