@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from markwell import constants as K
 from markwell import prompts as P
 from markwell.functions import style
 from markwell.operators import answers as A
@@ -34,15 +35,18 @@ def answered(spark, sf):
     return ids.withColumns({"filename": F.concat(F.lit("doc_"), "doc_id"), "type": F.lit("txt")})
 
 
-@query("organizer_report", "P1", f"""
-WITH {DETAILS_SQL},
+# The organizer's report of every document, as the table ``organizer`` (doc_id, recommended, report).
+ORGANIZER_SQL = f"""{DETAILS_SQL.strip()},
 blocks AS (SELECT e.doc_id, e.task_number, e.final_score, d.np, d.n, concat('Задание ', e.task_number, chr(10), 'Выполненные критерии: ', coalesce(d.passed, '—'), chr(10),
    'Не выполненные критерии: ', coalesce(d.failed, '—'), chr(10), 'Балл: ', coalesce(printf('%.1f', e.final_score), '—'), chr(10)) AS b
   FROM v_eval e JOIN details d ON d.doc_id = e.doc_id AND d.task_number = e.task_number WHERE e.task_number <= 3),
-g AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY task_number) AS body, round(avg(final_score), 2) AS overall, sum(np) / sum(n) AS ratio FROM blocks GROUP BY 1)
-SELECT doc_id, ratio >= 0.5 AND coalesce(overall, 0) >= 6 AS recommended, concat('Кандидат: ', doc_id, ' (файл: doc_', doc_id, ')', chr(10), 'Дата: {TIME}', chr(10), chr(10), body, chr(10),
+g AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY task_number) AS body, round(avg(final_score), 2) AS overall, sum(np) / sum(n) AS ratio FROM blocks GROUP BY 1),
+organizer AS (SELECT doc_id, ratio >= 0.5 AND coalesce(overall, 0) >= 6 AS recommended, concat('Кандидат: ', doc_id, ' (файл: doc_', doc_id, ')', chr(10), 'Дата: {TIME}', chr(10), chr(10), body, chr(10),
   'Итоговый балл (среднее за задания 1–3): ', coalesce(printf('%.2f', overall), 'нет данных'), chr(10),
-  CASE WHEN ratio >= 0.5 AND coalesce(overall, 0) >= 6 THEN 'Рекомендация: кандидат рекомендуется.' ELSE 'Рекомендация: кандидат не рекомендуется.' END) AS report FROM g""", EVAL)
+  CASE WHEN ratio >= 0.5 AND coalesce(overall, 0) >= 6 THEN 'Рекомендация: кандидат рекомендуется.' ELSE 'Рекомендация: кандидат не рекомендуется.' END) AS report FROM g)"""
+
+
+@query("organizer_report", "P1", f"WITH {ORGANIZER_SQL} SELECT doc_id, recommended, report FROM organizer", EVAL)
 def organizer_report(spark, sf):
     return R.organizer_report(answered(spark, sf), evaluation(spark, sf), F.lit(TIME))
 
@@ -56,7 +60,34 @@ def recommendation(spark, sf):
     return R.recommendation(evaluation(spark, sf))
 
 
-@query("hr_report", "P3")
+def _shown(label: str, names: str) -> str:
+    """The first three names of a list, and how many follow; NULL without any."""
+    more = f"CASE WHEN len({names}) > 3 THEN concat(' (+', len({names}) - 3, ' других)') ELSE '' END"
+    return f"CASE WHEN len({names}) > 0 THEN concat('  - {label}: ', array_to_string({names}[1:3], ', '), {more}) END"
+
+
+@query("hr_report", "P3", f"""
+WITH names AS (
+  SELECT e.doc_id, e.task_number, list(c.name ORDER BY c.criterion_no) FILTER (coalesce(m.passed, c.inverted)) AS p, list(c.name ORDER BY c.criterion_no) FILTER (NOT coalesce(m.passed, c.inverted)) AS f
+  FROM v_eval e JOIN (SELECT DISTINCT question, criterion_no, name, inverted FROM v_catalogue) c ON c.question = e.task_number
+  LEFT JOIN v_criteria m ON m.doc_id = e.doc_id AND m.task_number = e.task_number AND m.criterion_no = c.criterion_no GROUP BY ALL),
+q AS (SELECT e.*, coalesce(n.p, []) AS p, coalesce(n.f, []) AS f FROM v_eval e LEFT JOIN names n ON n.doc_id = e.doc_id AND n.task_number = e.task_number),
+blocks AS (SELECT doc_id, task_number, final_score, content, concat_ws(chr(10), '{R.RULE}',
+    concat('Вопрос ', task_number, CASE WHEN task_number <= 3 THEN '' ELSE ' (справочно, не учитывается в итоговой оценке)' END),
+    coalesce('Семантическое сходство: выбран ' || CASE WHEN chosen = 'hr' THEN 'HR' ELSE 'AI' END || '-эталон (' || printf('%.4f', chosen_sim) || ')', 'Семантическое сходство: не рассчитано (нет эталона)'),
+    concat('Критерии: выполнено ', len(p), ' из ', len(p) + len(f)), {_shown('Выполненные', 'p')}, {_shown('Не выполненные', 'f')}, 'Как рассчитана оценка:',
+    coalesce('  - Семантическое сходство с эталоном (1..10): ' || printf('%.1f', cosine_score), '  - Семантическое сходство (1..10): не рассчитано'),
+    coalesce('  - Выполнение критериев (1..10): ' || printf('%.1f', round(criteria_score + 1e-9, 1)), '  - Выполнение критериев (1..10): не применялось/нет данных'),
+    coalesce('  - Взвешенный балл до штрафов (70% cosine + 30% criteria): ' || printf('%.2f', blended_score), '  - Взвешенный балл до штрафов: нет данных'),
+    CASE WHEN length_delta < 0 THEN '  - Штраф за длину (короче AI-эталона): ' || printf('%.2f', length_delta) WHEN length_delta > 0 THEN '  - Бонус за длину (длиннее AI-эталона): +' || printf('%.2f', length_delta)
+         ELSE '  - Поправка за длину: 0.00' END,
+    coalesce('  - Итоговая оценка: ' || printf('%.1f', final_score), '  - Итоговая оценка: нет данных'), '', 'Результат системы:',
+    CASE WHEN final_score IS NULL THEN '{K.GRADE_NONE}' {" ".join(f"WHEN final_score >= {low} THEN '{text}'" for low, text in K.GRADE_BANDS)} ELSE '{K.GRADE_LOW}' END, '') AS b FROM q),
+docs AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY task_number) AS body, round(avg(final_score) FILTER (task_number <= 3), 2) AS overall,
+    string_agg(concat('• Вопрос ', task_number, ': у кандидата нет ответа или пусто.'), chr(10) ORDER BY task_number) FILTER (content = '') AS warnings FROM blocks GROUP BY 1)
+SELECT doc_id, concat_ws(chr(10), '=== ОТЧЁТ ДЛЯ HR ===', 'Дата анализа: {TIME}', concat('Кандидат: ', doc_id, ' (файл: doc_', doc_id, ')'), 'Тип файла: txt', '',
+  '=== ПРЕДУПРЕЖДЕНИЯ ===' || chr(10) || warnings || chr(10), body, '{R.RULE}',
+  coalesce('Итоговая оценка работы: ' || printf('%.2f', overall) || ' (среднее по вопросам 1–3)', 'Итоговая оценка работы: нет данных (не удалось посчитать среднее по вопросам 1–3)')) AS report FROM docs""", EVAL)
 def hr_report(spark, sf):
     return R.hr_report(answered(spark, sf), evaluation(spark, sf), F.lit(TIME))
 
@@ -125,7 +156,14 @@ def build_prompts(spark, sf):
     ).join(tails, ["doc_id", "task_number"], "left")
 
 
-@query("impression_prompts", "P7b")
+@query("impression_prompts", "P7b", f"""
+WITH rows AS (SELECT doc_id, task_number, concat('Задание ', task_number, ':', chr(10), CASE WHEN content <> '' THEN concat('Ответ: ', left(content, 300), chr(10)) ELSE '' END,
+    coalesce('Оценка: ' || CAST(final_score AS VARCHAR) || chr(10), ''), 'Комментарий: ', left(CASE WHEN final_score IS NULL THEN {q(K.GRADE_NONE)}
+      {" ".join(f"WHEN final_score >= {low} THEN {q(text)}" for low, text in K.GRADE_BANDS)} ELSE {q(K.GRADE_LOW)} END, 200), chr(10), chr(10)) AS b,
+    coalesce('- task_' || task_number || ': ' || printf('%.1f%%', CAST(round(CAST(CAST(chosen_sim * 100 AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)) || chr(10), '') AS line FROM v_eval),
+docs AS (SELECT doc_id, string_agg(b, '' ORDER BY task_number) AS b, string_agg(line, '' ORDER BY task_number) AS sims FROM rows GROUP BY 1)
+SELECT doc_id, concat({q(P.IMPRESSION_HEAD)}, b, CASE WHEN sims <> '' THEN concat('Схожесть с эталоном:', chr(10), sims) ELSE '' END, 'Вероятность использования LLM: 25.0%', chr(10),
+  {q(P.IMPRESSION_TAIL)}, CASE WHEN doc_id % 5 = 0 THEN {q(P.IMPRESSION_WINNER)} ELSE '' END, {q(P.IMPRESSION_FORMAT)}) AS prompt FROM docs""", EVAL)
 def impression_prompts(spark, sf):
     graded = evaluation(spark, sf).select(
         "doc_id", "task_number", "content", F.col("final_score").alias("score"), "comment", F.col("chosen_sim").alias("similarity")
@@ -133,7 +171,10 @@ def impression_prompts(spark, sf):
     return R.impression_prompts(graded, F.col("doc_id") % 5 == 0, F.lit(0.25))
 
 
-@query("summary_prompts", "P7c")
+@query("summary_prompts", "P7c", f"""
+WITH {ORGANIZER_SQL},
+t AS (SELECT doc_id, regexp_replace(regexp_replace(trim(report, <CHARS>), '[ \\t]+', ' ', 'g'), '\\n{{4,}}', concat(chr(10), chr(10), chr(10)), 'g') AS t FROM organizer)
+SELECT doc_id, {_sql_fill(P.HR_SUMMARY, report="t")} AS hr, {_sql_fill(P.CANDIDATE_SUMMARY, report="t")} AS candidate FROM t""", EVAL)
 def summary_prompts(spark, sf):
     report = R.organizer_report(answered(spark, sf), evaluation(spark, sf), F.lit(TIME))
     return report.select(

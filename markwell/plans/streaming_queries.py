@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from markwell.plans import fixtures as X
 from markwell.plans.catalog import query, with_views
-from markwell.plans.report_queries import DETAILS_SQL, TIME
+from markwell.plans.report_queries import ORGANIZER_SQL, TIME
 from markwell.plans.vector_queries import PAIRS, SCORES, TOP_SQL, rounded
 from markwell.plans.views import ORACLE_VIEWS, key_set_of, v_keys, v_marked, v_progress, v_vectors
 from markwell.session import cut_lineage
@@ -109,14 +109,7 @@ def assessed(body: str) -> str:
 
 
 @query("stream_pipeline", "T5", assessed(f"""
-WITH {DETAILS_SQL.strip()},
-blocks AS (SELECT e.doc_id, e.task_number, e.final_score, d.np, d.n, concat('Задание ', e.task_number, chr(10), 'Выполненные критерии: ', coalesce(d.passed, '—'), chr(10),
-   'Не выполненные критерии: ', coalesce(d.failed, '—'), chr(10), 'Балл: ', coalesce(printf('%.1f', e.final_score), '—'), chr(10)) AS b
-  FROM v_eval e JOIN details d ON d.doc_id = e.doc_id AND d.task_number = e.task_number WHERE e.task_number <= 3),
-g AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY task_number) AS body, round(avg(final_score), 2) AS overall, sum(np) / sum(n) AS ratio FROM blocks GROUP BY 1),
-reports AS (SELECT doc_id, ratio >= 0.5 AND coalesce(overall, 0) >= 6 AS recommended, md5(concat('Кандидат: ', doc_id, ' (файл: doc_', doc_id, ')', chr(10), 'Дата: {TIME}', chr(10), chr(10), body, chr(10),
-  'Итоговый балл (среднее за задания 1–3): ', coalesce(printf('%.2f', overall), 'нет данных'), chr(10),
-  CASE WHEN ratio >= 0.5 AND coalesce(overall, 0) >= 6 THEN 'Рекомендация: кандидат рекомендуется.' ELSE 'Рекомендация: кандидат не рекомендуется.' END)) AS report_md5 FROM g),
+WITH {ORGANIZER_SQL},
 whole AS (SELECT doc_id, list_transform(range(64), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS DOUBLE)) AS vec FROM (
   SELECT doc_id, list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(content, <CHARS>)), '[^<WD><SP>]', ' ', 'g'), '[<SP>]+', ' ', 'g')), ' '), lambda t: t <> ''),
     lambda t: CAST(concat('0x', md5(t)[1:8]) AS BIGINT) % 64) AS buckets FROM v_marked)),
@@ -128,8 +121,8 @@ counts AS (SELECT doc_id, CAST(count(*) FILTER (trim(content, <CHARS>) <> '') AS
 SELECT c.doc_id, c.tasks_count, CASE c.tasks_count WHEN 2 THEN 'validated' WHEN 4 THEN 'cleaned' ELSE 'partial' END AS cleaning_status,
   round(avg(CASE WHEN e.task_number <= 3 THEN e.final_score END), 2) AS average_score_tasks_1_3, max(e.final_score) FILTER (e.task_number = 1) AS task_1_score,
   max(e.final_score) FILTER (e.task_number = 3) AS task_3_score, max(CASE WHEN e.chosen = 'hr' THEN e.hr_sim WHEN e.chosen = 'ai' THEN e.ai_sim END) FILTER (e.task_number = 2) AS task_2_similarity,
-  any_value(r.recommended) AS recommended, any_value(r.report_md5) AS report_md5, any_value(round(s.best, 6)) AS best_similarity
-FROM counts c JOIN v_eval e ON e.doc_id = c.doc_id JOIN reports r ON r.doc_id = c.doc_id JOIN (SELECT doc_id, max(overall) AS best FROM pairs GROUP BY 1) s ON s.doc_id = c.doc_id
+  any_value(r.recommended) AS recommended, any_value(md5(r.report)) AS report_md5, any_value(round(s.best, 6)) AS best_similarity
+FROM counts c JOIN v_eval e ON e.doc_id = c.doc_id JOIN organizer r ON r.doc_id = c.doc_id JOIN (SELECT doc_id, max(overall) AS best FROM pairs GROUP BY 1) s ON s.doc_id = c.doc_id
 GROUP BY c.doc_id, c.tasks_count"""))
 def stream_pipeline(spark, sf):
     """Files of many submissions arrive in batches. A third of the documents comes first with the text of another document and
