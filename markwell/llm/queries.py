@@ -32,6 +32,23 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+# Exact links by counting shared runs, and what can be reached over them.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, coalesce(CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' '))) END, []) AS s FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = s.doc_id
+"""
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -189,4 +206,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_format": OP5_SQL, "op11_lexical_search": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op11_lexical_search": OP11_SQL}
