@@ -14,6 +14,7 @@ from markwell.operators import similarity
 from markwell.plans.catalog import query
 from markwell.plans.fixtures import _q as q
 from markwell.plans.scoring_queries import EVAL, evaluation
+from markwell.plans.style_queries import ANALYZED_SQL
 from markwell.plans.views import table, v_answers, v_marked, v_styled, v_submissions, v_vectors
 
 TIME = "2024-06-01 12:00:00"
@@ -182,13 +183,24 @@ def summary_prompts(spark, sf):
     )
 
 
-@query("submission_report", "P8")
+@query("submission_report", "P8", f"""
+SELECT s.doc_id, s.filename, s.processing_status, p.task_1, p.task_2, p.task_3, p.task_4, t.other_id, t.overall, i.average_llm_likelihood, i.content_llm_likelihood, i.answers_analyzed,
+  coalesce(trim(p.task_1, <CHARS>) = '', true) OR coalesce(trim(p.task_2, <CHARS>) = '', true) OR coalesce(trim(p.task_3, <CHARS>) = '', true) OR coalesce(trim(p.task_4, <CHARS>) = '', true) AS has_parsing_problems,
+  s.doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') AS has_any_images
+FROM v_submissions s
+LEFT JOIN (SELECT doc_id, {", ".join(f"max(content) FILTER (task_number = {k}) AS task_{k}" for k in (1, 2, 3, 4))} FROM v_answers GROUP BY 1) p ON p.doc_id = s.doc_id
+LEFT JOIN (SELECT doc_id, other_id, round(overall_similarity, 6) AS overall FROM v_pairs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overall_similarity DESC, other_id) = 1) t ON t.doc_id = s.doc_id
+LEFT JOIN ({ANALYZED_SQL}) i ON i.doc_id = s.doc_id""", ("v_submissions", "v_answers", "v_marked", "v_vectors", "v_pairs"))
 def submission_report(spark, sf):
     answers = v_answers(spark, sf)
     top = similarity.top_similar(v_vectors(spark, sf), k=1).select("doc_id", "other_id", F.round("overall_similarity", 6).alias("overall"))
     checked = integrity.analyze_submission(answers, v_marked(spark, sf))
+    checked = checked.withColumns({c: F.round(c, 4) for c in ("average_llm_likelihood", "content_llm_likelihood")})
     images = table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("doc_id"))
-    return R.submission_report(documents(spark, sf), A.pack(answers), top, checked, images)
+    record = R.submission_report(documents(spark, sf), A.pack(answers), top, checked, images)
+    return record.select(
+        "doc_id", "filename", "processing_status", "tasks.*", "similarity_with_existing.*", "integrity.*", "has_parsing_problems", "has_any_images"
+    )
 
 
 @query("metrics_summary", "P9", """

@@ -60,7 +60,7 @@ LIKELIHOOD_SQL = """
 least(1.0, CASE WHEN length(trim(t, <CHARS>)) >= 100 AND (contains(t, '. ') OR contains(t, chr(10))) THEN greatest(0.05::DOUBLE, h) ELSE h END)"""
 
 
-@query("analyze_submission", "I7", f"""
+ANALYZED_SQL = f"""
 WITH texts AS (SELECT doc_id, 1 AS is_answer, content AS t FROM v_answers UNION ALL SELECT doc_id, 0, content FROM v_marked),
 counted AS (SELECT *, len(regexp_extract_all(t, '\\d+[.)][<SP>]+[А-Яа-яA-Z]')) AS num,
    least(10, len(regexp_extract_all(t, '[•*]')) + len(regexp_extract_all(t, '(?m)^[<SP>]*[-–][<SP>]+'))) AS bul,
@@ -70,7 +70,10 @@ scored AS (SELECT doc_id, is_answer, t, (CASE WHEN num >= 4 THEN 0.2 ELSE num *
    + CASE WHEN hdr >= 4 THEN 0.2 WHEN hdr >= 2 THEN 0.05 + (hdr - 2) * 0.05 WHEN hdr = 1 THEN 0.05 ELSE 0 END)::DOUBLE AS h FROM counted),
 final AS (SELECT doc_id, is_answer, {LIKELIHOOD_SQL} AS p FROM scored WHERE trim(t, <CHARS>) <> '')
 SELECT doc_id, round(coalesce(avg(p) FILTER (is_answer = 1), 0), 4) AS average_llm_likelihood, round(max(p) FILTER (is_answer = 0), 4) AS content_llm_likelihood,
-       count(*) FILTER (is_answer = 1) AS answers_analyzed FROM final GROUP BY doc_id""", ("v_answers", "v_marked"))
+       count(*) FILTER (is_answer = 1) AS answers_analyzed FROM final GROUP BY doc_id"""
+
+
+@query("analyze_submission", "I7", ANALYZED_SQL, ("v_answers", "v_marked"))
 def analyze_submission(spark, sf):
     out = integrity.analyze_submission(v_answers(spark, sf), v_marked(spark, sf))
     return out.withColumns({c: F.round(c, 4) for c in ("average_llm_likelihood", "content_llm_likelihood")})
