@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from markwell import constants as K
 from markwell.functions.style import hits
-from markwell.functions.text import Col, as_col, normalize_strip_punct, strip, word_count
+from markwell.functions.text import Col, as_col, strip, word_count
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -156,7 +156,3 @@ def logic_score(text: Col, similarity: Col, likelihood: Col) -> Column:
 def originality_score(max_similarity: Col, likelihood: Col) -> Column:
     base = (1.0 - F.coalesce(as_col(max_similarity), F.lit(0.0))) * 100
     return clip(base - F.coalesce(as_col(likelihood) * 20, F.lit(0.0)), 0.0, 100.0)
-
-
-def normalized(text: Col) -> Column:
-    return normalize_strip_punct(text)

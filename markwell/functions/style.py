@@ -11,7 +11,7 @@ from markwell import constants as K
 from markwell.functions.text import Col, as_col, is_blank, let, normalize_strip_punct, strip, word_count
 
 SP, WD = K.SPACE_CLASS, K.WORD_CLASS
-VOWELS = r"aeiouyàâäáéèêëíîïóôöúùûüœæ\x{0430}\x{0435}\x{0451}\x{0438}\x{043E}\x{0443}\x{044B}\x{044D}\x{044E}\x{044F}"
+VOWELS = "aeiouyàâäáéèêëíîïóôöúùûüœæаеёиоуыэюя"
 # Marks of line starts follow the newline only, hence UNIX_LINES.
 LINES = "(?md)"
 

@@ -193,7 +193,7 @@ FROM (
  FROM (
   SELECT doc_id, content,
    greatest(1, len(regexp_extract_all(content, '[<WD>]+'))) AS nw, greatest(1, len(regexp_extract_all(content, '[.!?]+'))) AS ns,
-   len(regexp_extract_all(lower(content), '[aeiouyàâäáéèêëíîïóôöúùûüœæ\\x{0430}\\x{0435}\\x{0451}\\x{0438}\\x{043E}\\x{0443}\\x{044B}\\x{044D}\\x{044E}\\x{044F}]+')) AS ny,
+   len(regexp_extract_all(lower(content), '[aeiouyàâäáéèêëíîïóôöúùûüœæаеёиоуыэюя]+')) AS ny,
    len(regexp_extract_all(content, '[^<SP>]+')) AS total_words,
    regexp_matches(content, '[<EMOJI>]') AS has_emoji, contains(content, '—') OR contains(content, '–') AS has_long_dash,
    len(regexp_extract_all(content, '[^<WD><SP>.,;:!?\\-()\\[\\]{}\\x22\\x27]')) AS odd,
