@@ -1,9 +1,11 @@
 """Near-duplicate texts by an LSH forest over MinHash signatures.
 
 A signature is 80 minimum hashes, cut into ten orders of eight. In each order the distinct shingle sets are sorted by their
-eight values; neighbours with the longest common prefix are compared, down to ``least_depth`` shared values. In a sparse region
-a prefix of that depth is all that neighbours share; in a dense one the window of neighbours lies deeper, so the depth adapts.
-Regions wider than the window are also compared with their most central members. Every link is confirmed on full sets.
+eight values, and each one is linked with the neighbour of longest common prefix that agrees with it best, down to
+``least_depth`` shared values. In a sparse region a prefix of that depth is all that neighbours share; in a dense one the
+neighbours lie deeper, so the depth adapts. Regions (sets with one prefix of ``least_depth`` values) that these links leave in
+several components are settled exactly, whatever their width: their members meet by rare shingles. Every link is confirmed on
+full sets. Only signatures travel through the orders; sets are joined to distinct candidate pairs.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwell.llm.common import mix, ngram_hashes, stash, steps, word_hashes
+from markwell.llm.common import mix, ngram_hashes, release_memory, stash, steps, word_hashes
 from markwell.llm.components import components
 
 SHINGLE = 5
@@ -25,15 +27,16 @@ ORDER_DEPTH = 8
 # Two sets at 0.85 share three leading values of an order with chance 0.85^3, so ten orders miss one pair in 13,000. For other
 # thresholds the depth is the largest that misses no more.
 MISSED = 1 / 13_000
-# Later neighbours that each row of an order is compared with.
-WINDOW = 128
-CENTRES = 3
+# Neighbours among which each row of an order picks the best; what they leave open is settled exactly.
+WINDOW = 32
+# Counters of the sketch that orders shingles from rare to common; more of them only make the order sharper.
+SKETCH = 1 << 20
 
 _VALUES = ORDERS * ORDER_DEPTH
 
 
 def least_agreement(percent: int) -> float:
-    """Pairs whose signatures agree less are not compared in full: four standard deviations below the threshold."""
+    """Neighbours whose signatures agree less are no candidates: four standard deviations below the threshold."""
     share = percent / 100
     return share - 4 * (share * (1 - share) / _VALUES) ** 0.5
 
@@ -105,25 +108,27 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(set_id, signature, members)`` for the wanted ``(doc_id, set_id)``, from the texts again."""
+    """``(set_id, members)`` for the wanted ``(doc_id, set_id)``, from the texts again."""
 
     def run(batches):
-        multipliers = _multipliers()
+        seen: set[int] = set()  # repeated rows meet in one task and count once
         for whole in batches:
             for batch in steps(whole, "text"):
                 sets = shingle_sets(batch.column("text"), shingle)
-                asked = batch.column("set_id").to_pylist()
-                found = [s for s, a in zip(sets, asked, strict=True) if len(s) and set_id(s) == a]
+                found = []
+                for values, asked in zip(sets, batch.column("set_id").to_pylist(), strict=True):
+                    if len(values) and asked not in seen and set_id(values) == asked:
+                        seen.add(asked)
+                        found.append(values)
                 yield pa.record_batch(
                     [
                         pa.array([set_id(s) for s in found], pa.int64()),
-                        pa.array([signature(s, multipliers).astype(">u4").tobytes() for s in found], pa.binary()),
                         pa.array([s.tobytes() for s in found], pa.binary()),
                     ],
-                    names=["set_id", "signature", "members"],
+                    names=["set_id", "members"],
                 )
 
-    return docs.join(wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, signature binary, members binary")
+    return docs.join(wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, members binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -133,89 +138,126 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-class _Forest:
-    """Union-find over the sets that one task has seen."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
+def _best_neighbours(rows: DataFrame, percent: int, window: int) -> DataFrame:
+    """Walk the sorted orders: for each row the one of the ``window`` rows before it with its prefix that agrees with it best."""
+    depth, least = least_depth(percent), least_agreement(percent)
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
+    def run(batches):
+        head = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, _VALUES), np.uint32))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                raw = b"".join(batch.column("signature").to_pylist())
+                old = len(head[1])
+                order = np.concatenate((head[0], batch.column("place").to_numpy().astype(np.int64)))
+                ids = np.concatenate((head[1], batch.column("set_id").to_numpy()))
+                sigs = np.concatenate((head[2], np.frombuffer(raw, dtype=">u4").reshape(batch.num_rows, _VALUES).astype(np.uint32)))
+                lead = np.take_along_axis(sigs, order[:, None] * ORDER_DEPTH + np.arange(depth), axis=1)
+                best = np.full(len(ids), np.nextafter(least, 0))
+                mate = np.full(len(ids), -1)
+                for shift in range(1, min(window, len(ids) - 1) + 1):
+                    later = np.arange(max(old, shift), len(ids))
+                    later = later[(order[later] == order[later - shift]) & (lead[later] == lead[later - shift]).all(axis=1)]
+                    if not len(later):
+                        break
+                    agree = (sigs[later] == sigs[later - shift]).mean(axis=1)
+                    better = later[agree > best[later]]
+                    best[better] = agree[agree > best[later]]
+                    mate[better] = better - shift
+                found = np.flatnonzero(mate >= 0)
+                a, b = ids[found], ids[mate[found]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                head = (order[-window:], ids[-window:], sigs[-window:])
+        release_memory()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def index_length(size: int, percent: int) -> int:
+    """Leading shingles of a set of which any linked set of its size or larger shares one: it shares 2p / (100 + p) of the size."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
+def probe_length(size: int, percent: int) -> int:
+    """Leading shingles of a set of which any linked set of its size or smaller shares one: it shares p / 100 of the size."""
+    return size - -(-percent * size // 100) + 1
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle, counted by its low bits: an array of fixed size, whatever the number of sets."""
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
+    def run(batches):
+        counts = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            for members in batch.column("members").to_pylist():
+                at = (np.frombuffer(members, dtype=np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)
+                np.add.at(counts, at, 1)
+        some = np.flatnonzero(counts)
+        for lo in range(0, len(some), 1 << 16):
+            part = some[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(counts[part])], names=["at", "n"])
 
+    found = sets.select("members").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
-def _compare_neighbours(rows: DataFrame, percent: int, window: int) -> DataFrame:
-    """Walk sorted orders: confirmed links ``(a, b)``, and of each wide region its central members ``(order, prefix, centre)``."""
-    depth, least = least_depth(percent), least_agreement(percent)
 
-    def links_of(head, new, forest, out):
-        """Compare rows of ``new`` with up to ``window`` rows before them; ``head`` are the last rows of the batches before."""
-        order = np.concatenate((head[0], new[0]))
-        ids = np.concatenate((head[1], new[1]))
-        sigs = np.concatenate((head[2], new[2]))
-        sets = head[3] + new[3]
-        n, old = len(ids), len(head[1])
-        lead = np.ascontiguousarray(np.take_along_axis(sigs, order[:, None] * ORDER_DEPTH + np.arange(depth), axis=1))
-        for shift in range(1, min(window, n - 1) + 1):
-            later = np.arange(max(old, shift), n)
-            earlier = later - shift
-            near = (order[later] == order[earlier]) & (lead[later] == lead[earlier]).all(axis=1)
-            if not near.any():
-                break
-            later, earlier = later[near], earlier[near]
-            agree = (sigs[later] == sigs[earlier]).mean(axis=1) >= least
-            for i, j in zip(later[agree].tolist(), earlier[agree].tolist(), strict=True):
-                a, b = int(ids[i]), int(ids[j])
-                if forest.find(a) != forest.find(b) and linked(sets[i], sets[j], percent):
-                    forest.join(a, b)
-                    out.append((a, b, None, None, None))
-        return order, ids, sigs, sets, lead, old
-
-    def centres_of(order, ids, sigs, lead, out):
-        """The rows of each stretch with one prefix that agree best with its most frequent values."""
-        change = np.flatnonzero((order[1:] != order[:-1]) | (lead[1:] != lead[:-1]).any(axis=1)) + 1
-        for lo, hi in zip(np.concatenate(([0], change)), np.concatenate((change, [len(ids)])), strict=True):
-            if hi - lo < 8:
-                continue
-            part = np.sort(sigs[lo:hi], axis=0)
-            middle = np.empty(_VALUES, dtype=sigs.dtype)
-            for k in range(_VALUES):
-                values, counts = np.unique(part[:, k], return_counts=True)
-                middle[k] = values[np.argmax(counts)]
-            score = (sigs[lo:hi] == middle).sum(axis=1)
-            for k in np.argsort(-score, kind="stable")[:CENTRES]:
-                prefix = lead[lo].astype(">u4").tobytes()
-                out.append((int(ids[lo + k]), None, int(order[lo]), prefix, int(score[k])))
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``(shingle, set_id, component, size, position, indexed)``: the leading shingles of each set, from rare to common."""
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(batches):
-        forest = _Forest()
-        head = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, _VALUES), np.uint32), [])
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out: list = []
-                raw = b"".join(batch.column("signature").to_pylist())
-                new = (
-                    batch.column("place").to_numpy().astype(np.int64),
-                    batch.column("set_id").to_numpy(),
-                    np.frombuffer(raw, dtype=">u4").reshape(batch.num_rows, _VALUES).astype(np.uint32),
-                    [np.frombuffer(m, dtype=np.uint64) for m in batch.column("members").to_pylist()],
-                )
-                order, ids, sigs, sets, lead, old = links_of(head, new, forest, out)
-                centres_of(order[old:], ids[old:], sigs[old:], lead[old:], out)
-                head = (order[-window:], ids[-window:], sigs[-window:], sets[-window:])
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
-                    columns = [pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.record_batch(columns, names=["a", "b", "place", "prefix", "score"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                leading, sizes = [], []
+                for members in batch.column("members").to_pylist():
+                    values = np.frombuffer(members, dtype=np.uint64)
+                    rare = np.lexsort((values, rarity.value[values & np.uint64(SKETCH - 1)]))
+                    leading.append(values[rare[: probe_length(len(values), percent)]])
+                    sizes.append(len(values))
+                if not leading:
+                    continue
+                each = [len(x) for x in leading]
+                columns = [
+                    pa.array(np.concatenate(leading).view(np.int64)),
+                    pa.array(np.repeat(batch.column("set_id").to_numpy(), each)),
+                    pa.array(np.repeat(batch.column("component").to_numpy(), each)),
+                    pa.array(np.repeat(np.array(sizes, np.int64), each)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int64) for n in each])),
+                    pa.array(np.concatenate([np.arange(n) < index_length(size, percent) for n, size in zip(each, sizes, strict=True)])),
+                ]
+                yield pa.record_batch(columns, names=["shingle", "set_id", "component", "size", "position", "indexed"])
+        release_memory()
+
+    return sets.select("set_id", "component", "members").mapInArrow(
+        run, "shingle long, set_id long, component long, size long, position long, indexed boolean"
+    )
 
-    return rows.mapInArrow(run, "a long, b long, place int, prefix binary, score int")
+
+def _pairs_across(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``(a, b)`` of sets in different components that can be linked.
+
+    In one order of all shingles, a set shares one of its first ``index_length`` shingles with one of the first
+    ``probe_length`` of any larger set it is linked with; the first that they share leaves enough behind it in both. A shingle
+    whose sets all lie in one component is dropped before the join, so a group of copies that are linked already costs nothing.
+    """
+    rows = stash(_rare_shingles(sets, percent))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
+    open_rows = stash(rows.join(mixed, "shingle", "left_semi"))
+    a = open_rows.filter("indexed").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("set_id", "component", "size", "position")])
+    b = open_rows.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("set_id", "component", "size", "position")])
+    met = a.join(b, "shingle").filter(
+        (F.col("a_component") != F.col("b_component"))
+        & ((F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_set_id") < F.col("b_set_id"))))
+        & (100 * F.col("a_size") >= percent * F.col("b_size"))
+        & (
+            (100 + percent) * F.least(F.col("a_size") - F.col("a_position"), F.col("b_size") - F.col("b_position"))
+            >= percent * (F.col("a_size") + F.col("b_size"))
+        )
+    )
+    return met.select(F.least("a_set_id", "b_set_id").alias("a"), F.greatest("a_set_id", "b_set_id").alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +286,8 @@ def near_duplicates(
     Texts are split into words at blanks after A-Z are lower-cased. A text with fewer than ``shingle`` words is one shingle; a
     text without words (null, empty, blank) has none and is linked with nothing. Equal sets are one node, whatever their number;
     rows that share a key are linked; a row with a null key is linked with nothing and kept. An empty table gives no rows;
-    further columns are not read. A set is always shipped whole, but only if another set shares ``least_depth`` leading values.
+    further columns are not read. A set is always judged whole, and read only if another set shares ``least_depth`` leading
+    values of an order with it; a pair that shares them in no order is missed (``MISSED`` at the threshold, fewer above it).
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = stash(_describe(plain, shingle))
@@ -258,15 +301,19 @@ def near_duplicates(
     regions = stash(placed.join(shared, ["place", "prefix"]))
     wanted = stash(regions.select("doc_id", "set_id").distinct())
     sets = stash(_sets_of(plain, wanted, shingle))
-    rows = regions.select("set_id", "place").join(sets, "set_id")
+    rows = regions.select("set_id", "place").join(distinct.select("set_id", "signature"), "set_id")
     order = [F.col("place"), F.substring("signature", F.col("place") * width + 1, F.lit(width)), F.col("set_id")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stash(_compare_neighbours(rows.select("place", "set_id", "signature", "members"), percent, window))
-    best = Window.partitionBy("place", "prefix").orderBy(F.desc("score"), "a")
-    centres = found.filter("place is not null").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= CENTRES)
-    wide = regions.filter(F.col("n") > window).join(centres.select("place", "prefix", F.col("a").alias("b")), ["place", "prefix"])
-    to_centre = wide.select(F.col("set_id").alias("a"), "b").filter("a != b").distinct()
-    links = found.filter("b is not null").select("a", "b").union(_confirm(to_centre, sets, percent))
+    near = _best_neighbours(rows.select("place", "set_id", "signature"), percent, window)
+    links = stash(_confirm(near, sets, percent))
+    labels = components(links)
+    placed = stash(regions.select("place", "prefix", "set_id").join(labels, regions["set_id"] == labels["node"], "left").select(
+        "place", "prefix", "set_id", F.coalesce("component", "set_id").alias("component")
+    ))
+    mixed = placed.groupBy("place", "prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    unsettled = placed.join(mixed.select("place", "prefix"), ["place", "prefix"], "left_semi").select("set_id", "component").distinct()
+    across = _confirm(_pairs_across(stash(sets.join(unsettled, "set_id")), percent), sets, percent)
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across)
     shared_key = named.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).filter("a != z")
     links = links.union(named.join(shared_key, "doc_id").filter("set_id != a").select("a", F.col("set_id").alias("b")))
     return _with_components(described, distinct, components(links))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -291,6 +292,52 @@ def test_the_mix_leaves_shuffled(spark):
     assert sum(a == b for a, b in pairs) < 0.02 * len(pairs)
 
 
+@pytest.mark.parametrize("window", [2, minhash.WINDOW])
+def test_links_inside_a_family_on_one_template(spark, window):
+    """Texts on one template are nearly linked with all others; pairs inside the family must be found all the same."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(180)
+    made = []
+    for i in range(300):
+        own = fresh(17)
+        made.append((i, " ".join(template + own)))
+        if i < 60:  # a partner, which shares all but a few own words
+            made.append((1000 + i, " ".join(template + own[:12] + fresh(3 + i % 6))))
+    near = fresh(120)  # near copies that are all linked, some over one middle text only
+    made += [(2000 + i, " ".join(near + fresh(1 + i % 8))) for i in range(150)]
+    rng.shuffle(made)
+    sets = {i: shingles(t) for i, t in made}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    pairs = 0
+    for x, y in itertools.combinations(sorted(sets), 2):
+        shared = len(sets[x] & sets[y])
+        if 100 * shared >= 85 * (len(sets[x]) + len(sets[y]) - shared):
+            pairs += 1
+            x, y = find(x), find(y)
+            up[max(x, y)] = min(x, y)
+    assert pairs > 5000 and len({find(i) for i in sets}) > 200
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame, window=window).collect()}
+    assert found == {i: find(i) for i in sets}
+
+
+def test_shingles_that_linked_sets_share():
+    """Of two linked sets the smaller one's indexed shingles meet the larger one's leading ones, whatever the sizes."""
+    for percent in (80, 85, 90):
+        for a in range(1, 120):
+            for b in range(a, 100 * a // percent + 1):
+                shared = -(-percent * (a + b) // (100 + percent))  # the fewest that link them
+                if shared <= a:
+                    assert a - shared + 1 <= minhash.index_length(a, percent) and b - shared + 1 <= minhash.probe_length(b, percent)
+
+
 def test_near_copies_of_the_pipeline(spark):
     """Similarity 0.80 to 0.85 counts in the pipeline, not in op1."""
     rng = random.Random(21)
