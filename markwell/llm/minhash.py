@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ MISSED = 1 / 13_000
 WINDOW = 32
 # Counters of the sketch that orders shingles from rare to common; more of them only make the order sharper.
 SKETCH = 1 << 20
+# Bits (a power of two) of the filter that spares texts without a near neighbour a second scan for shingles.
+ID_BITS = 26
 
 _VALUES = ORDERS * ORDER_DEPTH
 
@@ -107,28 +110,54 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, signature binary")
 
 
+def _bits_of(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def _id_bits(wanted: DataFrame) -> np.ndarray:
+    """A bit array of fixed size with a bit for each wanted ``doc_id``; it can only let too many pass."""
+
+    def run(batches):
+        bits = np.zeros(1 << ID_BITS, dtype=bool)
+        for batch in batches:
+            bits[_bits_of(batch.column("doc_id").to_numpy())] = True
+        packed = np.packbits(bits)
+        some = np.flatnonzero(packed)
+        for lo in range(0, len(some), 1 << 16):
+            part = some[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(packed[part], pa.int32())], names=["at", "bits"])
+
+    found = wanted.select("doc_id").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed = np.zeros((1 << ID_BITS) // 8, dtype=np.uint8)
+    packed[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return packed
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(set_id, members)`` for the wanted ``(doc_id, set_id)``, from the texts again."""
+    """``(set_id, members)`` for the wanted ``(doc_id, set_id)``, from the texts again; texts are not shuffled."""
+    packed = docs.sparkSession.sparkContext.broadcast(_id_bits(wanted))
 
     def run(batches):
-        seen: set[int] = set()  # repeated rows meet in one task and count once
         for whole in batches:
-            for batch in steps(whole, "text"):
+            asked = whole.filter(pc.is_valid(whole.column("doc_id")))
+            at = _bits_of(asked.column("doc_id").to_numpy())
+            asked = asked.filter(pa.array((packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for batch in steps(asked, "text"):
                 sets = shingle_sets(batch.column("text"), shingle)
-                found = []
-                for values, asked in zip(sets, batch.column("set_id").to_pylist(), strict=True):
-                    if len(values) and asked not in seen and set_id(values) == asked:
-                        seen.add(asked)
-                        found.append(values)
+                some = [row for row, values in enumerate(sets) if len(values)]
                 yield pa.record_batch(
                     [
-                        pa.array([set_id(s) for s in found], pa.int64()),
-                        pa.array([s.tobytes() for s in found], pa.binary()),
+                        batch.column("doc_id").take(pa.array(some, pa.int64())),
+                        pa.array([set_id(sets[row]) for row in some], pa.int64()),
+                        pa.array([sets[row].tobytes() for row in some], pa.binary()),
                     ],
-                    names=["set_id", "members"],
+                    names=["doc_id", "set_id", "members"],
                 )
 
-    return docs.join(wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, members binary")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, members binary")
+    # repeated rows count once
+    return found.join(wanted, ["doc_id", "set_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "members")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -195,12 +224,13 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         some = np.flatnonzero(counts)
         for lo in range(0, len(some), 1 << 16):
             part = some[lo : lo + (1 << 16)]
-            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(counts[part])], names=["at", "n"])
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part])], names=["at", "n"])
 
-    found = sets.select("members").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SKETCH, dtype=np.int64)
+    found = sets.select("members").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = found.select("at", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, dtype=np.int32)
     counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+    return counts
 
 
 def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
