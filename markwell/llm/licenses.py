@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markwell.llm.common import lower_ascii
 from markwell.llm.license_rules import STEMS, rules
 
 # Phrases that are always counted, and their labels.
@@ -19,8 +20,8 @@ _DETECTION = "array<struct<start:int,stop:int,priority:int,rule:int,label:string
 
 
 def normal_words(text: Column) -> Column:
-    """The words in lower case, each between single spaces; a single space if there are none."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """The words, A-Z lower-cased, each between single spaces; a single space if there are none."""
+    flat = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(flat == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), flat, F.lit(" ")))
 
 

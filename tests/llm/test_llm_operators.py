@@ -405,11 +405,11 @@ def test_licenses(spark, empty):
         "Redistribution and use in source and binary forms, with or without modification, are permitted", "Copyright (c) 2020", "cc0",
         "Creative Commons Attribution-ShareAlike 4.0 International", "permission is hereby granted, free of charge, to any person obtaining a copy",
     ]
-    texts = [None, "", "?!", "no rules here", "all rights reserved " * 2000, "É cc Éby cc  by"]
+    texts = [None, "", "?!", "no rules here", "all rights reserved " * 2000, "É cc Éby cc  by", "licensed under the \u212aelvin license; wtfpl or \u212a; do what the fuc\u212a you want to public license"]
     texts += [" ".join(rng.choice([*lines, "the mit", "word", "\n"]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
     frame = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in enumerate(texts)], DOCS)
     for r in scan_licenses(frame).collect():
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r["doc_id"]] or "").lower())
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(texts[r["doc_id"]] or ""))
         places = [(i, label) for p, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
                   for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert r["n_words"] == len(w) and sorted(map(tuple, r["places"])) == sorted(places)
