@@ -17,12 +17,13 @@ TERMINAL = ("completed", "error")
 
 
 def table_stream(spark: SparkSession, folder: str, file_name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the Parquet files of ``folder`` that match ``file_name``."""
-    schema = spark.read.option("pathGlobFilter", file_name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    """Stream the Parquet files of ``folder`` that match ``file_name``, or those below it where a folder has that name."""
+    # a plain name is written as a pattern too, as the source takes a path that is none for a folder
+    path = f"{folder}/{file_name}" if any(c in file_name for c in "*?[{") else f"{folder}/{{{file_name}}}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def stage_effects(progress: DataFrame, stages: tuple[str, ...] = K.STAGES) -> DataFrame:

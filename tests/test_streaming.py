@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from markwell.catalogues import INTERVIEW
 from markwell.operators import similarity
+from markwell.plans.streaming_queries import stream_ingest_dedup
 from markwell.streaming import pipeline as L
 from markwell.streaming import progress as S
 from markwell.streaming.store import HEADS, DocumentStore
@@ -69,6 +70,21 @@ def test_status_machine(spark, tmp_path):
                    (2, "processing", "error", 6), (3, "pending", "processing", 7)}
 
 
+def test_table_stream_of_file_and_folder(spark, tmp_path):
+    """A table is one file or a folder of files; both stand beside other tables."""
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 40).alias("text"))
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.toPandas().to_parquet(str(tmp_path / "file.parquet"))
+    (tmp_path / "single").mkdir()
+    (tmp_path / "file.parquet").rename(tmp_path / "single" / "documents.parquet")
+    for name in ("folder", "single"):
+        spark.range(3).write.parquet(str(tmp_path / name / "events.parquet"))
+        out = stream_ingest_dedup(spark, str(tmp_path / name))
+        assert out.count() == 40 and {r.file_hash for r in out.collect()} == {
+            r.h for r in rows.select(F.sha2("text", 256).alias("h")).distinct().collect()
+        }
+
+
 KEYS = [("hr", t, f"primary key of table {t}") for t in range(1, 5)] + [("ai", t, f"answer {t} names the primary key") for t in range(1, 5)]
 
 
