@@ -39,6 +39,17 @@ def test_sub_items_stay_inside_an_answer(spark):
     assert segment(spark, text) == ["список\n1. пункт", "б", "в", "четвертый"]
 
 
+def test_marker_form_inside_an_answer_takes_no_text(spark):
+    text = "Первое задание: With a haor, in blend.\nA. Ble sttion.\nВторое задание: б"
+    expected = ["With a haor, in blend.\nA. Ble sttion.", "б", "", ""]
+    assert segment(spark, text) == expected
+    register_functions(spark)
+    rows = spark.sql("SELECT * FROM segment_text(:t)", args={"t": text}).collect()
+    assert [r.content for r in sorted(rows, key=lambda r: r.task_number)] == expected
+    # two forms that stand together are one marker
+    assert segment(spark, "1. Вопрос 1. раз\nЗадание №2\nВопрос 2. два") == ["раз", "два", "", ""]
+
+
 def test_image_before_next_marker_ends_the_answer(spark):
     text = "Вопрос 1. текст [Изображение: a] Задание 1\nВопрос 2. б"
     assert segment(spark, text)[0] == "текст"
