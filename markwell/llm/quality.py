@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +14,12 @@ from markwell.llm.common import mix, ngram_hashes, span_hashes, stash, steps, te
 
 BUCKET_BITS = 16
 GRAM = 4
-# Trusted texts whose n-grams make the target model, and labelled texts that set the threshold: the first by hash of their id.
-TRUSTED_ROWS = 20_000
-LABELLED_ROWS = 20_000
+# Bits that say which rows may be trusted, and decimals to which scores are counted to set the threshold: both bound what the
+# driver gets; every labelled row counts.
+MARK_BITS = 1 << 23
+SCORE_DIGITS = 4
+# Rows in which a task sends its counts.
+COUNT_PARTS = 16
 # Share of good labelled texts that the threshold must keep, and the threshold without labels of both kinds.
 KEEP_GOOD = 0.995
 DEFAULT_THRESHOLD = -0.25
@@ -90,27 +96,48 @@ def gram_buckets(column: pa.Array, bits: int, gram: int) -> tuple[np.ndarray, np
     return buckets, bounds
 
 
-def _models(docs: DataFrame, trusted: DataFrame, bits: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts of the raw corpus and of trusted texts; ``2^bits`` numbers each, whatever the input."""
+def _counts(texts: DataFrame, bits: int, gram: int) -> np.ndarray:
+    """N-gram counts of all texts; ``2^bits`` numbers, whatever the input."""
     size = 1 << bits
 
     def run(batches):
-        raw, good = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        counts = np.zeros(size, dtype=np.int64)
         for whole in batches:
             for batch in steps(whole, "text"):
-                buckets, bounds = gram_buckets(batch.column("text"), bits, gram)
-                raw += np.bincount(buckets, minlength=size)
-                marked = np.repeat(batch.column("trusted").to_numpy(zero_copy_only=False), np.diff(bounds))
-                good += np.bincount(buckets[marked], minlength=size)
-        used = np.flatnonzero(raw)
-        yield pa.record_batch([pa.array(used), pa.array(raw[used]), pa.array(good[used])], names=["bucket", "raw", "good"])
-
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("t"))), "doc_id", "left")
-    counted = marked.select("text", F.coalesce("t", F.lit(False)).alias("trusted")).mapInArrow(run, "bucket long, raw long, good long")
-    raw, good = np.zeros(size), np.zeros(size)
-    for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
-        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["good"]
-    return raw, good
+                counts += np.bincount(gram_buckets(batch.column("text"), bits, gram)[0], minlength=size)
+        parts = [part.tobytes() for part in counts.reshape(COUNT_PARTS, -1)]
+        yield pa.record_batch([pa.array(range(COUNT_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, part = np.zeros(size // COUNT_PARTS, dtype=np.int64), None
+        for batch in batches:
+            part = batch.column("part")[0].as_py()
+            for one in batch.column("counts"):
+                counts += np.frombuffer(one.as_buffer(), dtype=np.int64)
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "counts"])
+
+    kinds = "part int, counts binary"
+    counts = np.zeros((COUNT_PARTS, size // COUNT_PARTS))
+    for row in texts.select("text").mapInArrow(run, kinds).groupBy("part").applyInArrow(total, kinds).collect():
+        counts[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    return counts.reshape(-1)
+
+
+def _trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is trusted. A fixed bit array keeps most others out of the shuffle; the join decides."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    marks = np.zeros(MARK_BITS // 8, dtype=np.uint8)
+    at = trusted.select(F.shiftright(slot, 3).alias("at"), F.expr(f"shiftleft(1, int(pmod(xxhash64(doc_id), {MARK_BITS}) % 8))").alias("bit"))
+    for row in at.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        marks[row["at"]] = row["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return docs.filter(marked(slot)).join(trusted.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -121,17 +148,17 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.log(good_share) - np.log(raw_share)
 
 
-def threshold_of(scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
-    """The cut between two neighbouring scores that best separates the labels, but keeps ``keep_good`` of the good texts."""
-    if not good.any() or good.all():
+def threshold_of(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
+    """The cut between two neighbouring ``scores`` that best separates their ``good`` and ``bad`` texts, but keeps ``keep_good`` of the good ones."""
+    if not good.any() or not bad.any():
         return DEFAULT_THRESHOLD
     order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    value = np.cumsum(~g) / (~g).sum() - np.cumsum(g) / g.sum()
+    s, g, b = scores[order], good[order], bad[order]
     lost = np.cumsum(g) / g.sum()
+    value = np.cumsum(b) / b.sum() - lost
     usable = (s[1:] > s[:-1]) & (lost[:-1] <= 1 - keep_good)
     if not usable.any() or value[:-1][usable].max() <= 0:
-        return float(s[0])
+        return float(s[0] - 10.0**-SCORE_DIGITS)
     k = int(np.argmax(np.where(usable, value[:-1], -1.0)))
     return float((s[k] + s[k + 1]) / 2)
 
@@ -144,23 +171,20 @@ def judge_quality(
     label: str = "quality",
     bits: int = BUCKET_BITS,
     gram: int = GRAM,
-    trusted_rows: int = TRUSTED_ROWS,
-    labelled_rows: int = LABELLED_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: base counts, ``base_failed``, the length-normalised ``score`` and ``kept``.
 
-    The target model counts hashed byte n-grams of trusted texts (label 1), the raw model those of all texts; both are summed
+    The target model counts hashed byte n-grams of all trusted texts (label 1), the raw model those of all texts; both are summed
     over the tasks and have ``2^bits`` entries. A text's score is the mean log ratio of its n-grams, 0 if it has none. One
-    threshold, set by labelled texts, decides every text. Null or empty texts have no words and fail the base rule. Null keys
+    threshold, set by all labelled texts, decides every text. Null or empty texts have no words and fail the base rule. Null keys
     have no label but are judged; a key labelled twice counts by its best label; an empty table gives no rows; without labels
     of both kinds a fixed threshold holds. Only the named columns are read.
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
-    chance = F.xxhash64("doc_id")
-    trusted = known.filter("label = 1").orderBy(chance, "doc_id").limit(trusted_rows)
-    ratios = log_ratios(*_models(plain, trusted, bits, gram))
+    trusted = known.filter("label = 1")
+    ratios = log_ratios(_counts(plain, bits, gram), _counts(_trusted_texts(plain, trusted), bits, gram))
 
     def run(batches):
         for whole in batches:
@@ -175,7 +199,8 @@ def judge_quality(
     kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = stash(plain.mapInArrow(run, kinds).withColumn("base_failed", failed))
-    sample = known.orderBy(chance, "doc_id").limit(labelled_rows)
-    seen = scored.filter("not base_failed").join(F.broadcast(sample), "doc_id").select("score", "label").toPandas()
-    cut = threshold_of(seen["score"].to_numpy(dtype=float), seen["label"].to_numpy() == 1)
+    seen = scored.filter("not base_failed").select("doc_id", F.round("score", SCORE_DIGITS).alias("score")).join(known, "doc_id")
+    is_good = F.col("label") == 1
+    seen = seen.groupBy("score").agg(F.count_if(is_good).alias("good"), F.count_if(~is_good).alias("bad")).toPandas()
+    cut = threshold_of(*(seen[c].to_numpy(dtype=float) for c in ("score", "good", "bad")))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from markwell.llm import license_rules, minhash, mixing, passages
+from markwell.llm import license_rules, minhash, mixing, passages, quality
 from markwell.llm.chat import format_chats
 from markwell.llm.components import components
 from markwell.llm.licenses import scan_licenses
@@ -356,6 +356,13 @@ def test_near_copies_of_the_pipeline(spark):
     assert (minhash.least_depth(85), round(minhash.least_agreement(85), 2)) == (3, 0.69)
 
 
+def test_quality_counts_all_trusted_texts(spark):
+    """The trusted texts are all rows of label 1, past the number that once was the bound; other rows that share a bit stay out."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    trusted = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    assert quality._counts(quality._trusted_texts(docs, trusted), 16, 4).sum() == 25_000
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(6)
     good = [(1000 + i, words(rng, 120), "s", "x", 1) for i in range(60)]
