@@ -159,3 +159,11 @@ def test_metrics_of_a_text_share_one_pass(spark):
     scored = df.select("m.*", S.quality_score("t", F.col("m.readability")))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [char_counts") == 1
+
+
+def test_auto_task_score_evaluates_the_likelihood_once(spark):
+    df = spark.createDataFrame([("A b.",)], "t string")
+    m = df.select("t", style.analyze_text("t").alias("m")).select("t", "m.readability", "m.llm_likelihood", "m.punctuation_errors.total_errors")
+    score = S.auto_task_score(F.lit(0.5), S.quality_score("t", "readability"), S.anti_cheating_score("llm_likelihood", "total_errors"))
+    plan = m.select(score)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("named_struct(low") + plan.count("struct(low") == 1
