@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +12,44 @@ from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import let
 from markwell.operators.generate import numbered, settled
-from markwell.operators.skew import skew_join
 from markwell.session import cut_lineage
 
 
 POSITIONS = 1 << 31  # more than the words of any one text
 
 
+# Words whose numbers of texts are broadcast; the rows of all others are joined by a shuffle.
+HOT_WORDS = 50_000
+
+
+def _term_counter(pairs: bool = False, limit: int | None = None):
+    """A function of normalized texts: (tokens, terms, counts).
+
+    Terms are the distinct usable words, in no order. With ``pairs`` those of neighbours are terms too, and all go by falling count,
+    ties alphabetical; only a text of fewer than three usable words keeps to its words, ties by first appearance.
+    """
+    stop = frozenset(K.RUSSIAN_STOP_WORDS + K.ENGLISH_STOP_WORDS)
+
+    @F.pandas_udf("tokens int, terms array<string>, counts array<int>")
+    def term_counts(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            tokens = [w for w in text.split() if len(w) > 2 and w not in stop]
+            counted = Counter(tokens)
+            if pairs and len(tokens) < 3:
+                ranked = counted.most_common()
+            elif pairs:
+                counted.update(map(" ".join, zip(tokens, tokens[1:])))
+                ranked = sorted(counted.items(), key=lambda e: (-e[1], e[0]))
+            else:
+                ranked = list(counted.items())
+            ranked = ranked[:limit]
+            rows.append((len(tokens), [e[0] for e in ranked], [e[1] for e in ranked]))
+        return pd.DataFrame(rows, columns=["tokens", "terms", "counts"])
+
+    return term_counts
+
+
 def _words(df: DataFrame, keys: list[str], text: str, order: str | None) -> DataFrame:
     lowered = F.regexp_extract_all(F.lower(text), F.lit(f"[{K.WORD_CLASS}]+"), F.lit(0))
     stop = [w for w in K.RUSSIAN_STOP_WORDS + K.ENGLISH_STOP_WORDS if len(w) > 2]
@@ -45,16 +79,8 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     usable tokens fall back to plain word counts; texts under ten characters give nothing.
     """
     clean = settled(df.select(key, T.normalize_strip_punct(text).alias("_t"))).filter(F.length("_t") >= 10)
-    tokens = settled(clean.select(key, "_t", T.tokenize("_t").alias("_k")))
-    pairs = F.zip_with(
-        F.slice("_k", F.lit(1), F.greatest(F.size("_k") - 1, F.lit(0))),
-        F.slice("_k", F.lit(2), F.greatest(F.size("_k") - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    # counted inside the row: sort, run lengths, sort by (count desc, term), cut
-    runs = T.run_lengths(F.sort_array(F.concat("_k", pairs)))
-    ranked = F.sort_array(F.transform(runs, lambda r: F.struct((-r["n"]).alias("neg"), r["value"].alias("keyword"))))
-    features = F.when(F.size("_k") >= 3, F.slice(ranked, 1, 2 * n))
+    found = settled(clean.select(key, _term_counter(pairs=True, limit=2 * n)("_t").alias("_f")))
+    features = F.transform("_f.terms", lambda term, i: F.struct((-F.get("_f.counts", i)).alias("neg"), term.alias("keyword")))
 
     def weigh(fs):
         norm = F.sqrt(F.aggregate(fs, F.lit(0.0), lambda s, f: s + f["neg"] * f["neg"]))
@@ -63,17 +89,12 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
             lambda z: F.transform(
                 F.slice(fs, 1, n),
                 lambda f, i: F.struct(
-                    (i + 1).alias("place"), f["keyword"].alias("keyword"), (-f["neg"] / z).alias("weight")
+                    (i + 1).alias("place"), f["keyword"].alias("keyword"), F.when(F.col("_f.tokens") >= 3, -f["neg"] / z).alias("weight")
                 ),
             ),
         )
 
-    weighted = tokens.select(key, F.inline_outer(let(features, weigh))).filter("place IS NOT NULL")
-    few = tokens.filter(F.size("_k") < 3).withColumn("_o", F.lit(0))
-    simple = keyword_frequency(few, [key], "_t", n, "_o").select(
-        key, "place", F.col("word").alias("keyword"), F.lit(None).cast("double").alias("weight")
-    )
-    return weighted.unionByName(simple)
+    return found.select(key, F.inline_outer(let(features, weigh))).filter("place IS NOT NULL")
 
 
 def keywords_per_task(answers: DataFrame, n: int = 15) -> DataFrame:
@@ -103,10 +124,13 @@ def corpus_tfidf(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     Words are counted inside their text, so the corpus table of words gets one row per text and word, combined map-side before its
     shuffle. Words that a large part of the texts hold are joined back without moving their rows. A word of all texts weighs 0.
     """
-    tokens = settled(df.select(key, T.tokenize(T.normalize_strip_punct(text)).alias("_k")))
-    runs = T.run_lengths(F.sort_array("_k"))
-    counts = cut_lineage(tokens.filter(F.size("_k") > 0).select(key, F.inline_outer(runs)).select(key, F.col("value").alias("keyword"), "n"))
-    texts = counts.groupBy("keyword").agg(F.count("*").alias("_df"))
-    weighted = skew_join(counts, texts, "keyword").withColumn("weight", F.col("n") * F.ln(F.lit(float(df.count())) / F.col("_df")))
+    found = settled(df.select(key, _term_counter()(T.normalize_strip_punct(text)).alias("_f")))
+    terms = F.arrays_zip(F.col("_f.terms").alias("keyword"), F.col("_f.counts").alias("n"))
+    counts = cut_lineage(found.filter(F.size("_f.terms") > 0).select(key, F.inline_outer(terms)))
+    texts = cut_lineage(counts.groupBy("keyword").agg(F.count("*").alias("_df")))
+    hot = F.broadcast(texts.orderBy(F.desc("_df"), "keyword").limit(HOT_WORDS))
+    cold = counts.join(hot, "keyword", "left_anti").join(texts.join(hot, "keyword", "left_anti"), "keyword")
+    joined = counts.join(hot, "keyword").select(key, "keyword", "n", "_df").unionByName(cold.select(key, "keyword", "n", "_df"))
+    weighted = joined.withColumn("weight", F.col("n") * F.ln(F.lit(float(df.count())) / F.col("_df")))
     w = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), F.asc("keyword"))
     return weighted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(key, "place", "keyword", "weight")
