@@ -30,3 +30,20 @@ def test_tfidf_reads_each_text_once(spark):
         norm = math.sqrt(sum(n * n for _, n in ranked))
         expected |= {(k, p + 1, w, round(n / norm, 9)) for p, (w, n) in enumerate(ranked[:5])}
     assert {(r.k, r.place, r.keyword, r.weight and round(r.weight, 9)) for r in out.collect()} == expected
+
+
+def test_corpus_tfidf_leaves_out_only_words_that_cannot_lead(spark, monkeypatch):
+    """Against the definition, with few words known to the tasks (all others are joined), and with all of them."""
+    rows = sample(60)
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    counts = {k: Counter(w for w in (t or "").split() if len(w) > 2 and w != "the") for k, t in rows}
+    texts = Counter(w for c in counts.values() for w in c)
+    expected = set()
+    for k, c in counts.items():
+        weights = {w: m * math.log(len(rows) / texts[w]) for w, m in c.items()}
+        ranked = sorted(weights, key=lambda w: (-round(weights[w], 9), w))[:4]
+        expected |= {(k, p + 1, w, round(weights[w], 6)) for p, w in enumerate(ranked)}
+    for hot in (6, 50_000):
+        monkeypatch.setattr(W, "HOT_WORDS", hot)
+        out = W.corpus_tfidf(df, "k", "t", 4)
+        assert {(r.k, r.place, r.keyword, round(r.weight, 6)) for r in out.collect()} == expected
