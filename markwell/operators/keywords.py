@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import let
-from markwell.operators.generate import numbered, settled
+from markwell.operators.generate import exploded, numbered, settled
 from markwell.session import cut_lineage
 
 
@@ -20,6 +20,8 @@ POSITIONS = 1 << 31  # more than the words of any one text
 
 # Words whose numbers of texts are broadcast; the rows of all others are joined by a shuffle.
 HOT_WORDS = 50_000
+# More than the difference of two weights that are equal once rounded to nine decimals.
+ROUNDING = 2e-9
 
 
 def _term_counter(pairs: bool = False, limit: int | None = None):
@@ -118,19 +120,65 @@ def keywords_per_task(answers: DataFrame, n: int = 15) -> DataFrame:
     return wide.select("doc_id", F.inline_outer(slots))
 
 
+def leading(weighted: list[tuple[float, str]], n: int) -> list[tuple[float, str]]:
+    """Of ``(-weight, word)`` all that can be among the ``n`` first by rounded weight, ties alphabetical.
+
+    Weights that round alike differ by less than ``ROUNDING``; of words with one weight the ``n`` first suffice.
+    """
+    weighted.sort()
+    if len(weighted) <= n:
+        return weighted
+    last, run, kept = None, 0, []
+    for entry in weighted:
+        if entry[0] > weighted[n - 1][0] + ROUNDING:
+            break
+        run = run + 1 if entry[0] == last else 1
+        last = entry[0]
+        if run <= n:
+            kept.append(entry)
+    return kept
+
+
+def _leader_finder(known, n: int):
+    """A function of (terms, counts): the words that can lead among the ``known`` ones, and all other words with their counts."""
+
+    @F.pandas_udf("keywords array<string>, weights array<double>, others array<string>, counts array<int>")
+    def leaders(terms: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        rarity, rows = known.value, []
+        for words, numbers in zip(terms, counts):
+            weighted, others = [], []
+            for word, count in zip(words, numbers.tolist()):
+                if (rare := rarity.get(word)) is None:
+                    others.append((word, count))
+                else:
+                    weighted.append((-count * rare, word))
+            lead = leading(weighted, n)
+            rows.append(([e[1] for e in lead], [-e[0] for e in lead], [e[0] for e in others], [e[1] for e in others]))
+        return pd.DataFrame(rows, columns=["keywords", "weights", "others", "counts"])
+
+    return leaders
+
+
 def corpus_tfidf(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Top ``n`` words of each text by count x ln(texts / texts with the word): (key, place, keyword, weight), ties alphabetical.
 
-    Words are counted inside their text, so the corpus table of words gets one row per text and word, combined map-side before its
-    shuffle. Words that a large part of the texts hold are joined back without moving their rows. A word of all texts weighs 0.
+    Words are counted inside their text. Words that a large part of the texts hold, a bounded number, are known to the tasks: there each
+    text keeps those of them that can lead, so only these and its other words are joined and ranked. A word of all texts weighs 0.
     """
-    found = settled(df.select(key, _term_counter()(T.normalize_strip_punct(text)).alias("_f")))
-    terms = F.arrays_zip(F.col("_f.terms").alias("keyword"), F.col("_f.counts").alias("n"))
-    counts = cut_lineage(found.filter(F.size("_f.terms") > 0).select(key, F.inline_outer(terms)))
-    texts = cut_lineage(counts.groupBy("keyword").agg(F.count("*").alias("_df")))
-    hot = F.broadcast(texts.orderBy(F.desc("_df"), "keyword").limit(HOT_WORDS))
-    cold = counts.join(hot, "keyword", "left_anti").join(texts.join(hot, "keyword", "left_anti"), "keyword")
-    joined = counts.join(hot, "keyword").select(key, "keyword", "n", "_df").unionByName(cold.select(key, "keyword", "n", "_df"))
-    weighted = joined.withColumn("weight", F.col("n") * F.ln(F.lit(float(df.count())) / F.col("_df")))
+    found = cut_lineage(settled(df.select(key, _term_counter()(T.normalize_strip_punct(text)).alias("_f"))))
+    rarity = F.ln(F.lit(float(found.count())) / F.col("_df"))
+    found = found.filter(F.size("_f.terms") > 0)
+    words = exploded(found, [], F.col("_f.terms"), "keyword")
+    texts = cut_lineage(words.groupBy("keyword").agg(F.count("*").alias("_df")))
+    hot = texts.orderBy(F.desc("_df"), "keyword").limit(HOT_WORDS).select("keyword", rarity.alias("rarity")).toPandas()
+    known = df.sparkSession.sparkContext.broadcast(dict(zip(hot["keyword"], hot["rarity"].tolist())))
+    split = settled(found.select(key, _leader_finder(known, n)(F.col("_f.terms"), F.col("_f.counts")).alias("_s")))
+    split = cut_lineage(split.select(key, "_s.*"))
+    lead = split.select(key, F.inline_outer(F.arrays_zip(F.col("keywords").alias("keyword"), F.col("weights").alias("weight"))))
+    rest = split.filter(F.size("others") > 0).select(
+        key, F.inline_outer(F.arrays_zip(F.col("others").alias("keyword"), F.col("counts").alias("n")))
+    )
+    rest = rest.join(texts, "keyword").select(key, "keyword", (F.col("n") * rarity).alias("weight"))
+    weighted = lead.filter("keyword IS NOT NULL").unionByName(rest)
     w = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), F.asc("keyword"))
     return weighted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(key, "place", "keyword", "weight")

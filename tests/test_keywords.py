@@ -47,3 +47,16 @@ def test_corpus_tfidf_leaves_out_only_words_that_cannot_lead(spark, monkeypatch)
         monkeypatch.setattr(W, "HOT_WORDS", hot)
         out = W.corpus_tfidf(df, "k", "t", 4)
         assert {(r.k, r.place, r.keyword, round(r.weight, 6)) for r in out.collect()} == expected
+
+
+def test_corpus_tfidf_ranks_only_words_that_can_lead(spark):
+    """Words known to the tasks are cut in their text: no join of their rows, and the ranking reads a bounded number of them."""
+    assert W.leading([(-1.0, "d"), (-1.0, "c"), (-2.0, "z"), (-1.0 + 1e-9, "a"), (-0.5, "b")], 2) == [
+        (-2.0, "z"), (-1.0, "c"), (-1.0, "d"), (-1.0 + 1e-9, "a")
+    ]
+    assert len(W.leading([(-1.0, f"w{k}") for k in range(900)], 3)) == 3
+    rows = [(k, " ".join(f"word{(k * 7 + j) % 300}" for j in range(200))) for k in range(40)]
+    out = W.corpus_tfidf(spark.createDataFrame(rows, "k long, t string"), "k", "t", 3)
+    assert out.count() == 3 * len(rows)
+    ranked = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.count("Join") == 1  # that of words unknown to the tasks
