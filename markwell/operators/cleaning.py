@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markwell import constants as K
 from markwell.functions import text as T
 from markwell.functions.text import let
-from markwell.functions.vectors import cosine, hashed_words
+from markwell.functions.vectors import cosine_of, hashed_words, squared_norm
 from markwell.operators.answers import cleaning_status, non_empty_count, pack, slot_names, unpack
 
 TAIL = "struct<text:string,belongs_to_task:int,similarity:double>"
@@ -33,21 +33,27 @@ def with_tails(
 ) -> DataFrame:
     """Add tails_1..tails_4 to one-row-per-document answers; everything stays inside the row."""
     texts = packed.withColumn("_texts", F.array(*[F.coalesce(F.col(c), F.lit("")) for c in slot_names()]))
-    vectors = texts.withColumn("_vecs", F.transform("_texts", lambda t: embed(t)))
+
+    def measured(text: Column) -> Column:
+        return let(embed(text), lambda v: F.struct(text.alias("text"), v.alias("vec"), squared_norm(v).alias("square")))
+
+    vectors = texts.withColumn("_vecs", F.transform("_texts", lambda t: measured(t)))
     parts = vectors.withColumn(
         "_parts",
-        F.transform(
-            "_texts", lambda t: F.transform(fragments(t), lambda p: F.struct(p.alias("text"), embed(p).alias("vec")))
-        ),
+        F.transform("_texts", lambda t: F.transform(fragments(t), lambda p: measured(p))),
     )
 
+    def near(part, o) -> Column:
+        other = F.get("_vecs", o)
+        return cosine_of(part["vec"], other["vec"], part["square"], other["square"])
+
     def judge(part, i):
         others = F.filter(F.sequence(F.lit(0), F.lit(len(K.TASKS) - 1)), lambda o: o != i)
         options = F.transform(
             others,
-            lambda o: F.struct(cosine(part["vec"], F.get("_vecs", o)).alias("similarity"), (-o - 1).alias("minus_task")),
+            lambda o: F.struct(near(part, o).alias("similarity"), (-o - 1).alias("minus_task")),
         )
-        own = cosine(part["vec"], F.get("_vecs", i)) if require_better_than_own else F.lit(-1.0)
+        own = near(part, i) if require_better_than_own else F.lit(-1.0)
         return let(
             F.array_max(options),
             lambda best: F.struct(

@@ -21,6 +21,7 @@ from markwell.functions.vectors import hashed_words
 from markwell.operators import answers as A
 from markwell.operators import cleaning, grading, integrity, reports, segmentation, similarity
 from markwell.operators.criteria import Catalogue
+from markwell.session import spread_by
 from markwell.streaming.store import HEADS, DocumentStore
 
 Embed = Callable[[Column], Column]
@@ -103,9 +104,8 @@ class SimilarityTable:
         if self.codes.is_committed(batch_id):
             return
         known = self.codes.current("codes")
-        packed = similarity.pack_vectors(vectors)
-        dims = similarity.first_size(packed, known)
-        new = self.codes.stage(batch_id, "codes", similarity.code_rows(packed, dims))
+        dims = similarity.vector_size(vectors) if known is None or known.isEmpty() else similarity.first_size(None, known)
+        new = self.codes.stage(batch_id, "codes", similarity.code_rows(similarity.pack_vectors(vectors), dims))
         heads = self.codes.stage(batch_id, HEADS, (new if arrived is None else arrived).select("doc_id"))
         if not self.lists.is_committed(batch_id):
             stored = self.lists.current("top")
@@ -147,7 +147,7 @@ class SubmissionPipeline:
         ))
         heads = stage(n, HEADS, documents.select("doc_id"))
         texts = documents.filter("status = 'completed'").select("doc_id", "content")
-        cleaned = stage(n, "answers", cleaning.clean_tasks(segmentation.segment_submissions(texts), rules.embed))
+        cleaned = stage(n, "answers", cleaning.clean_tasks(segmentation.segment_submissions(spread_by(texts, "doc_id")), rules.embed))
         answers = A.unpack(cleaned)
         given = answers.filter(~T.is_blank("content"))
         vectors = given.select("doc_id", F.col("task_number").alias("slot"), rules.embed(F.col("content")).alias("vec")).unionByName(
