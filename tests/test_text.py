@@ -143,3 +143,11 @@ def test_clean_lines_of_blank_texts_equal_sql(spark, tmp_path):
     texts = [(11, " \n\t\n"), (71, None), (18, None), (131, ""), (13, " a \n\n b"), (191, "\n x \n")]
     got, want = styled_rows(spark, tmp_path, texts, "clean_lines")
     assert got == want and [r[0] for r in got] == [13, 18, 191]
+
+
+def test_metrics_summary_equals_sql(spark, tmp_path):
+    """A readability that rounds to a negative zero, a missing text, and vowels behind a dotted capital."""
+    near_zero = " ".join(["babab"] * 42 + ["bab"] * 7) + "."  # readability -0.014
+    texts = [(11, "x" * 12), (18, None), (71, "İaİe İİ bİo word word."), (131, near_zero), (191, "İstanbul İ")]
+    got, want = styled_rows(spark, tmp_path, texts, "metrics_summary")
+    assert got == want and any("Читаемость: -0.0" in r[2] for r in got)
