@@ -32,6 +32,8 @@ DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 16
+# Neighbours that a search looks up at once.
+LOOK_CELLS = 1 << 20
 SEED = 11
 
 
@@ -117,10 +119,12 @@ def range_search(
     def look(who: np.ndarray, at: np.ndarray) -> None:
         """Open nodes ``at`` for queries ``who``: score their neighbours."""
         opened[who, at] = True
-        pairs = np.repeat(who, width), table[at].ravel()
-        real = pairs[1] >= 0
         seen = np.zeros((q, n), dtype=bool)
-        seen[pairs[0][real], pairs[1][real]] = True
+        step = max(1, LOOK_CELLS // width)
+        for lo in range(0, len(who), step):  # in a dense cluster most pairs are opened at once
+            pairs = np.repeat(who[lo : lo + step], width), table[at[lo : lo + step]].ravel()
+            real = pairs[1] >= 0
+            seen[pairs[0][real], pairs[1][real]] = True
         key = np.flatnonzero(seen & (score == -2.0))
         for lo in range(0, len(key), 1 << 18):
             part = key[lo : lo + (1 << 18)]
@@ -183,6 +187,8 @@ def _linked_sample(nodes: DataFrame, asked: dict, by_dim: dict, threshold: float
                     row, q = np.nonzero(unit @ queries.T >= threshold)
                     other = own[row] != names[q]
                     row, q = row[other], q[other]
+                    if not len(row):  # a frame without rows has no type for the lists
+                        continue
                     if len(row) > AUDIT_BLOCK:
                         some = np.random.default_rng(SEED).choice(len(row), AUDIT_BLOCK, replace=False)
                         row, q = row[some], q[some]

@@ -235,3 +235,19 @@ def test_whitening_of_extreme_entries(spark):
     x = np.floor(64 * np.array(wide)).astype(np.int64).astype(object)
     assert check_exact == dict(enumerate(((3 * x - x.sum(axis=0)) ** 2).sum(axis=1).tolist()))
     assert whiten(vector_table(spark, [[1e300, 1.0], [0.0, 2.0]])).count() == 2
+
+
+def test_audit_blocks_without_linked_pairs(spark, monkeypatch):
+    """Blocks of the audit, and whole tasks, in which no vector is linked; the few linked ones are found all the same."""
+    from markwell.llm import vector_graph
+
+    monkeypatch.setattr(vector_graph, "AUDIT_BLOCK", 4)
+    monkeypatch.setattr(vector_graph, "AUDIT_QUERIES", 8)
+    monkeypatch.setattr(vector_graph, "LOOK_CELLS", 50, raising=False)
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(200, 32))
+    rows[150:160] = rows[7] + 0.01 * rng.normal(size=(10, 32))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>").repartition(5)
+    found = {r.vec_id: r.n_links for r in vector_graph.link_vectors(frame, shard_rows=20).collect()}
+    family = {7, *range(150, 160)}
+    assert found == {i: 10 if i in family else 0 for i in range(200)}
