@@ -1,6 +1,6 @@
 """Repeated passages by merging Burrows-Wheeler transforms.
 
-Equal ``LENGTH``-byte strings have equal anchors (see ``anchor_runs``), so texts are compared anchor by anchor: only runs of
+Equal ``LENGTH``-byte strings have equal anchors (see ``placed_runs``), so texts are compared anchor by anchor: only runs of
 strings whose anchor stands in two documents or more are cut out as pieces and brought together. A task merges the transforms of
 its pieces by refining their interleave one symbol at a time (see ``merge_transforms``).
 """
@@ -29,6 +29,8 @@ ANCHOR_STEP = 1 << 19
 NAME_BITS = 48
 CONTENT_BITS = 40
 COVERED, SPLIT = 1, 2
+# Bits that tell apart what stands beside anchors (0: nothing does); a false match only costs work.
+SIDE_BITS = 16
 # Bytes of pieces that one merge takes together; a route is never cut in two.
 MERGE_BYTES = 1 << 20
 # Buckets of anchors per shuffle partition; a task takes its buckets one at a time.
@@ -37,16 +39,16 @@ _LOW = np.uint64((1 << 24) - 1)
 _ONE = np.uint64(1)
 
 
-def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
+def placed_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
     """Cut each text's ``length``-byte strings into runs that share an anchor.
 
     The anchor of a string is the ``key``-byte window in it whose hash is least (the first of equals), so equal strings have
-    equal anchors wherever they stand. Returns ``(hash, row, first, last)`` per run: the anchor's hash (its lowest bit 0), the
-    row, and the first and last start of its strings, as positions in ``data``.
+    equal anchors wherever they stand. Returns ``(hash, row, first, last, place)`` per run: the anchor's hash (its lowest bit 0), the
+    row, the first and last start of its strings, and where the anchor stands, as positions in ``data``.
     """
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, *[np.int64] * 4))
     up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + _ONE) * up[: len(data)], out=sums[1:])
@@ -74,7 +76,30 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, key: i
     closing = np.ones(n, dtype=bool)
     closing[:-1] = edge[1:] | ~valid[1:]
     last = np.flatnonzero(closing & valid)
-    return hashes[owner[first]] & ~_ONE, np.searchsorted(offs, first, side="right") - 1, first, last
+    place = owner[first]
+    return hashes[place] & ~_ONE, np.searchsorted(offs, first, side="right") - 1, first, last, place
+
+
+def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
+    """``placed_runs`` without the places of the anchors."""
+    return placed_runs(data, offs, length, key)[:4]
+
+
+def side_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple:
+    """``(content, left, right)`` of runs: hashes of their bytes, and of the bytes beside the anchor, in ``SIDE_BITS`` bits, 0 if no string of
+    the run holds them.
+
+    A string holds ``length - key`` bytes beside its anchor, half of them at least on one side. So equal strings of two runs have
+    equal bytes of that number on the same side of their anchors: runs with neither side in common share no string.
+    """
+    half = (length - key + 1) // 2
+    has_left, has_right = first <= place - half, last + length >= place + key + half
+    begin = np.concatenate((first, np.where(has_left, place - half, place), np.where(has_right, place + key, place)))
+    end = np.concatenate((last + length, place, np.where(has_right, place + key + half, place)))
+    content, left, right = np.split(span_hashes(data, begin, end), 3)
+    shift = np.uint64(64 - SIDE_BITS)
+    left, right = (np.where(has, np.maximum(h >> shift, _ONE), np.uint64(0)) for has, h in ((has_left, left), (has_right, right)))
+    return content >> np.uint64(64 - CONTENT_BITS), left, right
 
 
 # ---------------------------------------------------------------- the merge
@@ -135,23 +160,24 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Anchors of every text with a hash of their run's bytes, dealt to buckets: packed rows ``(bucket, names, contents, docs)``."""
+    """Anchors of every text with a hash of their run's bytes, dealt to buckets: packed rows ``(bucket, names, contents, sides, docs)``."""
 
     def run(batches):
         for whole in batches:
             for batch in steps(whole, "text", ANCHOR_STEP):
                 data, offs = text_buffer(batch.column("text"))
-                hashes, row, first, last = anchor_runs(data, offs, length)
+                hashes, row, first, last, place = placed_runs(data, offs, length)
                 if not len(hashes):
                     continue
                 names = hashes >> np.uint64(64 - NAME_BITS)
-                contents = span_hashes(data, first, last + length) >> np.uint64(64 - CONTENT_BITS)
+                contents, left, right = side_hashes(data, first, last, place, length)
+                sides = (left << np.uint64(SIDE_BITS)) | right
                 keys = batch.column("doc_id").to_numpy()[row]
-                order = np.lexsort((keys, contents, names))
-                names, contents, keys = names[order], contents[order], keys[order]
+                order = np.lexsort((keys, sides, contents, names))
+                names, contents, sides, keys = (x[order] for x in (names, contents, sides, keys))
                 fresh = np.ones(len(names), dtype=bool)
-                fresh[1:] = (names[1:] != names[:-1]) | (contents[1:] != contents[:-1]) | (keys[1:] != keys[:-1])
-                names, contents, keys = names[fresh], contents[fresh], keys[fresh]
+                fresh[1:] = np.any([x[1:] != x[:-1] for x in (names, contents, sides, keys)], axis=0)
+                names, contents, sides, keys = (x[fresh] for x in (names, contents, sides, keys))
                 bucket = ((names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(NAME_BITS - 16)).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cuts))
@@ -161,27 +187,43 @@ def _anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                         pa.array(used, pa.int32()),
                         pa.array([_packed(names[p], NAME_BITS // 8) for p in parts], pa.binary()),
                         pa.array([_packed(contents[p], CONTENT_BITS // 8) for p in parts], pa.binary()),
+                        pa.array([_packed(sides[p], SIDE_BITS // 4) for p in parts], pa.binary()),
                         pa.array([keys[p].tobytes() for p in parts], pa.binary()),
                     ],
-                    names=["bucket", "names", "contents", "docs"],
+                    names=["bucket", "names", "contents", "sides", "docs"],
                 )
 
-    return docs.mapInArrow(run, "bucket int, names binary, contents binary, docs binary")
+    return docs.mapInArrow(run, "bucket int, names binary, contents binary, sides binary, docs binary")
 
 
 def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
     """``(doc_id, name)`` of the anchors that two documents or more hold; the lowest bits of the name say how to go on.
 
-    If all runs of an anchor are equal, each but the lowest document's is covered as it stands (``COVERED``). Else the runs have
-    to be compared; a run of an anchor that more than ``hot`` documents hold travels string by string (``SPLIT``).
+    If all runs of an anchor are equal, each but the lowest document's is covered as it stands (``COVERED``). Else the runs that have a
+    side of the anchor in common with another document's have to be compared; where more than ``hot`` of them do, they travel
+    string by string (``SPLIT``).
     """
 
-    def judged(names: list[bytes], contents: list[bytes], docs: list[bytes]):
+    def met(name: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether another document has the same side of the same anchor."""
+        found = np.zeros(len(name), dtype=bool)
+        at = np.flatnonzero(side)
+        if not len(at):
+            return found
+        both = (name[at] << np.uint64(SIDE_BITS)) | side[at]
+        at, both = (x[np.lexsort((doc[at], both))] for x in (at, both))
+        cuts = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        size = np.diff(np.append(cuts, len(both)))
+        found[at] = np.repeat(doc[at[cuts]] != doc[at[cuts + size - 1]], size)
+        return found
+
+    def judged(names: list[bytes], contents: list[bytes], sides: list[bytes], docs: list[bytes]):
         name = _unpacked(b"".join(names), NAME_BITS // 8)
         content = _unpacked(b"".join(contents), CONTENT_BITS // 8)
+        side = _unpacked(b"".join(sides), SIDE_BITS // 4)
         doc = np.frombuffer(b"".join(docs), dtype=np.int64)
         order = np.lexsort((doc, name))
-        name, content, doc = name[order], content[order], doc[order]
+        name, content, side, doc = name[order], content[order], side[order], doc[order]
         start = np.ones(len(name), dtype=bool)
         start[1:] = name[1:] != name[:-1]
         at = np.flatnonzero(start)
@@ -189,8 +231,11 @@ def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
         lowest = doc[at]
         shared = lowest != doc[at + size - 1]
         equal = np.minimum.reduceat(content, at) == np.maximum.reduceat(content, at)
-        flag = np.where(equal, COVERED, np.where(size > hot, SPLIT, 0)).astype(np.uint64)
-        keep = np.repeat(shared, size) & (np.repeat(~equal, size) | (doc > np.repeat(lowest, size)))
+        likely = np.repeat(shared & ~equal, size)
+        low = np.uint64((1 << SIDE_BITS) - 1)
+        likely[likely] = np.any([met(name[likely], s, doc[likely]) for s in (side[likely] >> np.uint64(SIDE_BITS), side[likely] & low)], axis=0)
+        flag = np.where(equal, COVERED, np.where(np.add.reduceat(likely, at, dtype=np.int64) > hot, SPLIT, 0)).astype(np.uint64)
+        keep = likely | (np.repeat(shared & equal, size) & (doc > np.repeat(lowest, size)))
         marked = ((name << np.uint64(2)) | np.repeat(flag, size))[keep].view(np.int64)
         doc = doc[keep]
         for lo in range(0, len(doc), 1 << 17):
@@ -200,7 +245,7 @@ def _shared_anchors(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
         held: list[tuple] = []
         bucket = None
         for batch in batches:
-            for b, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "contents", "docs")), strict=True):
+            for b, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "contents", "sides", "docs")), strict=True):
                 if b != bucket and held:
                     yield from judged(*zip(*held, strict=True))
                     held = []

@@ -251,3 +251,23 @@ def test_audit_blocks_without_linked_pairs(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in vector_graph.link_vectors(frame, shard_rows=20).collect()}
     family = {7, *range(150, 160)}
     assert found == {i: 10 if i in family else 0 for i in range(200)}
+
+
+def test_anchors_shared_by_chance_do_not_travel(spark):
+    """Documents that share an anchor's bytes but no string of 50 bytes stay where they are; those that share one, at any place of it, don't."""
+    from markwell.llm import passages
+
+    rng = random.Random(4)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    short, long = noise(24), noise(50)
+    texts = [noise(200) + short + noise(200) for _ in range(30)]
+    texts += [noise(100) + long + noise(100), long + noise(90), noise(80) + long, noise(60) + long[:49] + "#" + noise(60), long]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    named = passages._shared_anchors(passages._anchors(frame, 50, 4), 2, 100).select("doc_id").distinct().collect()
+    # the text with one byte less of the passage still has a side of an anchor in common with it
+    assert {30, 31, 32, 34} <= {r.doc_id for r in named} <= {30, 31, 32, 33, 34}
+    found = {r.doc_id: r.n_removed for r in passages.cut_repeats(frame).collect()}
+    assert found == {i: 50 if i in (31, 32, 34) else 0 for i in range(35)}
