@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from markwell.llm.common import mix, power_tables, release_memory, span_hashes, stash, steps, text_buffer
 from markwell.llm.tokens import spread_ranges
@@ -31,6 +32,8 @@ CONTENT_BITS = 40
 COVERED, SPLIT = 1, 2
 # Bits that tell apart what stands beside anchors (0: nothing does); a false match only costs work.
 SIDE_BITS = 16
+# Where a span that stands for the whole text begins.
+WHOLE = -1
 # Bytes of pieces that one merge takes together; a route is never cut in two.
 MERGE_BYTES = 1 << 20
 # Buckets of anchors per shuffle partition; a task takes its buckets one at a time.
@@ -418,21 +421,23 @@ def _covered(pieces: DataFrame, length: int) -> DataFrame:
 def _cut(texts: DataFrame, length: int, as_text: bool) -> DataFrame:
     """Apply the spans to whole texts; ``kept`` is the rest as bytes, or as a string without the characters that were cut through."""
 
-    def spans_of(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def spans_of(batch: pa.RecordBatch, row: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         hs, ats, sizes = (batch.column(c)[row].values for c in ("hs", "ats", "sizes"))
         if hs is None:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         mine = hs.to_numpy() == batch.column("h")[row].as_py()
-        begin = ats.to_numpy()[mine].astype(np.int64)
-        lo, hi, _ = _union(begin, begin + sizes.to_numpy()[mine], np.zeros(len(begin), np.int64))
+        begin, long = ats.to_numpy()[mine].astype(np.int64), sizes.to_numpy()[mine]
+        if size >= length and (begin == WHOLE).any():
+            return np.array([0]), np.array([size])
+        begin, long = begin[begin != WHOLE], long[begin != WHOLE]
+        lo, hi, _ = _union(begin, begin + long, np.zeros(len(begin), np.int64))
         return lo, hi
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        whole = batch.column("whole").to_pylist()
         for row in range(batch.num_rows):
             raw = batch.column("text")[row].as_py().encode()
-            lo, hi = (np.array([0]), np.array([len(raw)])) if whole[row] and len(raw) >= length else spans_of(batch, row)
+            lo, hi = spans_of(batch, row, len(raw))
             edges = [0, *np.column_stack((lo, hi)).ravel().tolist(), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             digest = hashlib.sha256(kept).hexdigest()
@@ -457,29 +462,33 @@ def _cut(texts: DataFrame, length: int, as_text: bool) -> DataFrame:
 def _cut_rows(docs: DataFrame, key: str, text: str, length: int, hot: int, rest: list, as_text: bool) -> DataFrame:
     """``cut_repeats`` with the struct of ``rest`` carried along each row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a needless alias would stay on one side of the joins below only, and each side would get an exchange of its own
+    doc_id = F.col(key) if (key, docs.schema[key].dataType) == ("doc_id", LongType()) else F.col(key).cast("long").alias("doc_id")
     plain = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*rest).alias("rest")
+        doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*rest).alias("rest")
     )
     plain = plain.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
     groups = plain.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"))
     copied = stash(groups.filter("lowest < highest").select("h1", "h2", "lowest"))
+    copies = plain.filter("doc_id is not null").select("doc_id", "h1", "h2").join(copied, ["h1", "h2"]).filter("doc_id > lowest")
+    copies = copies.select("doc_id", F.hash("h1", "h2").alias("h"), F.lit(WHOLE).alias("at"), F.lit(WHOLE).alias("size"))
     if copied.isEmpty():
         marked = plain.withColumn("whole", F.lit(False))
     else:
         marked = plain.join(copied, ["h1", "h2"], "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)))
-    # rows that share a key are told apart by a part of their text's hash
-    marked = marked.select("doc_id", "text", F.hash("h1", "h2").alias("h"), "whole", "rest")
     single = marked.filter("not whole and doc_id is not null").select("doc_id", "text")
     names = _shared_anchors(_anchors(single, length, BUCKETS * parts), parts, hot)
     names = stash(names).groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    # one exchange of the texts serves both joins, so both use the same columns and the same key
-    dealt = marked.filter("doc_id is not null").repartition("doc_id")
-    hit = dealt.join(names, "doc_id").select("doc_id", "h", "text", "whole", "rest", "names")
-    spans = _covered(_pieces(hit, length), length)
+    # one exchange of the texts serves both joins, so both use the same columns and the same key, and nothing is joined before it;
+    # rows that share a key are told apart by a part of their text's hash
+    named = plain.select("doc_id", F.hash("h1", "h2").alias("h"), "text", "rest")
+    dealt = named.filter("doc_id is not null").repartition("doc_id")
+    hit = dealt.join(names, "doc_id").select("doc_id", "h", "text", "rest", "names")
+    spans = _covered(_pieces(hit, length), length).unionByName(copies)
     spans = spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "at", "size")])
-    joined = dealt.join(spans, "doc_id", "left").select("doc_id", "h", "text", "whole", "rest", "hs", "ats", "sizes")
+    joined = dealt.join(spans, "doc_id", "left").select("doc_id", "h", "text", "rest", "hs", "ats", "sizes")
     nothing = [F.lit(None).cast("array<int>").alias(c) for c in ("hs", "ats", "sizes")]
-    loose = marked.filter("doc_id is null").select("doc_id", "h", "text", "whole", "rest", *nothing)
+    loose = named.filter("doc_id is null").select("doc_id", "h", "text", "rest", *nothing)
     return _cut(joined.unionByName(loose), length, as_text)
 
 

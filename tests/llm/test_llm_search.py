@@ -271,3 +271,25 @@ def test_anchors_shared_by_chance_do_not_travel(spark):
     assert {30, 31, 32, 34} <= {r.doc_id for r in named} <= {30, 31, 32, 33, 34}
     found = {r.doc_id: r.n_removed for r in passages.cut_repeats(frame).collect()}
     assert found == {i: 50 if i in (31, 32, 34) else 0 for i in range(35)}
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "text"], ["doc_id", "text", "lang"]])
+def test_texts_are_exchanged_once(spark, columns):
+    """Both joins of the passages read one exchange of the texts, so shuffle files hold them once."""
+    from markwell.llm import passages
+
+    text = "some words that stand in both of the documents, long enough for a passage of fifty bytes"
+    frame = spark.createDataFrame([(1, "a " + text, "en"), (2, text + " b", "en"), (3, "a " + text, "de")], "doc_id long, text string, lang string")
+    out = passages.cut_texts(frame.select(*columns))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan()
+
+    def exchanges(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return exchanges(node.inputPlan())
+        children = node.children()
+        mine = [node] if "REPARTITION_BY_COL" in node.simpleString(99) and "doc_id" in node.simpleString(99) else []
+        return mine + [x for i in range(children.size()) for x in exchanges(children.apply(i))]
+
+    one, two = exchanges(plan)
+    assert one.canonicalized().equals(two.canonicalized())
